@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, topk
+from tessera.llm import chat, media, pieces, topk
 
 _ALL = {
+    "op3_media_columns": media,
     "op6_chat_format": chat,
     "op8_exact_topk": topk,
+    "op10_sentencepiece": pieces,
 }
 
 
