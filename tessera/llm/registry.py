@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, media, pieces, topk
+from tessera.llm import chat, media, neardup, pieces, substring, topk
 
 _ALL = {
+    "op1_jaccard_join": neardup,
     "op3_media_columns": media,
+    "op5_substring_dedup": substring,
     "op6_chat_format": chat,
     "op8_exact_topk": topk,
     "op10_sentencepiece": pieces,
