@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, media, neardup, pieces, substring, topk
+from tessera.llm import chat, media, neardup, pieces, quality, substring, topk
 
 _ALL = {
     "op1_jaccard_join": neardup,
     "op3_media_columns": media,
     "op5_substring_dedup": substring,
     "op6_chat_format": chat,
+    "op7_quality_gam": quality,
     "op8_exact_topk": topk,
     "op10_sentencepiece": pieces,
 }
