@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, media, neardup, pieces, quality, substring, topk
+from tessera.llm import chat, media, mixing, neardup, pieces, quality, substring, topk
 
 _ALL = {
     "op1_jaccard_join": neardup,
     "op3_media_columns": media,
+    "op4_mixing_balance": mixing,
     "op5_substring_dedup": substring,
     "op6_chat_format": chat,
     "op7_quality_gam": quality,
