@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, media, mixing, neardup, pieces, quality, substring, topk
+from tessera.llm import chat, licences, media, mixing, neardup, pieces, quality, substring, topk
 
 _ALL = {
     "op1_jaccard_join": neardup,
@@ -12,6 +12,7 @@ _ALL = {
     "op6_chat_format": chat,
     "op7_quality_gam": quality,
     "op8_exact_topk": topk,
+    "op9_licence_scan": licences,
     "op10_sentencepiece": pieces,
 }
 
