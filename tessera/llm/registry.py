@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, licences, media, mixing, neardup, pieces, quality, substring, topk
+from tessera.llm import chat, language, licences, media, mixing, neardup, pieces, quality, substring, topk
 
 _ALL = {
     "op1_jaccard_join": neardup,
+    "op2_language_id": language,
     "op3_media_columns": media,
     "op4_mixing_balance": mixing,
     "op5_substring_dedup": substring,
