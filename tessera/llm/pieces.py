@@ -18,6 +18,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import operator
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,11 @@ from tessera.llm.common import table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct segments a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Text bytes cut into segments at once: the more, the fewer lookups of frequent segments.
+BATCH_BYTES = 4_000_000
+#: Threads with which a worker encodes its batches.
+THREADS = 2
 MARK = "▁"
 # fixed values of the format: kinds of pieces, kinds of models
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -122,7 +129,8 @@ class Codec:
         self.lone = np.zeros(256, bool)
         self.lone[[c for c in (9, 10, 11, 12, 13) if not any(chr(c) in p for p in whole)]] = True
         self.other = SentencePieceProcessor(model_proto=data)
-        self.known: dict[bytes, tuple[np.ndarray, bool, bool]] = {}
+        self.known: dict[bytes, int] = {}
+        self._forget()
 
     def normalise(self, text: str) -> str:
         """What the model encodes, without the added prefix."""
@@ -148,18 +156,29 @@ class Codec:
         head = len(self.other.encode("\n"))
         return [ids[head:] for ids in self.other.encode(["\n" + t for t in texts], num_threads=1)]
 
-    def encode_segments(self, segments: list[bytes]) -> list[tuple[np.ndarray, bool, bool]]:
-        """Of each segment its ids (blanks at its start are markers), whether they decode to it, whether the library agrees."""
-        new = [s for s in segments if s not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = segments
-        texts = [s.decode("utf-8", "replace") for s in new]
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        back = self.tokenizer.decode_batch(made, skip_special_tokens=False)
-        for s, text, ids, b, theirs in zip(new, texts, made, back, self._theirs(texts)):
-            self.known[s] = np.array(ids, np.int32), text == b, ids == theirs
-        return [self.known[s] for s in segments]
+    def _forget(self) -> None:
+        """Known segments: a slot each, whose ids are flat[begin:begin + size]; faults: doesn't decode to itself, the library disagrees."""
+        self.known.clear()
+        self.flat, self.size, self.faults = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, 2), bool)
+
+    def slots(self, segments: list[bytes]) -> np.ndarray:
+        """The slot of each segment (blanks at its start are markers); new ones are encoded, decoded again and compared."""
+        if len(self.known) + len(segments) > REMEMBERED:
+            self._forget()
+        known = self.known
+        new = list(dict.fromkeys(s for s in segments if s not in known))
+        if new:
+            texts = [s.decode("utf-8", "replace") for s in new]
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            back = self.tokenizer.decode_batch(made, skip_special_tokens=False)
+            theirs = self._theirs(texts)
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(made), np.int32, int(size.sum()))])
+            self.size = np.concatenate([self.size, size])
+            wrong = np.fromiter(map(operator.ne, texts, back), bool, len(new)), np.fromiter(map(operator.ne, made, theirs), bool, len(new))
+            self.faults = np.concatenate([self.faults, np.stack(wrong, axis=1)])
+        return np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts laid end to end, each text's number of ids, whether it decodes to itself, whether the library agrees."""
@@ -180,17 +199,13 @@ class Codec:
             own = [b" " + names[i] for i in index[heads]]
             index[heads] = len(names) + np.arange(len(heads))
             names += own
-        coded_ids = self.encode_segments(names)
-        faults = np.array([[not same, not agreed] for _, same, agreed in coded_ids])
-        coded_ids = [ids for ids, _, _ in coded_ids]
-        size = np.array([len(i) for i in coded_ids], np.int64)
-        flat, begin = np.concatenate(coded_ids), np.cumsum(size) - size
-        many = size[index]
+        index = self.slots(names)[index]
+        begin, many = np.cumsum(self.size) - self.size, self.size[index]
         total = np.cumsum(many)
-        ids = flat[np.repeat(begin[index] - (total - many), many) + np.arange(total[-1])]
+        ids = self.flat[np.repeat(begin[index] - (total - many), many) + np.arange(total[-1])]
         edge = np.cumsum(per)
         ends = np.append(0, total)[edge]
-        wrong = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(faults[index], axis=0)])[edge]
+        wrong = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(self.faults[index], axis=0)])[edge]
         fine = np.diff(wrong, axis=0, prepend=0) == 0
         return ids, np.diff(np.append(0, ends)), fine[:, 0], fine[:, 1]
 
@@ -202,13 +217,14 @@ class Codec:
 
 @functools.lru_cache(2)
 def codec(model_bytes: bytes) -> Codec:
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     return Codec(Model(model_bytes), model_bytes)
 
 
 def _encode(model_bytes: bytes, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_bytes)
-        for batch in cut_batches(batches):
+        for batch in cut_batches(batches, limit=BATCH_BYTES):
             column = batch.column(batch.schema.get_field_index("text"))
             ids, counts, same, agreed = own.encode(*utf8(column))
             ends = np.cumsum(counts)
