@@ -155,7 +155,7 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     sizes = members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     sizes = sizes.select("comp", F.greatest(F.ceil(F.col("size") / PART_CLASSES), F.ceil(F.col("total") / PART_SHINGLES), F.lit(1)).cast("int").alias("parts"))
     members = cut(members.join(sizes, "comp"))
-    texts = docs.join(members.withColumnRenamed("rep", "d"), ["d", "k1", "k2"]).withColumnRenamed("d", "rep")
+    texts = docs.join(members.withColumnRenamed("rep", "d").hint("merge"), ["d", "k1", "k2"]).withColumnRenamed("d", "rep")
     texts = texts.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = texts.select("comp", F.least("part", "other").alias("ha"), F.greatest("part", "other").alias("hb"), "rep", "part", "copies", "parts", "text", "k1")
     blocks = blocks.dropDuplicates(["comp", "ha", "hb", "rep", "k1"]) if _repeats(documents) else blocks
