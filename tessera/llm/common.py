@@ -17,7 +17,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 #: Text bytes handled at once in a Python worker; a longer single text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1_000_000
 
 U = np.uint64
 _ODD = {1: 0x9E3779B97F4A7C15, 2: 0xD1342543DE82EF95, 3: 0xA0761D6478BD642F}

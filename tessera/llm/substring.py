@@ -93,7 +93,7 @@ def _open(z: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts and the paths to open in them, to edges."""
-    for batch in pieces(batches, "z", 1 << 20):
+    for batch in pieces(batches, "z", 400_000):
         words = Words(*_open(batch.column(2)))
         spans = batch.column(3)
         packed, owner = spans.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), spans.value_lengths().to_numpy())
@@ -108,7 +108,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the words that their spans cover: columns 1 (compressed text) and 2 (spans) become results."""
     unpack = zstandard.ZstdDecompressor()
-    for batch in pieces(batches, "z", 1 << 20):
+    for batch in pieces(batches, "z", 400_000):
         n_words, n_removed, kept = [], [], []
         for z, spans in zip(batch.column(0), batch.column(1)):
             words = unpack.decompress(z.as_buffer()).split()
@@ -146,7 +146,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     start, edges, t = F.shiftright("at", 32), F.shiftright("at", 28).bitwiseAND(15), F.col("at").bitwiseAND(_TAIL)
     span = F.shiftleft(start, 4).bitwiseOR(edges)
     ends = placed.filter(~_later()).join(several, "m").select("d", t.alias("t"), span.alias("s")).groupBy("d", "t").agg(F.collect_list("s").alias("spans"))
-    opened = cut(docs.mapInArrow(_squeeze, "d long, t long, z binary").join(ends, ["d", "t"]).mapInArrow(_edges, "h1 long, h2 long, d long, at long"))
+    opened = cut(docs.mapInArrow(_squeeze, "d long, t long, z binary").join(ends.hint("merge"), ["d", "t"]).mapInArrow(_edges, "h1 long, h2 long, d long, at long"))
     edge_firsts = cut(opened.groupBy("h1", "h2").agg(_first(), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later_edges = opened.join(edge_firsts, ["h1", "h2"]).filter(_later()).select("d", t.alias("t"), F.shiftleft(start, 4).bitwiseOR(F.lit(1).cast("long")).alias("s"))
     later_paths = placed.filter(_later()).select("d", t.alias("t"), span.alias("s"))
@@ -164,7 +164,7 @@ def dedup(documents: DataFrame, *more: str) -> DataFrame:
     types = dict(documents.dtypes)
     docs = _keyed(documents, "doc_id", *more)
     own = "".join(f", own_{i} {types[c]}" for i, c in enumerate(("doc_id", *more)))
-    texts = docs.mapInArrow(_squeeze, f"d long, t long, z binary{own}").join(spans, ["d", "t"], "left").drop("d", "t")
+    texts = docs.mapInArrow(_squeeze, f"d long, t long, z binary{own}").join(spans.hint("merge"), ["d", "t"], "left").drop("d", "t")
     rows = texts.select("z", "spans", *(f"own_{i}" for i in range(1 + len(more)))).mapInArrow(_remove, f"n_words long, n_removed long, kept string{own}")
     return rows.select(F.col("own_0").cast("long").alias("doc_id"), "n_words", "n_removed", "kept", *(F.col(f"own_{i}").alias(c) for i, c in enumerate(more, 1)))
 
