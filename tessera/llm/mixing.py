@@ -104,7 +104,7 @@ def allot(hist: DataFrame, goals: DataFrame, multipliers: DataFrame, rounds: int
 
 
 def mix(documents: DataFrame, *more: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of every document, and further columns of documents on request."""
+    """doc_id, size, source_size, target, taken, copies of every document; with further columns of documents: doc_id, copies and these."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("s"), size.alias("size"), *(F.col(c).alias(f"own_{i}") for i, c in enumerate(more)))
     if not more:
@@ -122,7 +122,18 @@ def mix(documents: DataFrame, *more: str) -> DataFrame:
     ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("s", "size", "b").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")))
     dealt = ranked.join(by_bucket.select("s", "size", "b", "nb", "kb"), ["s", "size", "b"], "left").join(goals.select("s", "source_size", "target"), "s")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.expr("kb div nb") + (F.col("rank") <= F.col("kb") % F.col("nb")).cast("int")).cast("int")
-    return dealt.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *(F.col(f"own_{i}").alias(c) for i, c in enumerate(more)))
+    own = [F.col(f"own_{i}").alias(c) for i, c in enumerate(more)]
+    dealt = dealt.withColumn("copies", copies)
+    if more:
+        return dealt.select("doc_id", "copies", *own)
+    return dealt.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def take(documents: DataFrame) -> DataFrame:
+    """The mix itself: every document as often as it has copies, with all its columns."""
+    others = [c for c in documents.columns if c != "doc_id"]
+    mixed = mix(documents, *others)
+    return mixed.withColumn("again", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,13 @@ def _repeats(documents: DataFrame) -> bool:
     return not documents.groupBy(doc_key(F.col("doc_id")).alias("d")).count().filter("count > 1").isEmpty()
 
 
+def keep_one(documents: DataFrame) -> DataFrame:
+    """The documents with one of each near-duplicate component, the one of the smallest id; rows that share an id count as one."""
+    kept = jaccard_join(documents).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(doc_key(F.col("doc_id")).alias("kept_key")).distinct()
+    rows = documents.join(kept.hint("merge"), doc_key(F.col("doc_id")) == F.col("kept_key"), "left_semi")
+    return rows.dropDuplicates(["doc_id"]) if _repeats(documents) else rows
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 

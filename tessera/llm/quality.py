@@ -258,6 +258,20 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def _filter(model: Gam, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield batch.filter(pa.array(model.score(features(*utf8(batch.column(batch.schema.get_field_index("text"))))) >= threshold))
+
+    return run
+
+
+def keep(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The documents that the classifier, fitted on them, predicts to be of quality 1, with all their columns."""
+    model = fit(cut(measured(documents)), labels, sample)
+    return documents.mapInArrow(_filter(model, threshold), documents.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessera.llm import chat, language, licences, media, mixing, neardup, pieces, quality, substring, topk
 
 _ALL = {
@@ -19,8 +20,9 @@ _ALL = {
 
 
 def queries() -> dict:
-    return {name: module.query for name, module in _ALL.items()}
+    return {name: module.query for name, module in _ALL.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {name: module.SQL for name, module in _ALL.items() if module.SQL}
+    found = {name: module.SQL for name, module in _ALL.items()} | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}

@@ -23,6 +23,7 @@ texts shorter than a window lose nothing; a text is handled whole; an empty tabl
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,13 +106,14 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words.window_hash(begin, K, w).view(np.int64)) for w in (1, 2)] + [pa.array(d[text]), pa.array(start << 32 | t[text])], names=["h1", "h2", "d", "at"])
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(untouched: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the words that their spans cover: columns 1 (compressed text) and 2 (spans) become results."""
     unpack = zstandard.ZstdDecompressor()
     for batch in pieces(batches, "z", 400_000):
         n_words, n_removed, kept = [], [], []
         for z, spans in zip(batch.column(0), batch.column(1)):
-            words = unpack.decompress(z.as_buffer()).split()
+            text = unpack.decompress(z.as_buffer())
+            words = text.split()
             n_words.append(len(words))
             if spans.is_valid:
                 packed = spans.values.to_numpy()
@@ -121,7 +123,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep = np.cumsum(mark[:-1]) == 0
                 words = [words[i] for i in np.flatnonzero(keep)]
             n_removed.append(n_words[-1] - len(words))
-            kept.append(b" ".join(words))
+            kept.append(text if untouched and not n_removed[-1] else b" ".join(words))
         rest = batch.columns[2:]
         yield pa.RecordBatch.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string()), *rest], names=["n_words", "n_removed", "kept", *batch.schema.names[2:]])
 
@@ -158,14 +160,17 @@ def _keyed(documents: DataFrame, *more: str) -> DataFrame:
     return documents.select(doc_key(F.col("doc_id")).alias("d"), F.xxhash64(text).bitwiseAND(_TAIL).alias("t"), text.alias("text"), *(F.col(c).alias(f"own_{i}") for i, c in enumerate(more)))
 
 
-def dedup(documents: DataFrame, *more: str) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by single blanks), and further columns of documents on request."""
+def dedup(documents: DataFrame, *more: str, untouched: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words left, joined by single blanks), and further columns of documents on request.
+
+    untouched: a text that loses no word stays as it is, blanks included.
+    """
     spans = cut(repeated_spans(documents))
     types = dict(documents.dtypes)
     docs = _keyed(documents, "doc_id", *more)
     own = "".join(f", own_{i} {types[c]}" for i, c in enumerate(("doc_id", *more)))
     texts = docs.mapInArrow(_squeeze, f"d long, t long, z binary{own}").join(spans.hint("merge"), ["d", "t"], "left").drop("d", "t")
-    rows = texts.select("z", "spans", *(f"own_{i}" for i in range(1 + len(more)))).mapInArrow(_remove, f"n_words long, n_removed long, kept string{own}")
+    rows = texts.select("z", "spans", *(f"own_{i}" for i in range(1 + len(more)))).mapInArrow(functools.partial(_remove, untouched), f"n_words long, n_removed long, kept string{own}")
     return rows.select(F.col("own_0").cast("long").alias("doc_id"), "n_words", "n_removed", "kept", *(F.col(f"own_{i}").alias(c) for i, c in enumerate(more, 1)))
 
 
