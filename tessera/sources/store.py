@@ -15,7 +15,7 @@ from tessera.functions import imports, paths
 def decoded(files: DataFrame) -> DataFrame:
     """content (binary) to text: invalid UTF-8 is left out, a byte order mark dropped, line ends become line feeds."""
     valid = files.filter(F.is_valid_utf8(F.col("content").cast("string")))
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "^\uFEFF", "")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\uFEFF", "")
     return valid.withColumn("content", imports.newlines(text))
 
 
