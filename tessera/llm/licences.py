@@ -4,11 +4,11 @@ A paragraph is the text between line feeds; its words are lower-case runs of let
 the templates below in a few deterministic variants (a word left out, a notice before it, other text around it), and,
 as the class "unknown", sentences that talk about licences without granting one and paragraphs of the corpus that share
 little with any template (from at most SAMPLE documents, those of the smallest hash of their id). Anchors are the
-words of templates that such corpus paragraphs don't have. Features are the one-, two- and three-word grams that hold
-an anchor; a paragraph without any anchor has no feature at all, so leaving it out before scoring loses nothing. The
-model is a multinomial logistic regression on these sparse binary features. Its probabilities are calibrated by a
-temperature that fits training variants kept aside. A family is confirmed where a template of it is contained in the
-paragraph (share of the template's two-word grams); otherwise the paragraph counts as unknown.
+words of templates that are not common in such corpus paragraphs. Features are the one-, two- and three-word grams
+that hold an anchor; a paragraph without any anchor has no feature at all, so leaving it out before scoring loses
+nothing. The model is a multinomial logistic regression on these sparse binary features. Its probabilities are
+calibrated by a temperature that fits training variants kept aside. A family is confirmed where a template of it is
+contained in the paragraph (share of the template's two-word grams); otherwise the paragraph counts as unknown.
 
 Defined results: a document has one row with its families (sorted, joined by commas; empty without any), the number of
 licence and of unknown paragraphs, and the largest probability of a confirmed family (0 without any). Null and empty
@@ -29,6 +29,8 @@ from tessera.llm.common import cut, table
 
 #: Documents whose paragraphs may stand for the unknown class, and how many of those paragraphs are used.
 SAMPLE, NOISE = 400, 1200
+#: A word in a larger share of those paragraphs is no anchor.
+COMMON = 0.01
 VARIANTS = 12
 CONFIRMED = 0.6
 UNKNOWN = "unknown"
@@ -102,13 +104,16 @@ class Scanner:
         schema = T.StructType([T.StructField("family", T.StringType()), T.StructField("text", T.StringType())])
         templates = spark.createDataFrame(list(TEMPLATES), schema).select("family", _words(F.col("text")).alias("template"))
         self.templates = templates
-        few = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE)
+        ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+        few = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
         lines = few.select(F.explode(F.split("text", "\n")).alias("line")).select(_words(F.col("line")).alias("words")).filter("size(words) > 0").distinct()
         against = F.array(*(F.array(*map(F.lit, w)) for w in self._constant(templates)))
         # Lines that share a good part of a template may be licences themselves.
         strange = lines.filter(~F.exists(against, lambda t: F.size(F.array_intersect(t, F.col("words"))) >= 0.6 * F.size(t)))
         noise = cut(strange.orderBy(F.xxhash64("words"), "words").limit(NOISE).select("words"))
-        known = {r["w"] for r in noise.select(F.explode("words").alias("w")).distinct().collect()} if noise.limit(1).count() else set()
+        lines = noise.count()
+        often = noise.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().filter(F.col("count") > max(2, COMMON * lines))
+        known = {r["w"] for r in often.select("w").collect()}
         self.anchors = sorted({w for words in self._constant(templates) for w in words} - known)
         self.anchor_array = F.array(*map(F.lit, self.anchors)) if self.anchors else F.array().cast("array<string>")
         rows = self._training(spark, templates, noise)
