@@ -1,4 +1,7 @@
-"""Lineage cuts that survive lost executors: a written table in the folder that the cluster shares."""
+"""Lineage cuts that survive lost executors: written tables in the folder that the cluster shares.
+
+All tables of an application stand in one folder, which its driver deletes when it ends.
+"""
 
 from __future__ import annotations
 
@@ -11,14 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where that is unset."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    if not hasattr(spark.sparkContext, "_tessera_dir"):
-        spark.sparkContext._tessera_dir = tempfile.mkdtemp(prefix="tessera-")
-    return spark.sparkContext._tessera_dir
+    return known or tempfile.gettempdir()
+
+
+def _own_dir(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_tessera_dir"):
+        path = f"{shared_dir(spark).rstrip('/')}/tessera-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        store = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        store.mkdirs(folder)
+        store.deleteOnExit(folder)
+        sc._tessera_dir = path
+    return sc._tessera_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    """df, written and read again."""
+    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
