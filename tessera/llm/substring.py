@@ -6,9 +6,13 @@ of the smallest hash (the leftmost of several), and the edges that share one anc
 branch inside the text, so they are compacted to one path with one content hash. Equal edges have equal anchors, so
 everything that repeats is found by Spark joins on anchors, a fifteenth to a seventh of the number of words:
 
-1. Anchors that occur once anywhere are dropped with their paths: none of their edges repeats.
-2. Paths of equal anchor and content are one repeated path; every occurrence but its first (by document, start) is
-   removed whole.
+1. Inside a document, whatever repeats is seen where its text is, when its words are removed; so of the paths of equal
+   content in a document only the first goes on (text that runs in circles gives few rows). Anchors of a single
+   document are dropped with their paths.
+2. Paths of equal anchor and content are one repeated path, with its number of occurrences, its first one (by
+   document, start) and the paths before it. A path that always follows the same path, which occurs as often, does not
+   branch: in the document of their first occurrences, where their coordinates must meet, such paths are compacted to
+   one long path. Every occurrence of a long path but its first is removed whole; one join finds them by its start.
 3. Where an anchor has several contents (the ends of repeated passages), the first occurrence of each content is
    opened into its edges, which are compared one by one by 128-bit hashes; occurrences after the first are removed.
 4. Source coordinates (document, start, number of edges) are carried along all the way: they decide which occurrence
@@ -16,27 +20,30 @@ everything that repeats is found by Spark joins on anchors, a fifteenth to a sev
 
 Contents are compared by independent 64-bit hashes of anchor and path, edges by two 64-bit hashes.
 
-Defined results: null text has no words; rows that repeat an id are told apart by their text, and no occurrence at
-the same (id, start) is earlier than another, so repeated rows fare alike; rows without an id come before all others;
+Defined results: null text has no words; repeated rows fare alike, none takes words from the other; rows that repeat an
+id with another text are documents of their own, in the order of a hash of their text; rows without an id come before
+all others;
 texts shorter than a window lose nothing; a text is handled whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, Words, cut, doc_key, pieces, range_hash, table, utf8
+from tessera.llm.common import U, Words, cut, doc_key, mix, pieces, range_hash, table, utf8
 
 K, ANCHOR = 20, 6
-#: A start and a length (up to 15 edges) in one number, with 28 bits that tell rows of one id apart.
-_TAIL = (1 << 28) - 1
+#: A place in one number, in the order of places of one id: 28 bits that tell rows of one id apart, 31 of the start, 4 of
+#: the number of edges (up to 15). A span: the start, then 31 bits of the number of edges.
+_TAIL, _START, _LONG = (1 << 28) - 1, (1 << 31) - 1, 31
 
 
 def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -62,17 +69,30 @@ def paths(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return grams[anchor[at]], range_hash(words.hash(2), start, start + edges + K - 1, 2), text, start - words.first[text], edges
 
 
+def _once(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Where a value stands for the first time in its text."""
+    _, first = np.unique(mix(value ^ mix(text.astype(U) + U(1))), return_index=True)
+    flags = np.zeros(len(value), bool)
+    flags[first] = True
+    return flags
+
+
 def _anchors(whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             m, c, text, start, edges = paths(Words(*utf8(batch.column(2))))
             if not len(m):
                 continue
-            columns = [m.view(np.int64)]
-            if whole:
-                d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                columns += [c.view(np.int64), d[text], start << 32 | edges << 28 | t[text]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["m", "c", "d", "at"][: len(columns)])
+            if not whole:
+                yield pa.RecordBatch.from_arrays([pa.array(m[_once(text, m)].view(np.int64))], names=["m"])
+                continue
+            keep = _once(text, c)
+            d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # the content before, 0 where none goes on in front of it
+            before = np.concatenate([[0], np.where(keep, c.view(np.int64), 0)[:-1]])
+            before[start == 0] = 0
+            columns = m.view(np.int64), c.view(np.int64), d[text], t[text] << 35 | start << 4 | edges, before
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["m", "c", "d", "at", "before"])
 
     return run
 
@@ -98,60 +118,100 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(*_open(batch.column(2)))
         spans = batch.column(3)
         packed, owner = spans.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), spans.value_lengths().to_numpy())
-        n = packed & 15
+        n = packed & _START
         text = np.repeat(owner, n)
-        start = np.repeat(packed >> 4, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(packed >> _LONG, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         begin = words.first[text] + start
         d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(words.window_hash(begin, K, w).view(np.int64)) for w in (1, 2)] + [pa.array(d[text]), pa.array(start << 32 | t[text])], names=["h1", "h2", "d", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(words.window_hash(begin, K, w).view(np.int64)) for w in (1, 2)] + [pa.array(d[text]), pa.array(t[text] << 35 | start << 4 | 1)], names=["h1", "h2", "d", "at"])
+
+
+def circling(words: Words) -> np.ndarray:
+    """First words of the edges that stand in their text before."""
+    begin, _ = words.windows(K)
+    if not len(begin):
+        return begin
+    text = words.text[begin]
+    one, two = (words.window_hash(begin, K, w) for w in (1, 2))
+    order = np.argsort(mix(one ^ mix(text.astype(U) + U(1))), kind="stable")
+    a, b = order[:-1], order[1:]
+    return begin[b[(one[a] == one[b]) & (two[a] == two[b]) & (text[a] == text[b])]]
 
 
 def _remove(untouched: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the words that their spans cover: columns 1 (compressed text) and 2 (spans) become results."""
-    unpack = zstandard.ZstdDecompressor()
+    """Texts without the words that their spans, or edges that their text has before, cover: columns 1 (compressed text) and 2 (spans) become results."""
     for batch in pieces(batches, "z", 400_000):
-        n_words, n_removed, kept = [], [], []
-        for z, spans in zip(batch.column(0), batch.column(1)):
-            text = unpack.decompress(z.as_buffer())
-            words = text.split()
-            n_words.append(len(words))
-            if spans.is_valid:
-                packed = spans.values.to_numpy()
-                mark = np.zeros(len(words) + 1, np.int64)
-                np.add.at(mark, packed >> 4, 1)
-                np.add.at(mark, (packed >> 4) + (packed & 15) + K - 1, -1)
-                keep = np.cumsum(mark[:-1]) == 0
-                words = [words[i] for i in np.flatnonzero(keep)]
-            n_removed.append(n_words[-1] - len(words))
-            kept.append(text if untouched and not n_removed[-1] else b" ".join(words))
+        data, offsets = _open(batch.column(0))
+        words = Words(data, offsets)
+        spans = batch.column(1)
+        packed = spans.flatten().to_numpy()
+        owner = np.repeat(np.arange(batch.num_rows), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = words.first[owner] + (packed >> _LONG)
+        again = circling(words)
+        mark = np.zeros(len(words.starts) + 1, np.int64)
+        np.add.at(mark, begin, 1)
+        np.add.at(mark, begin + (packed & _START) + K - 1, -1)
+        np.add.at(mark, again, 1)
+        np.add.at(mark, again + K, -1)
+        gone = np.cumsum(mark[:-1]) > 0
+        n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[np.append(words.first, len(words.starts))])
+        kept = []
+        for i in range(batch.num_rows):
+            text = data[offsets[i] : offsets[i + 1]].tobytes()
+            if n_removed[i]:
+                left = ~gone[words.first[i] : words.first[i] + words.counts[i]]
+                kept.append(b" ".join(itertools.compress(text.split(), left.tolist())))
+            else:
+                kept.append(text if untouched else b" ".join(text.split()))
         rest = batch.columns[2:]
-        yield pa.RecordBatch.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string()), *rest], names=["n_words", "n_removed", "kept", *batch.schema.names[2:]])
+        yield pa.RecordBatch.from_arrays([pa.array(words.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string()), *rest], names=["n_words", "n_removed", "kept", *batch.schema.names[2:]])
 
 
-def _later(first: str = "f") -> Column:
-    at = F.shiftright("at", 32)
-    return (F.col("d") > F.col(f"{first}.d")) | ((F.col("d") == F.col(f"{first}.d")) & (at > F.col(f"{first}.p")))
+def _place(at: Column) -> tuple[Column, Column, Column]:
+    """Of a place in one number: the row's bits, the start, the number of edges."""
+    return F.shiftright(at, 35), F.shiftright(at, 4).bitwiseAND(_START), at.bitwiseAND(15)
+
+
+def _later() -> Column:
+    return (F.col("d") > F.col("f.d")) | ((F.col("d") == F.col("f.d")) & (F.col("at") > F.col("f.at")))
 
 
 def _first() -> Column:
-    return F.min(F.struct(F.col("d"), F.shiftright("at", 32).alias("p"))).alias("f")
+    return F.min(F.struct("d", "at")).alias("f")
+
+
+def _span(start: Column, edges: Column) -> Column:
+    return F.shiftleft(start, _LONG).bitwiseOR(edges.cast("long")).alias("s")
+
+
+def compacted(table_: DataFrame) -> DataFrame:
+    """Repeated paths (m, c, f, n, least and most of the contents before) to long paths: m and c of the start, f, edges of all.
+
+    The window runs along the first document of each path, so no group is larger than a document.
+    """
+    t, start, edges = _place(F.col("f.at"))
+    rows = table_.filter("n > 1").select("m", "c", "n", "least", "most", "f", F.col("f.d").alias("d"), t.alias("t"), start.alias("p"), edges.alias("e"))
+    along = Window.partitionBy("d", "t").orderBy("p")
+    back = lambda c: F.lag(c).over(along)
+    inner = (F.col("least") == F.col("most")) & (back("c") == F.col("least")) & (back("n") == F.col("n")) & (back("p") + back("e") == F.col("p"))
+    runs = rows.withColumn("head", F.when(F.coalesce(inner, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("head").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    one = runs.groupBy("d", "t", "run").agg(F.min_by(F.struct("m", "c", "f"), "p").alias("start"), F.sum("e").alias("edges"))
+    return one.select("start.*", "edges")
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
-    """d (id key), t (28 bits of the text's hash), spans (start << 4 | edges) to remove, for documents that have any."""
+    """d (id key), t (28 bits of the text's hash), spans (start << 31 | edges) to remove, for documents that have any."""
     docs = _keyed(documents)
     repeated = cut(docs.mapInArrow(_anchors(False), "m long").groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"))
-    walked = cut(docs.mapInArrow(_anchors(True), "m long, c long, d long, at long").join(repeated, "m"))
-    firsts = cut(walked.groupBy("m", "c").agg(_first()))
-    several = firsts.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m")
-    placed = walked.join(firsts, ["m", "c"])
-    start, edges, t = F.shiftright("at", 32), F.shiftright("at", 28).bitwiseAND(15), F.col("at").bitwiseAND(_TAIL)
-    span = F.shiftleft(start, 4).bitwiseOR(edges)
-    ends = placed.filter(~_later()).join(several, "m").select("d", t.alias("t"), span.alias("s")).groupBy("d", "t").agg(F.collect_list("s").alias("spans"))
+    walked = cut(docs.mapInArrow(_anchors(True), "m long, c long, d long, at long, before long").join(repeated, "m"))
+    contents = cut(walked.groupBy("m", "c").agg(_first(), F.count("*").alias("n"), F.min("before").alias("least"), F.max("before").alias("most")))
+    t, start, edges = _place(F.col("at"))
+    later_paths = walked.join(cut(compacted(contents)), ["m", "c"]).filter(_later()).select("d", t.alias("t"), _span(start, F.col("edges")))
+    several = cut(contents.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"))
+    ends = contents.select("m", "f.d", "f.at").join(several, "m").select("d", t.alias("t"), _span(start, edges)).groupBy("d", "t").agg(F.collect_list("s").alias("spans"))
     opened = cut(docs.mapInArrow(_squeeze, "d long, t long, z binary").join(ends.hint("merge"), ["d", "t"]).mapInArrow(_edges, "h1 long, h2 long, d long, at long"))
     edge_firsts = cut(opened.groupBy("h1", "h2").agg(_first(), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    later_edges = opened.join(edge_firsts, ["h1", "h2"]).filter(_later()).select("d", t.alias("t"), F.shiftleft(start, 4).bitwiseOR(F.lit(1).cast("long")).alias("s"))
-    later_paths = placed.filter(_later()).select("d", t.alias("t"), span.alias("s"))
+    later_edges = opened.join(edge_firsts, ["h1", "h2"]).filter(_later()).select("d", t.alias("t"), _span(start, edges))
     return later_paths.union(later_edges).groupBy("d", "t").agg(F.collect_list("s").alias("spans"))
 
 
