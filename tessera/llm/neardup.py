@@ -150,7 +150,12 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     classes = cut(signed.groupBy("k1", "k2").agg(F.min("d").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     banded = classes.select("rep", F.explode("bands").alias("h"))
     buckets = cut(banded.groupBy("h").agg(F.min("rep").alias("head"), F.count("*").alias("c")).filter("c > 1").select("h", "head"))
-    near = components(banded.join(buckets, "h").filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
+    # A class is linked to the smallest of its buckets' heads, and the other heads to that one: the components are the
+    # same, and classes that share their heads share those links.
+    heads = banded.join(buckets, "h").groupBy("rep").agg(F.array_sort(F.collect_set("head")).alias("heads"))
+    own = heads.select(F.get("heads", F.lit(0)).alias("a"), F.col("rep").alias("b"))
+    among = heads.filter(F.size("heads") > 1).select(F.col("heads").getItem(0).alias("a"), F.explode(F.slice("heads", 2, BANDS)).alias("b")).distinct()
+    near = components(own.union(among).filter("a <> b"))
     members = classes.drop("bands").join(near.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "rep")
     sizes = members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     sizes = sizes.select("comp", F.greatest(F.ceil(F.col("size") / PART_CLASSES), F.ceil(F.col("total") / PART_SHINGLES), F.lit(1)).cast("int").alias("parts"))
@@ -184,8 +189,8 @@ def _repeats(documents: DataFrame) -> bool:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents with one of each near-duplicate component, the one of the smallest id; rows that share an id count as one."""
-    kept = jaccard_join(documents).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(doc_key(F.col("doc_id")).alias("kept_key")).distinct()
-    rows = documents.join(kept.hint("merge"), doc_key(F.col("doc_id")) == F.col("kept_key"), "left_semi")
+    kept = jaccard_join(documents).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(doc_key(F.col("doc_id")).alias("__kept_key")).distinct()
+    rows = documents.join(kept.hint("merge"), doc_key(F.col("doc_id")) == F.col("__kept_key"), "left_semi")
     return rows.dropDuplicates(["doc_id"]) if _repeats(documents) else rows
 
 
