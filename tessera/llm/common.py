@@ -1,9 +1,9 @@
-"""What the corpus operators share: tables, lineage cuts, and words as numpy arrays."""
+"""What the corpus operators share: tables, and the words of texts as numpy arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,42 +11,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.lineage import cut
+
+__all__ = ["U", "WORD", "Words", "cut", "doc_key", "mix", "pieces", "range_hash", "settle", "table", "tidy", "utf8"]
+
 #: A word is a maximal run of characters other than these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 #: Text bytes handled at once in a Python worker; a longer single text is handled alone.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 
 U = np.uint64
 _ODD = {1: 0x9E3779B97F4A7C15, 2: 0xD1342543DE82EF95, 3: 0xA0761D6478BD642F}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    if not hasattr(spark.sparkContext, "_tessera_dir"):
-        spark.sparkContext._tessera_dir = tempfile.mkdtemp(prefix="tessera-")
-    return spark.sparkContext._tessera_dir
+def settle(spark: SparkSession) -> None:
+    """Texts go to Python in small batches, so that long ones don't fill a worker; a setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: a lineage cut that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def has_column(df: DataFrame, name: str) -> bool:
-    return name in df.columns
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def doc_key(doc_id: Column) -> Column:
@@ -134,6 +124,16 @@ class Words:
         return range_hash(self.hash(which), begin, begin + k, which)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its tasks, and an executor's memory is shared."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only in the GNU library
+        pass
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -160,3 +160,4 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    tidy()

@@ -133,7 +133,7 @@ def take(documents: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it has copies, with all its columns."""
     others = [c for c in documents.columns if c != "doc_id"]
     mixed = mix(documents, *others)
-    return mixed.withColumn("again", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*documents.columns)
+    return mixed.withColumn("__again", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import pieces as cut_batches
-from tessera.llm.common import table, utf8
+from tessera.llm.common import table, tidy, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Distinct segments a worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Distinct segments a worker remembers, the first it meets, which are the frequent ones; others it knows for a batch.
+REMEMBERED = 350_000
+#: Segments encoded at once.
+SLICE = 20_000
 #: Text bytes cut into segments at once: the more, the fewer lookups of frequent segments.
 BATCH_BYTES = 4_000_000
 #: Threads with which a worker encodes its batches.
@@ -130,7 +132,7 @@ class Codec:
         self.lone[[c for c in (9, 10, 11, 12, 13) if not any(chr(c) in p for p in whole)]] = True
         self.other = SentencePieceProcessor(model_proto=data)
         self.known: dict[bytes, int] = {}
-        self._forget()
+        self.forget()
 
     def normalise(self, text: str) -> str:
         """What the model encodes, without the added prefix."""
@@ -156,27 +158,30 @@ class Codec:
         head = len(self.other.encode("\n"))
         return [ids[head:] for ids in self.other.encode(["\n" + t for t in texts], num_threads=1)]
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Known segments: a slot each, whose ids are flat[begin:begin + size]; faults: doesn't decode to itself, the library disagrees."""
         self.known.clear()
+        self.passing: list[bytes] = []
         self.flat, self.size, self.faults = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, 2), bool)
 
     def slots(self, segments: list[bytes]) -> np.ndarray:
-        """The slot of each segment (blanks at its start are markers); new ones are encoded, decoded again and compared."""
-        if len(self.known) + len(segments) > REMEMBERED:
-            self._forget()
-        known = self.known
+        """The slot of each segment until the next call (blanks at its start are markers); new ones are encoded, decoded again and compared."""
+        for s in self.passing:
+            del self.known[s]
+        known, kept = self.known, len(self.known)
+        self.flat, self.size, self.faults = self.flat[: self.size[:kept].sum()], self.size[:kept], self.faults[:kept]
         new = list(dict.fromkeys(s for s in segments if s not in known))
-        if new:
-            texts = [s.decode("utf-8", "replace") for s in new]
+        self.passing = new[max(0, REMEMBERED - kept) :]
+        for lo in range(0, len(new), SLICE):  # some at a time: ids are Python integers here
+            some = new[lo : lo + SLICE]
+            texts = [s.decode("utf-8", "replace") for s in some]
             made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             back = self.tokenizer.decode_batch(made, skip_special_tokens=False)
-            theirs = self._theirs(texts)
-            known.update(zip(new, range(len(known), len(known) + len(new))))
+            wrong = np.fromiter(map(operator.ne, texts, back), bool, len(some)), np.fromiter(map(operator.ne, made, self._theirs(texts)), bool, len(some))
+            known.update(zip(some, range(len(known), len(known) + len(some))))
             size = np.fromiter(map(len, made), np.int64, len(made))
             self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(made), np.int32, int(size.sum()))])
             self.size = np.concatenate([self.size, size])
-            wrong = np.fromiter(map(operator.ne, texts, back), bool, len(new)), np.fromiter(map(operator.ne, made, theirs), bool, len(new))
             self.faults = np.concatenate([self.faults, np.stack(wrong, axis=1)])
         return np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
 
@@ -234,6 +239,8 @@ def _encode(model_bytes: bytes, with_ids: bool):
             names = [n for n in batch.schema.names if n != "text"]
             extra = [pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(raw))] if with_ids else []
             yield pa.RecordBatch.from_arrays([*rest, pa.array(counts, pa.int64()), pa.array(digests), pa.array(same), pa.array(agreed), *extra], names=[*names, "n_tokens", "ids_sha256", "round_trip", "parity", *["ids"][: len(extra)]])
+        own.forget()
+        tidy()
 
     return run
 
