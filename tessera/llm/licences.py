@@ -23,7 +23,6 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm.common import cut, table
 
@@ -75,6 +74,11 @@ OTHERS = (
 )
 
 
+def _fixed(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    """Constant rows (family, text), as one expression."""
+    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(t).alias("text")) for f, t in rows))))
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -101,8 +105,7 @@ class Scanner:
 
     def __init__(self, documents: DataFrame):
         spark = documents.sparkSession
-        schema = T.StructType([T.StructField("family", T.StringType()), T.StructField("text", T.StringType())])
-        templates = spark.createDataFrame(list(TEMPLATES), schema).select("family", _words(F.col("text")).alias("template"))
+        templates = _fixed(spark, [*TEMPLATES]).select("family", _words(F.col("text")).alias("template"))
         self.templates = templates
         ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         few = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -152,7 +155,7 @@ class Scanner:
         words = F.when(F.col("variant") % 3 == 1, F.concat(some, less)).when(F.col("variant") % 3 == 2, F.concat(less, some)).otherwise(less)
         notice = F.when(F.col("variant") >= 8, F.concat(F.array(F.lit("copyright"), F.lit("c"), (h(F.lit("year")) % 40 + 1985).cast("string")), words)).otherwise(words)
         positive = placed.select("family", "variant", notice.alias("words"))
-        others = spark.createDataFrame([(o,) for o in OTHERS], "text string").select(F.lit(UNKNOWN).alias("family"), F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("variant"), _words(F.col("text")).alias("words"))
+        others = _fixed(spark, [(UNKNOWN, o) for o in OTHERS]).select("family", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("variant"), _words(F.col("text")).alias("words"))
         plain = noise.select(F.lit(UNKNOWN).alias("family"), F.pmod(F.xxhash64("words"), F.lit(VARIANTS)).cast("int").alias("variant"), "words")
         # Half of a template, or only its common words, is not the licence.
         halves = templates.select(F.lit(UNKNOWN).alias("family"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("variant"), F.filter("template", lambda w, i: i % 3 == 1).alias("words"))
