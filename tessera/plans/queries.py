@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numbers, paths
 from tessera.lineage import cut as written
-from tessera.operators import components, diff, extract, graph, resolve, risks, views
+from tessera.operators import diff, extract, graph, resolve, risks, views
 from tessera.plans import fixture, report
 from tessera.sinks import export
 
