@@ -11,8 +11,9 @@ compares all its pairs exactly. So pairs never become rows; a block gives each m
 smallest linked member. No partner is capped or dropped.
 
 Defined results: null and blank texts have no shingles, are linked to nothing and are classes of their own; repeated
-rows are copies of each other; rows that share an id but not a text count as one linked document; a null id comes
-before all others and its class id is null; other columns are ignored; an empty table gives no rows.
+rows are copies of each other; classes are told apart by their texts, never by ids, so rows that share an id (or have
+none) but not a text are documents of their own; a null id comes before all others and its class id is null; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -110,73 +111,80 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-_BLOCK = "rep long, links long, root long, parted boolean"
+_BLOCK = "node long, links long, root long, parted boolean"
 
 
 def _verify(table_: pa.Table) -> pa.Table:
     """A block's texts to its members' links; each class once."""
-    rep, part = table_["rep"].to_numpy(), table_["part"].to_numpy()
+    node, part = table_["node"].to_numpy(), table_["part"].to_numpy()
     ha, hb = table_["ha"][0].as_py(), table_["hb"][0].as_py()
     copies, parted = table_["copies"].to_numpy(), bool(table_["parts"][0].as_py() > 1)
     words = Words(*utf8(table_["text"]))
     sh, per = shingles(words)
     sets = [np.unique(s) for s in np.split(sh, np.cumsum(per)[:-1])]
     if ha == hb:
-        left = right = np.arange(len(rep))
+        left = right = np.arange(len(node))
     else:
         left, right = np.flatnonzero(part == ha), np.flatnonzero(part == hb)
     if not len(left) or not len(right):
-        return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "parted": pa.array([], pa.bool_())})
+        return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "parted": pa.array([], pa.bool_())})
     hit = linked(sets, left, right)
-    links = np.zeros(len(rep), np.int64)
+    links = np.zeros(len(node), np.int64)
     i, j = np.nonzero(hit)
     i, j = left[i], right[j]
     i, j = i[i != j], j[i != j]
     np.add.at(links, i, copies[j])
     if ha != hb:
         np.add.at(links, j, copies[i])
-    label = roots(len(rep), i, j)
-    lowest = np.full(len(rep), np.iinfo(np.int64).max)
-    np.minimum.at(lowest, label, rep)
+    label = roots(len(node), i, j)
+    lowest = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(lowest, label, node)
     some = np.unique(np.concatenate([i, j]))
-    return pa.table({"rep": rep[some], "links": links[some], "root": lowest[label[some]], "parted": np.full(len(some), parted)})
+    return pa.table({"node": node[some], "links": links[some], "root": lowest[label[some]], "parted": np.full(len(some), parted)})
 
 
-def jaccard_join(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest id of its near-duplicate component), copy_id (of its class of equal texts), n_links (other documents of similarity 0.8 or more)."""
+def _placed(documents: DataFrame) -> DataFrame:
+    """Of every row doc_id, its text's hashes k1 and k2, and of its class (null where the text is blank) node, rep, copies, links, root and the root's id root_rep."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(doc_key(F.col("doc_id")).alias("d"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
     signed = docs.mapInArrow(_sign, "d long, k1 long, k2 long, n long, bands array<long>")
-    classes = cut(signed.groupBy("k1", "k2").agg(F.min("d").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    banded = classes.select("rep", F.explode("bands").alias("h"))
-    buckets = cut(banded.groupBy("h").agg(F.min("rep").alias("head"), F.count("*").alias("c")).filter("c > 1").select("h", "head"))
+    grouped = signed.groupBy("k1", "k2").agg(F.min("d").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # Classes are numbered in the order of their smallest ids, which several may share.
+    classes = cut(grouped.orderBy("rep", "k1", "k2").withColumn("node", F.monotonically_increasing_id()))
+    banded = classes.select("node", F.explode("bands").alias("h"))
+    buckets = cut(banded.groupBy("h").agg(F.min("node").alias("head"), F.count("*").alias("c")).filter("c > 1").select("h", "head"))
     # A class is linked to the smallest of its buckets' heads, and the other heads to that one: the components are the
     # same, and classes that share their heads share those links.
-    heads = banded.join(buckets, "h").groupBy("rep").agg(F.array_sort(F.collect_set("head")).alias("heads"))
-    own = heads.select(F.get("heads", F.lit(0)).alias("a"), F.col("rep").alias("b"))
+    heads = banded.join(buckets, "h").groupBy("node").agg(F.array_sort(F.collect_set("head")).alias("heads"))
+    own = heads.select(F.get("heads", F.lit(0)).alias("a"), F.col("node").alias("b"))
     among = heads.filter(F.size("heads") > 1).select(F.col("heads").getItem(0).alias("a"), F.explode(F.slice("heads", 2, BANDS)).alias("b")).distinct()
     near = components(own.union(among).filter("a <> b"))
-    members = classes.drop("bands").join(near.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "rep")
+    members = classes.drop("bands").join(near.select("node", F.col("root").alias("comp")), "node")
     sizes = members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     sizes = sizes.select("comp", F.greatest(F.ceil(F.col("size") / PART_CLASSES), F.ceil(F.col("total") / PART_SHINGLES), F.lit(1)).cast("int").alias("parts"))
     members = cut(members.join(sizes, "comp"))
-    texts = docs.join(members.withColumnRenamed("rep", "d").hint("merge"), ["d", "k1", "k2"]).withColumnRenamed("d", "rep")
-    texts = texts.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = texts.select("comp", F.least("part", "other").alias("ha"), F.greatest("part", "other").alias("hb"), "rep", "part", "copies", "parts", "text", "k1")
-    blocks = blocks.dropDuplicates(["comp", "ha", "hb", "rep", "k1"]) if _repeats(documents) else blocks
-    found = cut(blocks.drop("k1").groupBy("comp", "ha", "hb").applyInArrow(_verify, _BLOCK))
-    whole = found.filter("NOT parted").select("rep", "root")
+    texts = docs.join(members.withColumnRenamed("rep", "d").hint("merge"), ["d", "k1", "k2"])
+    texts = texts.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = texts.select("comp", F.least("part", "other").alias("ha"), F.greatest("part", "other").alias("hb"), "node", "part", "copies", "parts", "text")
+    blocks = blocks.dropDuplicates(["comp", "ha", "hb", "node"]) if _repeats(documents) else blocks
+    found = cut(blocks.groupBy("comp", "ha", "hb").applyInArrow(_verify, _BLOCK))
+    whole = found.filter("NOT parted").select("node", "root")
     parted = found.filter("parted")
     if not parted.isEmpty():
-        whole = whole.union(components(parted.select(F.col("root").alias("a"), F.col("rep").alias("b"))).select("node", "root"))
-    totals = found.groupBy("rep").agg(F.sum("links").alias("links")).join(whole.groupBy("rep").agg(F.min("root").alias("root")), "rep", "left")
-    classed = cut(classes.select("k1", "k2", "rep", "copies").join(totals, "rep", "left"))
-    rows = documents.select("doc_id", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")).join(classed, ["k1", "k2"], "left")
+        whole = whole.union(components(parted.select(F.col("root").alias("a"), F.col("node").alias("b"))).select("node", "root"))
+    totals = found.groupBy("node").agg(F.sum("links").alias("links")).join(whole.groupBy("node").agg(F.min("root").alias("root")), "node", "left")
+    totals = totals.join(classes.select(F.col("node").alias("root"), F.col("rep").alias("root_rep")), "root", "left")
+    classed = cut(classes.select("k1", "k2", "node", "rep", "copies").join(totals, "node", "left"))
+    return documents.select("doc_id", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")).join(classed, ["k1", "k2"], "left")
+
+
+def jaccard_join(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id (smallest id of its near-duplicate component), copy_id (of its class of equal texts), n_links (other documents of similarity 0.8 or more)."""
     own = doc_key(F.col("doc_id"))
     known = lambda c: F.when(c != -(2**63), c)
-    return rows.select(
+    return _placed(documents).select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        known(F.coalesce(F.least("root", "rep"), "rep", own)).alias("class_id"),
+        known(F.coalesce("root_rep", "rep", own)).alias("class_id"),
         known(F.coalesce("rep", own)).alias("copy_id"),
         (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
     )
@@ -188,10 +196,19 @@ def _repeats(documents: DataFrame) -> bool:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents with one of each near-duplicate component, the one of the smallest id; rows that share an id count as one."""
-    kept = jaccard_join(documents).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(doc_key(F.col("doc_id")).alias("__kept_key")).distinct()
-    rows = documents.join(kept.hint("merge"), doc_key(F.col("doc_id")) == F.col("__kept_key"), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if _repeats(documents) else rows
+    """The documents with one of each near-duplicate component, the one of the smallest id (of several texts with that id, the one of the smallest hash).
+
+    Rows that share an id and a text count as one, the one whose other columns are smallest; blank texts stay.
+    """
+    first = F.col("node").isNull() | (F.coalesce("root", "node") == F.col("node")) & (doc_key(F.col("doc_id")) == F.col("rep"))
+    keys = ["__kept_d", "__kept_1", "__kept_2"]
+    kept = _placed(documents).filter(first).select(doc_key(F.col("doc_id")).alias(keys[0]), F.col("k1").alias(keys[1]), F.col("k2").alias(keys[2])).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = documents.withColumns(dict(zip(keys, (doc_key(F.col("doc_id")), F.xxhash64(text), F.xxhash64(F.lit(7), text)))))
+    rows = keyed.join(kept.hint("merge"), keys, "left_semi")
+    if not _repeats(documents):
+        return rows.drop(*keys)
+    return rows.groupBy(*keys).agg(F.min(F.struct(*documents.columns)).alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

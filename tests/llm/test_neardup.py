@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import numpy as np
@@ -73,6 +74,18 @@ def test_keep_one(spark):
     assert [r.doc_id for r in neardup.keep_one(frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], False)).collect()] == [1]
 
 
+def test_no_id_is_no_class(spark):
+    """Texts without an id, or of one id, are told apart: none is lost, none fuses what it is not near to."""
+    rng = random.Random(11)
+    a, b, c, d = (words(rng, 80) for _ in range(4))
+    near = lambda w, k: " ".join([*w[:-k], *(f"n{i}" for i in range(k))])
+    rows = [(None, " ".join(a)), (None, " ".join(b)), (None, " ".join(b)), (None, " ".join(c)), (5, near(a, 2)), (6, near(b, 3)), (7, " ".join(d)), (7, near(c, 4)), (7, "x y z"), (8, near(d, 1)), (None, ""), (9, "x y z")]
+    expected = [(None, " ".join(a)), (None, " ".join(b)), (None, " ".join(c)), (7, " ".join(d)), (7, "x y z"), (None, "")]
+    kept = neardup.keep_one(frame(spark, rows, False)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(expected, key=str)
+    assert got(neardup.jaccard_join(frame(spark, rows, False))) == brute(rows)
+
+
 def test_empty(spark):
     assert neardup.jaccard_join(frame(spark, corpus()).limit(0)).collect() == []
 
