@@ -40,7 +40,8 @@ ALPHA, SITE_WEIGHT, HOST_WEIGHT = 0.5, 20.0, 20.0
 # Letters in lower case, digits as one, other ASCII characters as blanks, other bytes as they are.
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else 32 for c in range(256)], np.uint32)
 _DROP = re.compile(rb"(?is)<(script|style|nav|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w{1,12};")
-_LANG = re.compile(rb"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,8})""")
+_HTML = re.compile(rb"(?i)<html\b")
+_LANG = re.compile(rb"""(?i)\blang\s*=\s*["']?([a-z]{2,8})""")
 _HOST = re.compile(r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]+)")
 
 
@@ -107,6 +108,17 @@ def plain_text(html: bytes) -> bytes:
     return _DROP.sub(b" ", html)
 
 
+def declared(html: bytes) -> str:
+    """The lang attribute of the first html tag that has one, wherever it stands; "none" without any. Each byte is read once."""
+    at = 0
+    while tag := _HTML.search(html, at):
+        at = html.find(b">", tag.end())
+        at = len(html) if at < 0 else at
+        if found := _LANG.search(html, tag.end(), at):
+            return found[1].decode().lower()
+    return "none"
+
+
 def address(url: str) -> tuple[str, str, str]:
     """Host, site (its last two labels) and suffix of an address; "none" where there is none."""
     m = _HOST.match(url)
@@ -123,14 +135,14 @@ def _evidence(model: TextModel):
             pages = batch.column(2)
             raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in pages]
             texts = [plain_text(x) for x in raw]
-            found = [_LANG.search(x[:65536]) for x in raw]
+            found = [declared(x) for x in raw]
             places = [address(u or "") for u in batch.column(1).to_pylist()]
             data = np.frombuffer(b"".join(texts), np.uint8)
             scores, _ = model.score(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
             p = np.exp(scores - scores.max(axis=1, keepdims=True, initial=-np.inf)) if scores.shape[1] else scores
             p = p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), pa.float64())) for x in (scores, p)]
-            columns = [batch.column(0), pa.array([m[1].decode().lower() if m else "none" for m in found], pa.string()), *(pa.array([x[i] for x in places], pa.string()) for i in range(3)), *lists]
+            columns = [batch.column(0), pa.array(found, pa.string()), *(pa.array([x[i] for x in places], pa.string()) for i in range(3)), *lists]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "declared", "host", "site", "suffix", "scores", "p"])
 
     return run

@@ -50,3 +50,13 @@ def test_evidence_decides(spark):
     assert (found[100].lang, found[101].lang, found[103].lang) == ("de", "en", "de") and None in found and found[102].declared == "none"
     assert all(r.lang == "en" for i, r in found.items() if i is not None and i < 20)
     assert language.identify(df, docs.limit(0)).count() == len(rows) and language.identify(df.limit(0), docs).collect() == []
+
+
+def test_declared_behind_a_long_start(spark):
+    """The html tag counts wherever it stands."""
+    start = "<!-- " + "x " * 40_000 + "-->"
+    assert language.declared(b"<html><HTML class=a LANG = 'De-x'>") == "de" and language.declared(b"<html lang") == language.declared(b"") == "none"
+    assert language.declared(b"<html " * 100_000) == "none"
+    df = spark.createDataFrame([(1, "http://a.b/", start + '<html lang="fr"><body>a</body>')], "page_id long, url string, html string")
+    docs = spark.createDataFrame([("en", "the cat and the dog"), ("fr", "le chat et le chien")], "lang string, text string")
+    assert language.identify(df, docs).first().declared == "fr"
