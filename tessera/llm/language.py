@@ -10,7 +10,7 @@ Four kinds of evidence are added in log space for each language l:
 
 The tables of markup, address and host come from grouped aggregation over all pages of the text's own posteriors
 (soft counts, partially aggregated before any shuffle), and a page's own share is taken out of its host's and site's
-counts. Only the trigram counts (at most BUCKETS a language) and the evidence tables of languages go to the driver.
+counts. Only the trigram counts (at most BUCKETS a language, only those that occur) and the evidence tables of languages go to the driver.
 
 Defined results: null html, url or lang count as missing; missing markup or address is evidence of its own kind
 ("none" is a value like any other); a page without text is decided by the rest; ties go to the first language in code
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, pieces, table, utf8
 
 BUCKETS = 1 << 15
-#: Languages told apart: the most frequent ones, should labels hold more values.
-LANGUAGES = 200
+#: With more languages than this, posteriors are summed as rows, not as columns. All languages are told apart.
+COLUMNS = 200
 #: Weight of a trigram, and the most the text counts for, in trigrams.
 TEMPER, TEXT_LIMIT = 0.1, 200
 ALPHA, SITE_WEIGHT, HOST_WEIGHT = 0.5, 20.0, 20.0
@@ -71,36 +71,49 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = batch.column(0).dictionary_encode()
         names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         bucket, text = trigrams(*utf8(batch.column(1)))
-        counts = np.bincount(code[text] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-        for name, own in zip(names, counts):
+        order = np.argsort(code[text], kind="stable")
+        edges = np.searchsorted(code[text][order], np.arange(len(names) + 1))
+        for i, name in enumerate(names):
+            own = np.bincount(bucket[order[edges[i] : edges[i + 1]]], minlength=BUCKETS)
             held[name] = held[name] + own if name in held else own
-        if len(held) > 64:
-            yield from out()
+            if len(held) > 64:
+                yield from out()
     yield from out()
 
 
 class TextModel:
-    """languages and the log-likelihoods of buckets, languages by BUCKETS."""
+    """languages, and by language the buckets that occur, their log-likelihoods, and that of all other buckets."""
 
     def __init__(self, documents: DataFrame):
         named = documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-        counts = cut(named.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-        top = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-        self.languages = sorted(r["lang"] for r in top)
-        table_ = np.zeros((len(self.languages), BUCKETS))
-        if self.languages:
-            rows = counts.filter(F.col("lang").isin(self.languages)).toArrow()
-            at = {name: i for i, name in enumerate(self.languages)}
-            table_[[at[x] for x in rows["lang"].to_pylist()], rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-        smooth = table_ + 0.5
-        self.logs = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+        counts = named.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        rows = cut(counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct(F.col("bucket").cast("int").alias("bucket"), "n"))).alias("all")).select("lang", "all.bucket", "all.n")).toArrow()
+        found = {}
+        for lang, bucket, n in zip(rows["lang"].to_pylist(), rows["bucket"], rows["n"]):
+            smooth = n.values.to_numpy() + 0.5
+            total = smooth.sum() + 0.5 * (BUCKETS - len(smooth))
+            found[lang] = bucket.values.to_numpy(), np.log(smooth / total).astype(np.float32), np.float32(np.log(0.5 / total))
+        self.languages = sorted(found)
+        self.sparse = [found[lang] for lang in self.languages]
+
+    def dense(self, i: int) -> np.ndarray:
+        """Log-likelihoods of all buckets in a language."""
+        bucket, logs, rest = self.sparse[i]
+        own = np.full(BUCKETS, rest, np.float32)
+        own[bucket] = logs
+        return own
+
+    @property
+    def logs(self) -> np.ndarray:
+        """Log-likelihoods, languages by BUCKETS."""
+        return np.stack([self.dense(i) for i in range(len(self.sparse))]) if self.sparse else np.zeros((0, BUCKETS), np.float32)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tempered log-likelihoods, texts by languages, and each text's number of trigrams."""
         bucket, text = trigrams(data, offsets)
         n = len(offsets) - 1
         count = np.bincount(text, minlength=n)
-        sums = np.stack([np.bincount(text, own[bucket], n) for own in self.logs], axis=1) if len(self.logs) else np.zeros((n, 0))
+        sums = np.stack([np.bincount(text, self.dense(i)[bucket], n) for i in range(len(self.sparse))], axis=1) if self.sparse else np.zeros((n, 0))
         return sums * (TEMPER * np.minimum(count, TEXT_LIMIT) / np.maximum(count, 1))[:, None], count
 
 
@@ -148,9 +161,17 @@ def _evidence(model: TextModel):
     return run
 
 
-def _soft(n: int) -> list[Column]:
-    """Sums of the posteriors by language, as exact decimals: the same in any order."""
-    return [F.array(*(F.sum(F.get("p", F.lit(i)).cast("decimal(30,9)")).cast("double") for i in range(n))).alias("soft"), F.count("*").cast("double").alias("pages")]
+def _soft(seen: DataFrame, kind: str, n: int) -> DataFrame:
+    """kind, soft, pages: sums of the posteriors by language, as exact decimals: the same in any order and either way."""
+    exact = lambda p: F.sum(p.cast("decimal(30,9)")).cast("double")
+    pages = F.count("*").cast("double").alias("pages")
+    if n <= COLUMNS:
+        return seen.groupBy(kind).agg(F.array(*(exact(F.get("p", F.lit(i))) for i in range(n))).alias("soft"), pages)
+    # Posteriors under half a unit of the decimals' last place count as 0 in either way.
+    parts = seen.select(kind, F.posexplode("p").alias("i", "v")).filter("v >= 4e-10").groupBy(kind, "i").agg(exact(F.col("v")).alias("v"))
+    known = parts.groupBy(kind).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("sums"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("sums", i), F.lit(0.0)))
+    return seen.groupBy(kind).agg(pages).join(known, kind, "left").select(kind, filled.alias("soft"), "pages")
 
 
 def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -161,18 +182,18 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     seen = cut(rows.mapInArrow(_evidence(model), "page_id long, declared string, host string, site string, suffix string, scores array<double>, p array<double>"))
     if not n:
         return seen.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), "declared", "host")
-    whole = seen.agg(*_soft(n)).first()
-    soft = np.array([v or 0.0 for v in whole["soft"]])
+    whole = _soft(seen.withColumn("every", F.lit(0)), "every", n).first()
+    soft = np.array([v or 0.0 for v in whole["soft"]] if whole else [0.0] * n)
     prior = F.array(*(F.lit(float(x)) for x in (soft + ALPHA) / (soft.sum() + ALPHA * n)))
     total = F.array(*(F.lit(float(x)) for x in soft))
 
     def likelihoods(kind: str) -> DataFrame:
-        counts = seen.groupBy(kind).agg(*_soft(n))
+        counts = _soft(seen, kind, n)
         values = counts.count()
         return counts.select(kind, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.log((F.get("soft", i) + ALPHA) / (F.get(total, i) + ALPHA * values))).alias(f"by_{kind}"))
 
-    sites = seen.groupBy("site").agg(*_soft(n)).select("site", F.col("soft").alias("site_soft"), F.col("pages").alias("site_pages"))
-    hosts = seen.groupBy("host").agg(*_soft(n)).select("host", F.col("soft").alias("host_soft"), F.col("pages").alias("host_pages"))
+    sites = _soft(seen, "site", n).select("site", F.col("soft").alias("site_soft"), F.col("pages").alias("site_pages"))
+    hosts = _soft(seen, "host", n).select("host", F.col("soft").alias("host_soft"), F.col("pages").alias("host_pages"))
     joined = seen.join(likelihoods("declared"), "declared").join(likelihoods("suffix"), "suffix").join(sites, "site").join(hosts, "host")
 
     def posterior(i: Column) -> Column:

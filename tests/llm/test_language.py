@@ -60,3 +60,16 @@ def test_declared_behind_a_long_start(spark):
     df = spark.createDataFrame([(1, "http://a.b/", start + '<html lang="fr"><body>a</body>')], "page_id long, url string, html string")
     docs = spark.createDataFrame([("en", "the cat and the dog"), ("fr", "le chat et le chien")], "lang string, text string")
     assert language.identify(df, docs).first().declared == "fr"
+
+
+def test_all_languages(spark, monkeypatch):
+    """However many languages the labels hold, all are told apart; posteriors summed as rows give the same."""
+    made = {f"l{i:03}": " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{c}" for c in "qxzjkvwy") for i in range(230)}
+    docs = spark.createDataFrame([(lang, text * (2 if lang < "l220" else 1)) for lang, text in made.items()], "lang string, text string")
+    assert language.TextModel(docs).languages == sorted(made)
+    df = spark.createDataFrame([(i, f"http://h{i}.x/", f"<html><body>{made[lang]} {made[lang]}") for i, lang in ((1, "l003"), (2, "l225"), (3, "l229"))], "page_id long, url string, html string")
+    assert {r.page_id: r.lang for r in language.identify(df, docs).collect()} == {1: "l003", 2: "l225", 3: "l229"}
+    few = docs.filter("lang < 'l010' OR lang > 'l224'")
+    as_columns = sorted(language.identify(df, few).collect())
+    monkeypatch.setattr(language, "COLUMNS", 3)
+    assert sorted(language.identify(df, few).collect()) == as_columns
