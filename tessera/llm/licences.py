@@ -1,14 +1,18 @@
 """Licence scans: a trained paragraph classifier over word n-grams, in DataFrame operations only.
 
-A paragraph is the text between line feeds; its words are lower-case runs of letters and digits. The training rows are
+A paragraph is the text between blank lines; its words are lower-case runs of letters and digits, so that line feeds
+inside it part words like blanks. What is classified are a paragraph's lines and, for every template that the paragraph
+may contain, the windows of its words where that template's words stand. So notices wrapped over lines are found, and
+several notices in one line or paragraph each by windows of their own. The training rows are
 the templates below in a few deterministic variants (a word left out, a notice before it, other text around it), and,
 as the class "unknown", sentences that talk about licences without granting one and paragraphs of the corpus that share
 little with any template (from at most SAMPLE documents, those of the smallest hash of their id). Anchors are the
 words of templates that are not common in such corpus paragraphs. Features are the one-, two- and three-word grams
 that hold an anchor; a paragraph without any anchor has no feature at all, so leaving it out before scoring loses
 nothing. The model is a multinomial logistic regression on these sparse binary features. Its probabilities are
-calibrated by a temperature that fits training variants kept aside. A family is confirmed where a template of it is
-contained in the paragraph (share of the template's two-word grams); otherwise the paragraph counts as unknown.
+calibrated by a temperature that fits training variants kept aside. A family is confirmed where it is a
+line's or window's most probable one and a template of it is contained there (share of the template's two-word grams); a
+paragraph with a line or window that is classified but without any confirmed family counts as unknown.
 
 Defined results: a document has one row with its families (sorted, joined by commas; empty without any), the number of
 licence and of unknown paragraphs, and the largest probability of a confirmed family (0 without any). Null and empty
@@ -32,6 +36,10 @@ SAMPLE, NOISE = 400, 1200
 COMMON = 0.01
 VARIANTS = 12
 CONFIRMED = 0.6
+#: Words a window has beyond those of its template: a word may stand between them.
+SLACK = 2
+#: Line feeds with nothing but blanks between them.
+BLANK_LINES = r"\n[ \t\x0B\f\r]*\n\s*"
 UNKNOWN = "unknown"
 TEMPERATURES = (0.5, 0.7, 1.0, 1.4, 2.0, 2.8)
 
@@ -162,14 +170,33 @@ class Scanner:
         rows = positive.unionByName(others).unionByName(plain).unionByName(halves)
         return cut(rows.select("family", "variant", _features(F.col("words"), self.anchor_array).alias("grams")).coalesce(1))
 
+    def _windows(self, words: Column) -> Column:
+        """The windows of a paragraph's words that contain a template, for every template, as arrays of words; each once."""
+        fixed = [(w, sorted({f"{a} {b}" for a, b in zip(w, w[1:])})) for _, w in self._by_family()]
+        own = F.array(*(F.struct(F.array(*map(F.lit, g)).alias("grams"), F.lit(len(w) + SLACK).alias("size")) for w, g in fixed))
+        every = F.array(*map(F.lit, sorted({g for _, grams in fixed for g in grams})))
+        grams = _grams(words, 2)
+        hits = F.array_intersect(grams, every)
+        able = F.filter(own, lambda t: F.size(F.array_intersect(t["grams"], hits)) >= CONFIRMED * F.size(t["grams"]))
+
+        def of(t: Column) -> Column:
+            starts = F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains(t["grams"], g), i + 1)), lambda i: i.isNotNull())
+            cuts = F.array_distinct(F.transform(starts, lambda i: F.slice(words, i, t["size"])))
+            return F.filter(cuts, lambda w: F.size(F.array_intersect(t["grams"], _grams(w, 2))) >= CONFIRMED * F.size(t["grams"]))
+
+        return F.array_distinct(F.flatten(F.transform(able, of)))
+
     def paragraphs(self, documents: DataFrame) -> DataFrame:
-        """Every paragraph with an anchor: doc_id, paragraph (from 0), family, probability, contained (of the family's best template), confirmed."""
-        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.arrays_overlap(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), self.anchor_array))
-        lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.arrays_overlap(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"), self.anchor_array))
-        ready = lines.select("doc_id", "paragraph", _words(F.col("line")).alias("words")).withColumn("grams", _features(F.col("words"), self.anchor_array))
+        """Every line with an anchor and every window of paragraphs with an anchor: doc_id, row (of the document), paragraph (from 0), family, probability, contained (of the family's best template), confirmed."""
+        anchored = lambda text: F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), self.anchor_array)
+        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(anchored(F.col("text"))).withColumn("row", F.monotonically_increasing_id())
+        parts = texts.select("doc_id", "row", F.posexplode(F.split("text", BLANK_LINES)).alias("paragraph", "part")).filter(anchored(F.col("part")))
+        lines = F.transform(F.filter(F.split("part", "\n"), anchored), _words)
+        units = parts.withColumn("words", _words(F.col("part"))).select("doc_id", "row", "paragraph", F.explode(F.array_distinct(F.concat(lines, self._windows(F.col("words"))))).alias("words"))
+        ready = units.withColumn("grams", _features(F.col("words"), self.anchor_array))
         scored = self.model.transform(self.vector.transform(ready)).withColumn("p", self._softmax(vector_to_array("rawPrediction"), F.lit(self.temperature)))
         names = F.array(*map(F.lit, self.classes))
-        best = scored.select("doc_id", "paragraph", "words", F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("family"), F.array_max("p").alias("probability"))
+        best = scored.select("doc_id", "row", "paragraph", "words", F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("family"), F.array_max("p").alias("probability"))
         own = F.array(*(F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, w)).alias("template")) for f, w in self._by_family()))
         shares = F.transform(F.filter(own, lambda t: t["family"] == F.col("family")), lambda t: _contained(F.col("words"), t["template"]))
         checked = best.withColumn("contained", F.coalesce(F.array_max(shares), F.lit(0.0)))
@@ -183,9 +210,10 @@ def scan(documents: DataFrame) -> DataFrame:
     """doc_id, families, n_licence, n_unknown, probability of every document."""
     found = Scanner(documents).paragraphs(documents)
     sure = F.col("confirmed")
-    sums = found.groupBy(F.col("doc_id").alias("id")).agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("family")))), ",").alias("families"),
-        F.count_if(sure).alias("n_licence"), F.count_if(~sure).alias("n_unknown"), F.round(F.max(F.when(sure, F.col("probability"))), 6).alias("probability"),
+    each = found.groupBy(F.col("doc_id").alias("id"), "row", "paragraph").agg(F.collect_set(F.when(sure, F.col("family"))).alias("own"), F.max(F.when(sure, F.col("probability"))).alias("probability"))
+    sums = each.groupBy("id").agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))), ",").alias("families"),
+        F.count_if(F.size("own") > 0).alias("n_licence"), F.count_if(F.size("own") == 0).alias("n_unknown"), F.round(F.max("probability"), 6).alias("probability"),
     )
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
     return ids.join(sums, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_licence", F.lit(0)).alias("n_licence"), F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"), F.coalesce("probability", F.lit(0.0)).alias("probability"))

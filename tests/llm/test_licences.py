@@ -34,5 +34,23 @@ def test_unknown(found):
     assert all(found[i].families == "" for i, _ in corpus())
 
 
+NOTICES = {
+    "GPL": "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published",
+    "BSD": "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted, provided that",
+}
+
+
+def test_wrapped_and_several(spark):
+    """Notices over several lines, and several in one line or one paragraph, are all found."""
+    rows = [(i, f"plain words here\n\n{text}\n \nend of it") for i, text in enumerate(NOTICES.values())]
+    rows += [(10, "This file may be used in two ways. Released under the MIT License. Or, at your choice: Licensed under the Apache License, Version 2.0."), (11, "\n".join(NOTICES.values())), (12, " ".join(NOTICES.values()).replace("\n", " "))]
+    found = {r.doc_id: r for r in licences.scan(frame(spark, corpus() + [(i + 5000, t) for i, t in rows], False)).collect()}
+    for i, family in enumerate(NOTICES):
+        assert (found[5000 + i].families, found[5000 + i].n_licence) == (family, 1)
+    assert found[5010].families == "Apache-2.0,MIT"
+    assert found[5011].families == found[5012].families == "BSD,GPL,ISC"
+
+
 def test_empty(spark):
     assert licences.scan(frame(spark, corpus()).limit(0)).collect() == []
