@@ -18,18 +18,19 @@ def stem(key: Column) -> Column:
     return F.concat(folder, F.lit("m"), key.cast("string"))
 
 
-def edges(spark: SparkSession, sf_dir: str, cut: int, packages: bool = False) -> DataFrame:
-    """Distinct part keys src, dst, and whether dst is a package."""
+def edges(spark: SparkSession, sf_dir: str, cut: int, packages: bool = False, turned: bool = False) -> DataFrame:
+    """Distinct part keys src, dst (exchanged if turned), and whether dst is a package."""
     along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     pairs = lines.select(F.col("l_partkey").alias("src"), F.col("l_quantity").alias("q"), F.lead("l_partkey").over(along).alias("dst"))
     kept = pairs.filter((F.col("q") >= cut) & F.col("dst").isNotNull()).select("src", "dst").distinct()
+    kept = kept.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if turned else kept
     return kept.withColumn("external", F.lit(packages) & (F.col("dst") % 10 == 9))
 
 
-def project(spark: SparkSession, sf_dir: str, cut: int, packages: bool = False, snapshot: str = "head") -> tuple[DataFrame, DataFrame]:
+def project(spark: SparkSession, sf_dir: str, cut: int, packages: bool = False, snapshot: str = "head", turned: bool = False) -> tuple[DataFrame, DataFrame]:
     """Files and dependencies as the parsers would give them."""
-    pairs = edges(spark, sf_dir, cut, packages)
+    pairs = edges(spark, sf_dir, cut, packages, turned)
     files = pairs.select("src").distinct().select(F.lit(snapshot).alias("snapshot_id"), F.concat(stem(F.col("src")), F.lit(".py")).alias("file_id"), F.lit("python").alias("language"))
     name = F.concat(F.lit("m"), F.col("dst").cast("string"))
     target = F.when(F.col("external"), F.concat(F.lit("pkg:"), name)).otherwise(F.concat(stem(F.col("dst")), F.lit(".py")))

@@ -36,27 +36,27 @@ def _limits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return node, risks.thresholds(node)
 
 
-def _adjacency(s: SparkSession, d: str) -> DataFrame:
-    node, edge = _graph(s, d, packages=True)
+def _adjacency(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
+    node, edge = _graph(s, d, cut, packages=True)
     return graph.between_files(edge, node).select("source", "target")
 
 
-def _complexity(s: SparkSession, d: str) -> DataFrame:
-    node, _ = _graph(s, d, packages=True)
+def _complexity(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
+    node, _ = _graph(s, d, cut, packages=True)
     none = s.createDataFrame([], "snapshot_id string, cycle_root string, file_id string")
     return _plain(graph.complexity(graph.annotate_nodes(node, none)))
 
 
-def _critical(s: SparkSession, d: str) -> DataFrame:
-    return _plain(graph.critical(_graph(s, d)[0]))
+def _critical(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
+    return _plain(graph.critical(_graph(s, d, cut)[0]))
 
 
-def _cycles(s: SparkSession, d: str) -> DataFrame:
-    return _report(s, d).cycles.select("place", F.array_join("members", ",").alias("members"), F.array_join(F.concat("members", F.array(F.get("members", F.lit(0)))), " -> ").alias("path"))
+def _cycles(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
+    return _report(s, d, cut).cycles.select("place", F.array_join("members", ",").alias("members"), F.array_join(F.concat("members", F.array(F.get("members", F.lit(0)))), " -> ").alias("path"))
 
 
-def _violations(s: SparkSession, d: str) -> DataFrame:
-    node, edge = _graph(s, d)
+def _violations(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
+    node, edge = _graph(s, d, cut)
     return risks.violations(edge, node)
 
 
@@ -64,24 +64,24 @@ def _scores(r: report.Report) -> DataFrame:
     return r.scores.select("file", "risk_score", "dependents", "outgoing", F.array_join("signals", ",").alias("signals"))
 
 
-def _top15(s: SparkSession, d: str) -> DataFrame:
-    return _report(s, d).top_risks.select(F.col("place").cast("long").alias("place"), "file", "risk_score", F.array_join("signals", ",").alias("signals"))
+def _top15(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
+    return _report(s, d, cut).top_risks.select(F.col("place").cast("long").alias("place"), "file", "risk_score", F.array_join("signals", ",").alias("signals"))
 
 
-def _visible(s: SparkSession, d: str, **how) -> DataFrame:
+def _visible(s: SparkSession, d: str, cut: int = CUT, **how) -> DataFrame:
     """Visible nodes and edges as (kind, id)."""
-    r = _report(s, d, packages=True)
+    r = _report(s, d, cut, packages=True)
     node, edge = views.visible(r.nodes, r.edges, **how)
     return node.select(F.lit("node").alias("kind"), "id").unionByName(edge.select(F.lit("edge").alias("kind"), "id"))
 
 
-def _extracted(s: SparkSession, d: str, kind: str) -> DataFrame:
-    rows = extract.extract(extract.virtual(fixture.texts(s, d, CUT, kind)))
+def _extracted(s: SparkSession, d: str, kind: str, cut: int = CUT) -> DataFrame:
+    rows = extract.extract(extract.virtual(fixture.texts(s, d, cut, kind)))
     return rows.select("file_id", F.col("pos").cast("long").alias("pos"), "kind", "specifier", F.array_join("names", ",").alias("names"))
 
 
-def _resolved(s: SparkSession, d: str, kind: str) -> DataFrame:
-    files = written(extract.virtual(fixture.texts(s, d, CUT, kind)))
+def _resolved(s: SparkSession, d: str, kind: str, cut: int = CUT) -> DataFrame:
+    files = written(extract.virtual(fixture.texts(s, d, cut, kind)))
     return resolve.resolve(extract.extract(files), files).select("source", "id", "label", "type")
 
 
@@ -98,76 +98,97 @@ def _paths(s: SparkSession, d: str) -> DataFrame:
     return part.select("p_partkey", out.alias("file_id"), paths.first_segment(raw).alias("folder"), paths.language(raw).alias("language"), joined.alias("joined"), paths.ignored(F.replace(out, F.lit("a/"), F.lit("build/"))).alias("is_ignored"))
 
 
-def _two(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(graph.edges(fixture.project(s, d, c, snapshot=n)[1]) for c, n in ((BASE, "base"), (CUT, "head")))
+def _snapshots(s: SparkSession, d: str, whole: bool) -> list[tuple[DataFrame, DataFrame]]:
+    """Base and head: two cuts, or all rows both times, with every edge turned round in the base."""
+    if whole:
+        return [fixture.project(s, d, DENSE, snapshot=n, turned=n == "base") for n in ("base", "head")]
+    return [fixture.project(s, d, c, snapshot=n) for c, n in ((BASE, "base"), (CUT, "head"))]
 
 
-def _diff(s: SparkSession, d: str) -> DataFrame:
-    (f1, d1), (f2, d2) = (fixture.project(s, d, c, snapshot=n) for c, n in ((BASE, "base"), (CUT, "head")))
+def _two(s: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    return tuple(graph.edges(deps) for _, deps in _snapshots(s, d, whole))
+
+
+def _diff(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    (f1, d1), (f2, d2) = _snapshots(s, d, whole)
     r = report.of_graph(f1.unionByName(f2), d1.unionByName(d2))
     return diff.summary(r.edges, r.metrics, r.complexity, r.scores, r.violations, r.gods, r.explosions, "base", "head")
 
 
-def _heat(s: SparkSession, d: str) -> DataFrame:
-    return _complexity(s, d).select("file", views.heat_colour(F.col("score")).alias("colour"))
+def _heat(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
+    return _complexity(s, d, cut).select("file", views.heat_colour(F.col("score")).alias("colour"))
 
 
-def _elements(s: SparkSession, d: str) -> DataFrame:
-    node, edge = _graph(s, d, packages=True)
+def _elements(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
+    node, edge = _graph(s, d, cut, packages=True)
     rows = export.elements(node, edge)
     return rows.select("grp", "id", F.get_json_object("data", "$.label").alias("label"), F.get_json_object("data", "$.source").alias("source"), F.get_json_object("data", "$.target").alias("target"))
 
 
-def _signs(s: SparkSession, d: str) -> DataFrame:
-    edge = _graph(s, d)[1].groupBy(F.substring_index("source", "/", 1).alias("head")).agg(F.count("*").alias("n"))
+def _signs(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
+    edge = _graph(s, d, cut)[1].groupBy(F.substring_index("source", "/", 1).alias("head")).agg(F.count("*").alias("n"))
     return edge.select("head", numbers.signed(F.col("n") - 100).alias("whole"), numbers.signed((F.col("n") - 100) / 8, 2).alias("decimal"))
 
 
+def _over(cut: int) -> dict[str, Query]:
+    """The queries of a graph of the rows from a quantity on."""
+    return {
+        "graph_nodes": lambda s, d: _plain(_graph(s, d, cut, packages=True)[0]),
+        "graph_edges": lambda s, d: _plain(_graph(s, d, cut, packages=True)[1]),
+        "graph_simple": lambda s, d: _graph(s, d, cut)[1].select("source", "target"),
+        "implied_nodes": lambda s, d: _plain(graph.implied(*fixture.project(s, d, cut, True))),
+        "file_adjacency": lambda s, d: _adjacency(s, d, cut),
+        "metrics_summary": lambda s, d: _plain(_report(s, d, cut, packages=True).metrics),
+        "complexity_scores": lambda s, d: _complexity(s, d, cut),
+        "complexity_top5": lambda s, d: _complexity(s, d, cut).orderBy(F.desc("score"), "file").limit(5).withColumn("percent", F.bround(F.col("score") * 100).cast("long")),
+        "critical_files": lambda s, d: _critical(s, d, cut),
+        "critical_top10": lambda s, d: _critical(s, d, cut).orderBy(F.desc("dependents"), "file").limit(10),
+        "cycles": lambda s, d: _cycles(s, d, cut),
+        "circular_nodes": lambda s, d: _report(s, d, cut).members.select("cycle_root", "file_id"),
+        "circular_edges": lambda s, d: _report(s, d, cut).edges.filter("is_circular").select("id", "source", "target"),
+        "layer_violations": lambda s, d: _violations(s, d, cut).select("source", "target", "source_layer", "target_layer", "rule"),
+        "violations_by_file": lambda s, d: _plain(risks.violations_by_file(_violations(s, d, cut))),
+        "risk_scores": lambda s, d: _scores(_report(s, d, cut)),
+        "risk_top15": lambda s, d: _top15(s, d, cut),
+        "folder_list": lambda s, d: _plain(views.folders(_graph(s, d, cut, packages=True)[0])),
+        "folder_filter": lambda s, d: _visible(s, d, cut, folder="core"),
+        "cycles_only_filter": lambda s, d: _visible(s, d, cut, cycles_only=True),
+        "label_search": lambda s, d: _visible(s, d, cut, term=" M1"),
+        "heat_colours": lambda s, d: _heat(s, d, cut),
+        "extract_python_import": lambda s, d: _extracted(s, d, "import", cut),
+        "extract_python_from": lambda s, d: _extracted(s, d, "from", cut),
+        "extract_js": lambda s, d: _extracted(s, d, "js", cut),
+        "extract_rust": lambda s, d: _extracted(s, d, "rust", cut),
+        "resolve_python": lambda s, d: _resolved(s, d, "import", cut),
+        "resolve_python_from": lambda s, d: _resolved(s, d, "from", cut),
+        "resolve_js": lambda s, d: _resolved(s, d, "js", cut),
+        "resolve_rust": lambda s, d: _resolved(s, d, "rust", cut),
+        "mermaid_lines": lambda s, d: _plain(export.mermaid_lines(*_graph(s, d, cut, packages=True))).withColumn("part", F.col("part").cast("long")),
+        "cytoscape_elements": lambda s, d: _elements(s, d, cut),
+        "signed_numbers": lambda s, d: _signs(s, d, cut),
+    }
+
+
 QUERIES: dict[str, Query] = {
-    "graph_nodes": lambda s, d: _plain(_graph(s, d, packages=True)[0]),
-    "graph_edges": lambda s, d: _plain(_graph(s, d, packages=True)[1]),
-    "graph_simple": lambda s, d: _graph(s, d)[1].select("source", "target"),
+    **_over(CUT),
     "node_degrees": lambda s, d: _plain(graph.degrees(_graph(s, d, DENSE)[1])),
-    "implied_nodes": lambda s, d: _plain(graph.implied(*fixture.project(s, d, CUT, True))),
-    "file_adjacency": _adjacency,
-    "metrics_summary": lambda s, d: _plain(_report(s, d, packages=True).metrics),
-    "complexity_scores": _complexity,
-    "complexity_top5": lambda s, d: _complexity(s, d).orderBy(F.desc("score"), "file").limit(5).withColumn("percent", F.bround(F.col("score") * 100).cast("long")),
-    "critical_files": _critical,
-    "critical_top10": lambda s, d: _critical(s, d).orderBy(F.desc("dependents"), "file").limit(10),
-    "cycles": _cycles,
-    "circular_nodes": lambda s, d: _report(s, d).members.select("cycle_root", "file_id"),
-    "circular_edges": lambda s, d: _report(s, d).edges.filter("is_circular").select("id", "source", "target"),
     "p90_thresholds": lambda s, d: _plain(_limits(s, d)[1]),
     "god_modules": lambda s, d: _plain(risks.god_modules(*_limits(s, d))),
     "dependency_explosions": lambda s, d: _plain(risks.explosions(*_limits(s, d))),
-    "layer_violations": lambda s, d: _violations(s, d).select("source", "target", "source_layer", "target_layer", "rule"),
-    "violations_by_file": lambda s, d: _plain(risks.violations_by_file(_violations(s, d))),
-    "risk_scores": lambda s, d: _scores(_report(s, d)),
-    "risk_top15": _top15,
-    "folder_list": lambda s, d: _plain(views.folders(_graph(s, d, packages=True)[0])),
-    "folder_filter": lambda s, d: _visible(s, d, folder="core"),
-    "cycles_only_filter": lambda s, d: _visible(s, d, cycles_only=True),
-    "label_search": lambda s, d: _visible(s, d, term=" M1"),
     "neighborhood": lambda s, d: _plain(views.neighbourhood(_graph(s, d, DENSE)[1], SAMPLE_NODE)),
     "neighbors_top6": lambda s, d: _plain(views.neighbours(_graph(s, d, DENSE)[1], SAMPLE_NODE, 6)),
-    "heat_colours": _heat,
-    "extract_python_import": lambda s, d: _extracted(s, d, "import"),
-    "extract_python_from": lambda s, d: _extracted(s, d, "from"),
-    "extract_js": lambda s, d: _extracted(s, d, "js"),
-    "extract_rust": lambda s, d: _extracted(s, d, "rust"),
-    "resolve_python": lambda s, d: _resolved(s, d, "import"),
-    "resolve_python_from": lambda s, d: _resolved(s, d, "from"),
-    "resolve_js": lambda s, d: _resolved(s, d, "js"),
-    "resolve_rust": lambda s, d: _resolved(s, d, "rust"),
     "package_names": _names,
     "path_rules": _paths,
     "diff_edges_added": lambda s, d: diff.added(*_two(s, d)),
     "diff_edges_removed": lambda s, d: diff.removed(*_two(s, d)),
     "diff_summary": _diff,
-    "mermaid_lines": lambda s, d: _plain(export.mermaid_lines(*_graph(s, d, packages=True))).withColumn("part", F.col("part").cast("long")),
-    "cytoscape_elements": _elements,
-    "signed_numbers": _signs,
+}
+
+#: The same over the graph of all rows, without SQL: its closures are too slow there.
+WHOLE: dict[str, Query] = {f"{name}_whole": query for name, query in _over(DENSE).items()} | {
+    "diff_edges_added_whole": lambda s, d: diff.added(*_two(s, d, True)),
+    "diff_edges_removed_whole": lambda s, d: diff.removed(*_two(s, d, True)),
+    "diff_summary_whole": lambda s, d: _diff(s, d, True),
 }
 
 

@@ -1,0 +1,26 @@
+import pytest
+
+import __spark_entry__ as entry
+from tests.conftest import DATA
+from tessera.plans import queries
+
+FOLDER = DATA / "sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(n for n in queries.WHOLE if not n.startswith("diff_")))
+def test_same_as_sql_of_all_rows(same_as_sql, monkeypatch, name):
+    """The cut queries' SQL with the cut at 1, which a closure over the smallest scale can bear."""
+    sql = queries.SQL[name.removesuffix("_whole")]
+    assert f"q >= {queries.CUT}" in sql
+    monkeypatch.setattr(entry, "oracle_sql", lambda: {name: sql.replace(f"q >= {queries.CUT}", "q >= 1")})
+    same_as_sql(name, FOLDER)
+
+
+def test_diff_of_all_rows(spark, duck):
+    run = lambda name: entry.queries()[name](spark, str(FOLDER)).collect()
+    rows = duck(FOLDER).execute(queries._sql(queries._edges(1), select="SELECT source, target FROM g")).fetchall()
+    head, base = set(rows), {(b, a) for a, b in rows}
+    assert {(r.source, r.target) for r in run("diff_edges_added_whole")} == head - base
+    assert {(r.source, r.target) for r in run("diff_edges_removed_whole")} == base - head
+    r = run("diff_summary_whole")[0]
+    assert (r.edges_added, r.edges_removed, r.cycles_delta) == (len(head - base), len(base - head), 0) and r.head_cycles > 0
