@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.lineage import cut
 
-__all__ = ["U", "WORD", "Words", "cut", "doc_key", "mix", "pieces", "range_hash", "settle", "table", "tidy", "utf8"]
+__all__ = ["U", "WORD", "Words", "byte_hash", "cut", "doc_key", "joined", "mix", "pieces", "settle", "table", "tidy", "utf8"]
 
 #: A word is a maximal run of characters other than these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,7 +25,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 CHUNK_BYTES = 500_000
 
 U = np.uint64
-_ODD = {1: 0x9E3779B97F4A7C15, 2: 0xD1342543DE82EF95, 3: 0xA0761D6478BD642F}
+_SEED = {1: 0x9E3779B97F4A7C15, 2: 0xD1342543DE82EF95, 3: 0xA0761D6478BD642F}
 
 
 def settle(spark: SparkSession) -> None:
@@ -54,33 +55,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes up to which a range is hashed eight bytes at a time; longer ones go through BLAKE2b.
+_CHAINED = 256
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    known = _POWERS.get(which)
-    if known is None or len(known[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        base = _ODD[which] | 1
-        made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, U(b), U)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        known = made[0], made[1]
-        if size <= 1 << 24:
-            _POWERS[which] = known
-    return known
+def byte_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """64 bits of each byte range: its length and its blocks of eight bytes, chained through a mixing bijection.
 
-
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """Mixed polynomial hash (mod 2**64) of values[start:end] for each range; equal ranges, equal hashes."""
-    powers, inverse = _powers(which, len(values) + 1)
-    sums = np.empty(len(values) + 1, U)
-    sums[0] = 0
-    np.cumsum(values * powers[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
+    Not linear in the bytes, so different seeds (which) make different collisions; up to eight bytes there are none.
+    """
+    length = ends - starts
+    h = mix(length.astype(U) * U(0x9E3779B97F4A7C15) + U(_SEED[which]))
+    long = np.flatnonzero(length > _CHAINED)
+    for i in long.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([which])).digest(), "little")
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+    at = np.flatnonzero((length > 0) & (length <= _CHAINED))
+    done = 0
+    while len(at):
+        left = length[at] - done
+        block = blocks[starts[at] + done]
+        spare = np.maximum(8 - left, 0).astype(U) * U(8)
+        h[at] = mix(h[at] ^ (block << spare))
+        done += 8
+        at = at[left > 8]
+    return h
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of two neighbours to one."""
+    return mix(left * U(0xD1342543DE82EF95) + right)
+
+
+def neighbour_hash(values: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every k neighbouring values, by doubling."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    out, done, power, size = None, 0, values, 1
+    while done < k:
+        if k & size:
+            out = power if out is None else joined(out[: len(power) - done], power[done:])
+            done += size
+        if done < k:
+            power = joined(power[:-size], power[size:])
+            size *= 2
+    return out[:n]
 
 
 class Words:
@@ -110,7 +131,7 @@ class Words:
 
     def hash(self, which: int = 1) -> np.ndarray:
         if which not in self._hash:
-            self._hash[which] = range_hash(self.data.astype(U) + U(1), self.starts, self.ends, which)
+            self._hash[which] = byte_hash(self.data, self.starts, self.ends, which)
         return self._hash[which]
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +142,12 @@ class Words:
         return np.repeat(self.first - np.concatenate([[0], np.cumsum(per)[:-1]]), per) + np.arange(per.sum()), per
 
     def window_hash(self, begin: np.ndarray, k: int, which: int = 1) -> np.ndarray:
-        return range_hash(self.hash(which), begin, begin + k, which)
+        """Hash of the k words from each of begin on."""
+        return self.every(k, which)[begin]
+
+    def every(self, k: int, which: int = 1) -> np.ndarray:
+        """Hash of any k neighbouring words, also across texts."""
+        return neighbour_hash(self.hash(which), k)
 
 
 def tidy() -> None:

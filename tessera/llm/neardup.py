@@ -1,19 +1,22 @@
 """N-gram Jaccard join by MinHash banding.
 
 Texts become sets of five-word shingles (a text of one to four words is one shingle). Equal texts are one class from
-the start. Each class gets BANDS * ROWS min-hashes; a band's ROWS values make one hash, classes are shuffled on band
-hashes, and a bucket links its members to its smallest. BANDS and ROWS are chosen for the target recall: a pair of
-similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS, which is above 0.99997 at 0.8.
-
-The candidate components of those links are verified on full n-gram sets: each class's text is sent to the blocks of
-its component once (large components: once for each pair of their parts, parts being of bounded size), and a block
-compares all its pairs exactly. So pairs never become rows; a block gives each member its number of links and its
-smallest linked member. No partner is capped or dropped.
+the start. Each class gets BANDS * ROWS min-hashes; a band's ROWS values make one hash, and classes are shuffled on
+band hashes. BANDS and ROWS are chosen for the target recall: a pair of similarity s shares a band with probability
+1 - (1 - s**ROWS)**BANDS, which is above 0.99997 at 0.8. The pairs of classes that share a band are the candidates, and
+every candidate is verified on its full n-gram sets.
+
+Pairs never become rows: groups of classes are compared in blocks. Buckets are connected to components first, which are
+the groups; of components of more than MOST_PARTS parts, where texts are mostly chained together without sharing a
+band, the groups are their buckets, those of equal members being one. A group is parted, and each two parts make a
+block. A block looks only at pairs that share a band, and a pair that meets in several groups counts in the group of
+the first band it shares, so the links are the same either way. A block gives each member its number of links and its
+smallest linked member; components over these are the classes. No partner is capped or dropped.
 
 Defined results: null and blank texts have no shingles, are linked to nothing and are classes of their own; repeated
-rows are copies of each other; classes are told apart by their texts, never by ids, so rows that share an id (or have
-none) but not a text are documents of their own; a null id comes before all others and its class id is null; other
-columns are ignored; an empty table gives no rows.
+rows are copies of each other; classes are told apart by their texts (two 64-bit hashes), never by ids, so rows that
+share an id (or have none) but not a text are documents of their own; a null id comes before all others and its class
+id is null; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,16 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, Words, cut, doc_key, mix, pieces, range_hash, table, utf8
+from tessera.llm.common import U, Words, cut, doc_key, mix, pieces, table, utf8
 from tessera.llm.graph import components
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Most classes and shingles a verification part holds on average; larger components are parted.
-PART_CLASSES, PART_SHINGLES = 400, 400_000
+#: Most classes and shingles a verification part holds on average; larger groups are parted.
+PART_CLASSES, PART_SHINGLES = 128, 200_000
+#: Parts of a component from which on its buckets are compared instead; every text of a component goes to all its parts.
+MOST_PARTS = 64
 _MUL = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _ADD = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0xD1342543DE82EF95))
 
@@ -41,7 +46,11 @@ def shingles(words: Words, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     per = np.where(words.counts >= n, words.counts - n + 1, np.minimum(words.counts, 1))
     owner = np.repeat(np.arange(len(per)), per)
     begin = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + words.first[owner]
-    return range_hash(words.hash(1), begin, begin + np.minimum(words.counts[owner], n), 1), per
+    size = np.minimum(words.counts[owner], n)
+    out = np.empty(len(begin), U)
+    for k in np.unique(size):
+        out[size == k] = words.window_hash(begin[size == k], int(k))
+    return out, per
 
 
 def band_hashes(sh: np.ndarray, per: np.ndarray) -> np.ndarray:
@@ -97,6 +106,16 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     return common >= threshold * both - 1e-9
 
 
+def candidates(bands: np.ndarray, groups: np.ndarray, group: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Matrix of the pairs that share a band, and whose first shared band belongs to this group."""
+    own, open_ = np.zeros((len(left), len(right)), bool), np.ones((len(left), len(right)), bool)
+    for j in range(bands.shape[1]):
+        same = (bands[left, j][:, None] == bands[right, j][None, :]) & open_
+        own |= same & (groups[left, j] == group)[:, None]
+        open_ &= ~same
+    return own
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index of each of n nodes' components."""
     label = np.arange(n)
@@ -111,24 +130,25 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-_BLOCK = "node long, links long, root long, parted boolean"
+_BLOCK = "node long, links long, root long"
+
+
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(lists), BANDS)
 
 
 def _verify(table_: pa.Table) -> pa.Table:
-    """A block's texts to its members' links; each class once."""
-    node, part = table_["node"].to_numpy(), table_["part"].to_numpy()
-    ha, hb = table_["ha"][0].as_py(), table_["hb"][0].as_py()
-    copies, parted = table_["copies"].to_numpy(), bool(table_["parts"][0].as_py() > 1)
-    words = Words(*utf8(table_["text"]))
-    sh, per = shingles(words)
+    """A block's texts to its members' links; rows of one class count once."""
+    _, first = np.unique(table_["node"].to_numpy(), return_index=True)
+    table_ = table_.take(pa.array(first))
+    node, part, copies = (table_[c].to_numpy() for c in ("node", "part", "copies"))
+    group, ha, hb = (table_[c][0].as_py() for c in ("grp", "ha", "hb"))
+    sh, per = shingles(Words(*utf8(table_["text"])))
     sets = [np.unique(s) for s in np.split(sh, np.cumsum(per)[:-1])]
-    if ha == hb:
-        left = right = np.arange(len(node))
-    else:
-        left, right = np.flatnonzero(part == ha), np.flatnonzero(part == hb)
+    left, right = np.flatnonzero(part == ha), np.flatnonzero(part == hb)
     if not len(left) or not len(right):
-        return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "parted": pa.array([], pa.bool_())})
-    hit = linked(sets, left, right)
+        return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+    hit = linked(sets, left, right) & candidates(_matrix(table_["bands"]), _matrix(table_["groups"]), group, left, right)
     links = np.zeros(len(node), np.int64)
     i, j = np.nonzero(hit)
     i, j = left[i], right[j]
@@ -140,7 +160,35 @@ def _verify(table_: pa.Table) -> pa.Table:
     lowest = np.full(len(node), np.iinfo(np.int64).max)
     np.minimum.at(lowest, label, node)
     some = np.unique(np.concatenate([i, j]))
-    return pa.table({"node": node[some], "links": links[some], "root": lowest[label[some]], "parted": np.full(len(some), parted)})
+    return pa.table({"node": node[some], "links": links[some], "root": lowest[label[some]]})
+
+
+def _parts(classes: Column, shingles_: Column) -> Column:
+    return F.greatest(F.ceil(classes / PART_CLASSES), F.ceil(shingles_ / PART_SHINGLES), F.lit(1)).cast("int")
+
+
+def _groups(classes: DataFrame) -> DataFrame:
+    """The groups in which classes are compared: grp, node, parts of the group, and `groups`, the node's group by band (0: alone there)."""
+    banded = classes.select("node", "n", F.posexplode("bands").alias("band", "h"))
+    buckets = banded.groupBy("band", "h").agg(F.min("node").alias("head"), F.count("*").alias("c"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("c > 1")
+    # Buckets of equal members have equal names; should different ones meet, they are one larger group.
+    buckets = cut(buckets.select("band", "h", "head", F.xxhash64("c", "total", "head", "x").alias("name"), _parts(F.col("c"), F.col("total")).alias("parts")))
+    met = cut(banded.join(buckets, ["band", "h"]).select("node", "n", "band", "head", "name", "parts"))
+    # A class is linked to the smallest of its buckets' heads, and the other heads to that one: the components are the
+    # same, and classes that share their heads share those links.
+    heads = met.groupBy("node").agg(F.array_sort(F.collect_set("head")).alias("heads"))
+    own = heads.select(F.get("heads", F.lit(0)).alias("a"), F.col("node").alias("b"))
+    among = heads.filter(F.size("heads") > 1).select(F.col("heads").getItem(0).alias("a"), F.explode(F.slice("heads", 2, BANDS)).alias("b")).distinct()
+    near = components(own.union(among).filter("a <> b")).select("node", F.col("root").alias("comp"))
+    sized = near.join(classes.select("node", "n"), "node").groupBy("comp").agg(_parts(F.count("*"), F.sum("n")).alias("in_parts"))
+    placed = met.join(near.join(sized, "comp"), "node")
+    whole = F.col("in_parts") <= MOST_PARTS
+    # at most one row a band: a class's groups are a bounded list
+    name, parts = F.when(whole, F.col("comp")).otherwise(F.col("name")), F.when(whole, F.col("in_parts")).otherwise(F.col("parts"))
+    rows = placed.select("node", "band", name.alias("grp"), parts.alias("parts"))
+    by_node = rows.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "grp"))).alias("by_band"), F.collect_set(F.struct("grp", "parts")).alias("own"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.coalesce(F.try_element_at("by_band", j), F.lit(0).cast("long")))
+    return cut(by_node.select("node", filled.alias("groups"), "own"))
 
 
 def _placed(documents: DataFrame) -> DataFrame:
@@ -150,29 +198,14 @@ def _placed(documents: DataFrame) -> DataFrame:
     signed = docs.mapInArrow(_sign, "d long, k1 long, k2 long, n long, bands array<long>")
     grouped = signed.groupBy("k1", "k2").agg(F.min("d").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     # Classes are numbered in the order of their smallest ids, which several may share.
-    classes = cut(grouped.orderBy("rep", "k1", "k2").withColumn("node", F.monotonically_increasing_id()))
-    banded = classes.select("node", F.explode("bands").alias("h"))
-    buckets = cut(banded.groupBy("h").agg(F.min("node").alias("head"), F.count("*").alias("c")).filter("c > 1").select("h", "head"))
-    # A class is linked to the smallest of its buckets' heads, and the other heads to that one: the components are the
-    # same, and classes that share their heads share those links.
-    heads = banded.join(buckets, "h").groupBy("node").agg(F.array_sort(F.collect_set("head")).alias("heads"))
-    own = heads.select(F.get("heads", F.lit(0)).alias("a"), F.col("node").alias("b"))
-    among = heads.filter(F.size("heads") > 1).select(F.col("heads").getItem(0).alias("a"), F.explode(F.slice("heads", 2, BANDS)).alias("b")).distinct()
-    near = components(own.union(among).filter("a <> b"))
-    members = classes.drop("bands").join(near.select("node", F.col("root").alias("comp")), "node")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    sizes = sizes.select("comp", F.greatest(F.ceil(F.col("size") / PART_CLASSES), F.ceil(F.col("total") / PART_SHINGLES), F.lit(1)).cast("int").alias("parts"))
-    members = cut(members.join(sizes, "comp"))
-    texts = docs.join(members.withColumnRenamed("rep", "d").hint("merge"), ["d", "k1", "k2"])
+    classes = cut(grouped.orderBy("rep", "k1", "k2").withColumn("node", F.monotonically_increasing_id() + 1))
+    members = classes.join(_groups(classes), "node").withColumnRenamed("rep", "d")
+    texts = docs.join(members.hint("merge"), ["d", "k1", "k2"]).select("node", "copies", "bands", "groups", "text", F.inline("own"))
     texts = texts.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = texts.select("comp", F.least("part", "other").alias("ha"), F.greatest("part", "other").alias("hb"), "node", "part", "copies", "parts", "text")
-    blocks = blocks.dropDuplicates(["comp", "ha", "hb", "node"]) if _repeats(documents) else blocks
-    found = cut(blocks.groupBy("comp", "ha", "hb").applyInArrow(_verify, _BLOCK))
-    whole = found.filter("NOT parted").select("node", "root")
-    parted = found.filter("parted")
-    if not parted.isEmpty():
-        whole = whole.union(components(parted.select(F.col("root").alias("a"), F.col("node").alias("b"))).select("node", "root"))
-    totals = found.groupBy("node").agg(F.sum("links").alias("links")).join(whole.groupBy("node").agg(F.min("root").alias("root")), "node", "left")
+    blocks = texts.select("grp", F.least("part", "other").alias("ha"), F.greatest("part", "other").alias("hb"), "node", "part", "copies", "bands", "groups", "text")
+    found = cut(blocks.groupBy("grp", "ha", "hb").applyInArrow(_verify, _BLOCK))
+    roots_ = components(found.select(F.col("root").alias("a"), F.col("node").alias("b"))).select("node", "root")
+    totals = found.groupBy("node").agg(F.sum("links").alias("links")).join(roots_, "node", "left")
     totals = totals.join(classes.select(F.col("node").alias("root"), F.col("rep").alias("root_rep")), "root", "left")
     classed = cut(classes.select("k1", "k2", "node", "rep", "copies").join(totals, "node", "left"))
     return documents.select("doc_id", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")).join(classed, ["k1", "k2"], "left")
@@ -190,11 +223,6 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     )
 
 
-def _repeats(documents: DataFrame) -> bool:
-    """Whether an id stands in more than one row: then a class's text could reach its block twice."""
-    return not documents.groupBy(doc_key(F.col("doc_id")).alias("d")).count().filter("count > 1").isEmpty()
-
-
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents with one of each near-duplicate component, the one of the smallest id (of several texts with that id, the one of the smallest hash).
 
@@ -206,8 +234,6 @@ def keep_one(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = documents.withColumns(dict(zip(keys, (doc_key(F.col("doc_id")), F.xxhash64(text), F.xxhash64(F.lit(7), text)))))
     rows = keyed.join(kept.hint("merge"), keys, "left_semi")
-    if not _repeats(documents):
-        return rows.drop(*keys)
     return rows.groupBy(*keys).agg(F.min(F.struct(*documents.columns)).alias("row")).select("row.*")
 
 

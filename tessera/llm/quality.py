@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, Words, cut, pieces, range_hash, table, utf8
+from tessera.llm.common import U, Words, byte_hash, cut, pieces, table, utf8
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -104,7 +104,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     start = start[start < len(data)].astype(np.int64)
     end = np.append(start[1:], len(data))
     line_text = np.searchsorted(offsets, start, "right") - 1
-    line_hash = range_hash(data.astype(U) + U(1), start, end, 3) if len(start) else np.zeros(0, U)
+    line_hash = byte_hash(data, start, end, 3)
     lines = np.bincount(line_text, minlength=n) if len(start) else np.zeros(n, np.int64)
     distinct_lines, _ = _repeats(line_text, line_hash, n)
     columns = [

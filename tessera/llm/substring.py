@@ -18,12 +18,13 @@ everything that repeats is found by Spark joins on anchors, a fifteenth to a sev
 4. Source coordinates (document, start, number of edges) are carried along all the way: they decide which occurrence
    is first, and the spans they give are laid on the text again and removed from it.
 
-Contents are compared by independent 64-bit hashes of anchor and path, edges by two 64-bit hashes.
+Words are compared by 128 bits: contents by the anchor's and the path's hash, edges by two hashes of other seeds.
+
+A row is known by its id; where any id stands in more than one row, by its id and 128 bits of its text's hash.
 
 Defined results: null text has no words; repeated rows fare alike, none takes words from the other; rows that repeat an
-id with another text are documents of their own, in the order of a hash of their text; rows without an id come before
-all others;
-texts shorter than a window lose nothing; a text is handled whole; an empty table gives no rows.
+id with another text are documents of their own, in the order of their texts' hashes; rows without an id come before
+all others; texts shorter than a window lose nothing; a text is handled whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,12 +39,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, Words, cut, doc_key, mix, pieces, range_hash, table, utf8
+from tessera.llm.common import U, Words, cut, doc_key, joined, mix, pieces, table, utf8
 
 K, ANCHOR = 20, 6
-#: A place in one number, in the order of places of one id: 28 bits that tell rows of one id apart, 31 of the start, 4 of
-#: the number of edges (up to 15). A span: the start, then 31 bits of the number of edges.
-_TAIL, _START, _LONG = (1 << 28) - 1, (1 << 31) - 1, 31
+#: A place in one number, in the order of places of one row: the start, then 4 bits of the number of edges (up to 15).
+#: A span: the start, then 31 bits of the number of edges.
+_START, _LONG = (1 << 31) - 1, 31
+#: What a row is known by: its id, and two hashes of its text (0 where ids don't repeat).
+ROW = ["d", "t", "u"]
 
 
 def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -60,13 +63,14 @@ def paths(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     if not len(begin):
         none = np.zeros(0, np.int64)
         return none.astype(U), none.astype(U), none, none, none
-    grams = words.window_hash(np.arange(len(words.starts) - ANCHOR + 1), ANCHOR)
+    grams = words.every(ANCHOR)
     least = _sliding_min((grams >> U(32) << U(32)) | np.arange(len(grams), dtype=U), K - ANCHOR + 1)
     anchor = (least[begin] & U(0xFFFFFFFF)).astype(np.int64)
     at = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     start, edges = begin[at], np.diff(np.append(at, len(begin)))
     text = words.text[start]
-    return grams[anchor[at]], range_hash(words.hash(2), start, start + edges + K - 1, 2), text, start - words.first[text], edges
+    edge = words.every(K, 2)  # a path's first and last edges cover all its words, since it has fewer edges than an edge has words
+    return grams[anchor[at]], joined(edge[start], edge[start + edges - 1] + edges.astype(U)), text, start - words.first[text], edges
 
 
 def _once(text: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -80,30 +84,30 @@ def _once(text: np.ndarray, value: np.ndarray) -> np.ndarray:
 def _anchors(whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            m, c, text, start, edges = paths(Words(*utf8(batch.column(2))))
+            m, c, text, start, edges = paths(Words(*utf8(batch.column(3))))
             if not len(m):
                 continue
             if not whole:
                 yield pa.RecordBatch.from_arrays([pa.array(m[_once(text, m)].view(np.int64))], names=["m"])
                 continue
             keep = _once(text, c)
-            d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            row = [batch.column(i).to_numpy()[text] for i in range(3)]
             # the content before, 0 where none goes on in front of it
             before = np.concatenate([[0], np.where(keep, c.view(np.int64), 0)[:-1]])
             before[start == 0] = 0
-            columns = m.view(np.int64), c.view(np.int64), d[text], t[text] << 35 | start << 4 | edges, before
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["m", "c", "d", "at", "before"])
+            columns = m.view(np.int64), c.view(np.int64), *row, start << 4 | edges, before
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["m", "c", *ROW, "at", "before"])
 
     return run
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text column (the third) compressed: whole texts are shuffled twice."""
+    """The text column (the fourth) compressed: whole texts are shuffled twice."""
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        raw, offsets = utf8(batch.column(2))
+        raw, offsets = utf8(batch.column(3))
         small = pa.array([pack.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], small, *batch.columns[3:]], names=[*batch.schema.names[:2], "z", *batch.schema.names[3:]])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], small, *batch.columns[4:]], names=[*batch.schema.names[:3], "z", *batch.schema.names[4:]])
 
 
 def _open(z: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,15 +119,15 @@ def _open(z: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts and the paths to open in them, to edges."""
     for batch in pieces(batches, "z", 400_000):
-        words = Words(*_open(batch.column(2)))
-        spans = batch.column(3)
+        words = Words(*_open(batch.column(3)))
+        spans = batch.column(4)
         packed, owner = spans.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), spans.value_lengths().to_numpy())
         n = packed & _START
         text = np.repeat(owner, n)
         start = np.repeat(packed >> _LONG, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         begin = words.first[text] + start
-        d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(words.window_hash(begin, K, w).view(np.int64)) for w in (1, 2)] + [pa.array(d[text]), pa.array(t[text] << 35 | start << 4 | 1)], names=["h1", "h2", "d", "at"])
+        rows = [pa.array(batch.column(i).to_numpy()[text]) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(words.window_hash(begin, K, w).view(np.int64)) for w in (1, 2)), *rows, pa.array(start << 4 | 1)], names=["h1", "h2", *ROW, "at"])
 
 
 def circling(words: Words) -> np.ndarray:
@@ -167,17 +171,17 @@ def _remove(untouched: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(words.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string()), *rest], names=["n_words", "n_removed", "kept", *batch.schema.names[2:]])
 
 
-def _place(at: Column) -> tuple[Column, Column, Column]:
-    """Of a place in one number: the row's bits, the start, the number of edges."""
-    return F.shiftright(at, 35), F.shiftright(at, 4).bitwiseAND(_START), at.bitwiseAND(15)
+def _place(at: Column) -> tuple[Column, Column]:
+    """Of a place in one number: the start, the number of edges."""
+    return F.shiftright(at, 4), at.bitwiseAND(15)
 
 
 def _later() -> Column:
-    return (F.col("d") > F.col("f.d")) | ((F.col("d") == F.col("f.d")) & (F.col("at") > F.col("f.at")))
+    return F.struct(*ROW, "at") > F.col("f")
 
 
 def _first() -> Column:
-    return F.min(F.struct("d", "at")).alias("f")
+    return F.min(F.struct(*ROW, "at")).alias("f")
 
 
 def _span(start: Column, edges: Column) -> Column:
@@ -187,37 +191,42 @@ def _span(start: Column, edges: Column) -> Column:
 def compacted(table_: DataFrame) -> DataFrame:
     """Repeated paths (m, c, f, n, least and most of the contents before) to long paths: m and c of the start, f, edges of all.
 
-    The window runs along the first document of each path, so no group is larger than a document.
+    A path and the one before it meet where they stand together in the document of their first occurrences; the window
+    that joins them runs along that document, so no group is larger than a document.
     """
-    t, start, edges = _place(F.col("f.at"))
-    rows = table_.filter("n > 1").select("m", "c", "n", "least", "most", "f", F.col("f.d").alias("d"), t.alias("t"), start.alias("p"), edges.alias("e"))
-    along = Window.partitionBy("d", "t").orderBy("p")
+    start, edges = _place(F.col("f.at"))
+    rows = table_.filter("n > 1").select("m", "c", "n", "least", "most", "f", "f.d", "f.t", "f.u", start.alias("p"), edges.alias("e"))
+    along = Window.partitionBy(*ROW).orderBy("p")
     back = lambda c: F.lag(c).over(along)
     inner = (F.col("least") == F.col("most")) & (back("c") == F.col("least")) & (back("n") == F.col("n")) & (back("p") + back("e") == F.col("p"))
     runs = rows.withColumn("head", F.when(F.coalesce(inner, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("head").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    one = runs.groupBy("d", "t", "run").agg(F.min_by(F.struct("m", "c", "f"), "p").alias("start"), F.sum("e").alias("edges"))
+    one = runs.groupBy(*ROW, "run").agg(F.min_by(F.struct("m", "c", "f"), "p").alias("start"), F.sum("e").alias("edges"))
     return one.select("start.*", "edges")
 
 
-def repeated_spans(documents: DataFrame) -> DataFrame:
-    """d (id key), t (28 bits of the text's hash), spans (start << 31 | edges) to remove, for documents that have any."""
-    docs = _keyed(documents)
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """ROW, spans (start << 31 | edges) to remove, for those rows of _keyed's that have any."""
+    docs = docs.select(*ROW, "text")
+    row = "d long, t long, u long"
     repeated = cut(docs.mapInArrow(_anchors(False), "m long").groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"))
-    walked = cut(docs.mapInArrow(_anchors(True), "m long, c long, d long, at long, before long").join(repeated, "m"))
+    walked = cut(docs.mapInArrow(_anchors(True), f"m long, c long, {row}, at long, before long").join(repeated, "m"))
     contents = cut(walked.groupBy("m", "c").agg(_first(), F.count("*").alias("n"), F.min("before").alias("least"), F.max("before").alias("most")))
-    t, start, edges = _place(F.col("at"))
-    later_paths = walked.join(cut(compacted(contents)), ["m", "c"]).filter(_later()).select("d", t.alias("t"), _span(start, F.col("edges")))
+    start, edges = _place(F.col("at"))
+    later_paths = walked.join(cut(compacted(contents)), ["m", "c"]).filter(_later()).select(*ROW, _span(start, F.col("edges")))
     several = cut(contents.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"))
-    ends = contents.select("m", "f.d", "f.at").join(several, "m").select("d", t.alias("t"), _span(start, edges)).groupBy("d", "t").agg(F.collect_list("s").alias("spans"))
-    opened = cut(docs.mapInArrow(_squeeze, "d long, t long, z binary").join(ends.hint("merge"), ["d", "t"]).mapInArrow(_edges, "h1 long, h2 long, d long, at long"))
+    ends = contents.select("m", "f.*").join(several, "m").select(*ROW, _span(start, edges)).groupBy(*ROW).agg(F.collect_list("s").alias("spans"))
+    opened = cut(docs.mapInArrow(_squeeze, f"{row}, z binary").join(ends.hint("merge"), ROW).mapInArrow(_edges, f"h1 long, h2 long, {row}, at long"))
     edge_firsts = cut(opened.groupBy("h1", "h2").agg(_first(), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    later_edges = opened.join(edge_firsts, ["h1", "h2"]).filter(_later()).select("d", t.alias("t"), _span(start, edges))
-    return later_paths.union(later_edges).groupBy("d", "t").agg(F.collect_list("s").alias("spans"))
+    later_edges = opened.join(edge_firsts, ["h1", "h2"]).filter(_later()).select(*ROW, _span(start, edges))
+    return later_paths.union(later_edges).groupBy(*ROW).agg(F.collect_list("s").alias("spans"))
 
 
 def _keyed(documents: DataFrame, *more: str) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(doc_key(F.col("doc_id")).alias("d"), F.xxhash64(text).bitwiseAND(_TAIL).alias("t"), text.alias("text"), *(F.col(c).alias(f"own_{i}") for i, c in enumerate(more)))
+    """Of every row ROW, text and further columns own_0, own_1, ..."""
+    text, d = F.coalesce(F.col("text").cast("string"), F.lit("")), doc_key(F.col("doc_id"))
+    again = not documents.groupBy(d.alias("d")).count().filter("count > 1").isEmpty()
+    tags = [F.xxhash64(text), F.xxhash64(F.lit(7), text)] if again else [F.lit(0).cast("long")] * 2
+    return documents.select(*(c.alias(n) for c, n in zip([d, *tags, text], [*ROW, "text"])), *(F.col(c).alias(f"own_{i}") for i, c in enumerate(more)))
 
 
 def dedup(documents: DataFrame, *more: str, untouched: bool = False) -> DataFrame:
@@ -225,11 +234,11 @@ def dedup(documents: DataFrame, *more: str, untouched: bool = False) -> DataFram
 
     untouched: a text that loses no word stays as it is, blanks included.
     """
-    spans = cut(repeated_spans(documents))
     types = dict(documents.dtypes)
     docs = _keyed(documents, "doc_id", *more)
+    spans = cut(repeated_spans(docs))
     own = "".join(f", own_{i} {types[c]}" for i, c in enumerate(("doc_id", *more)))
-    texts = docs.mapInArrow(_squeeze, f"d long, t long, z binary{own}").join(spans.hint("merge"), ["d", "t"], "left").drop("d", "t")
+    texts = docs.mapInArrow(_squeeze, f"d long, t long, u long, z binary{own}").join(spans.hint("merge"), ROW, "left").drop(*ROW)
     rows = texts.select("z", "spans", *(f"own_{i}" for i in range(1 + len(more)))).mapInArrow(functools.partial(_remove, untouched), f"n_words long, n_removed long, kept string{own}")
     return rows.select(F.col("own_0").cast("long").alias("doc_id"), "n_words", "n_removed", "kept", *(F.col(f"own_{i}").alias(c) for i, c in enumerate(more, 1)))
 

@@ -44,9 +44,11 @@ def test_brute_force(spark):
     assert got(neardup.jaccard_join(frame(spark, rows, False))) == brute(rows)
 
 
-def test_parts(spark, monkeypatch):
-    """A component of many parts gives the same rows."""
+@pytest.mark.parametrize("most", [64, 1])
+def test_parts(spark, monkeypatch, most):
+    """A component of many parts, compared whole or by its buckets, gives the same rows."""
     monkeypatch.setattr(neardup, "PART_CLASSES", 5)
+    monkeypatch.setattr(neardup, "MOST_PARTS", most)
     rng = np.random.default_rng(3)
     import random
 
@@ -90,6 +92,30 @@ def test_empty(spark):
     assert neardup.jaccard_join(frame(spark, corpus()).limit(0)).collect() == []
 
 
+def test_hashes_of_patterned_words(spark):
+    """Words that differ in every letter by a self-similar pattern have different hashes."""
+    letters = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = letters.translate(str.maketrans("ab", "ba"))
+    rows = [(1, letters), (2, other), (3, f"a b c {letters} d e f g"), (4, f"a b c {other} d e f g")]
+    assert got(neardup.jaccard_join(frame(spark, rows, False))) == brute(rows)
+
+
+def test_links_of_planted_pairs(spark):
+    """All pairs of a similarity between 0.8 and 0.9 are found."""
+    rng = random.Random(9)
+    rows, due = [], 0
+    for i in range(200):
+        base = words(rng, 200, 100_000)
+        near = list(base)
+        for _ in range(rng.randrange(2, 5)):
+            near[rng.randrange(200)] = f"q{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+        a, b = (shingles(t) for _, t in rows[-2:])
+        due += 0.8 <= len(a & b) / len(a | b) <= 0.97
+    assert due > 150
+    assert got(neardup.jaccard_join(frame(spark, rows, False))) == brute(rows)
+
+
 def test_recall():
     s = neardup.THRESHOLD
     assert 1 - (1 - s**neardup.ROWS) ** neardup.BANDS > 0.99997

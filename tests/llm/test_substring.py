@@ -1,9 +1,10 @@
 import hashlib
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tests.llm.data import corpus, frame
+from tests.llm.data import corpus, frame, words
 from tessera.llm import substring
 from tessera.llm.common import Words
 
@@ -43,6 +44,27 @@ def test_repeated_rows(spark):
     assert sorted(map(tuple, found), key=str) == [(5, 40), (5, 40), (None, 0)]
 
 
+def test_rows_of_one_id(spark):
+    """Different texts of one id, or of none, are documents of their own; plain texts of them lose nothing."""
+    rng = random.Random(3)
+    rows = [(None, " ".join(words(rng, 60, 10**6))) for _ in range(40)] + [(7, " ".join(words(rng, 60, 10**6))) for _ in range(40)]
+    found = substring.dedup(frame(spark, rows, False)).collect()
+    assert len(found) == 80 and all((r.n_words, r.n_removed) == (60, 0) for r in found)
+    shared = " ".join(words(rng, 30, 10**6))
+    rows += [(7, f"x{i} {shared}") for i in range(3)] + [(None, f"y {shared}")]
+    found = substring.dedup(frame(spark, rows, False)).collect()
+    assert sorted(r.n_removed for r in found if r.n_words == 31) == [0, 30, 30, 30] and sum(r.n_removed for r in found) == 90
+
+
+def test_patterned_words(spark):
+    """Different words of a self-similar pattern are not taken for each other."""
+    letters = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = letters.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join([*around[:15], letters, *around[15:]])), (2, " ".join([*around[:15], other, *around[15:]]))]
+    assert got(substring.dedup(frame(spark, rows, False))) == brute(rows)
+
+
 def test_columns_and_untouched(spark):
     rows = [(1, "a\n b"), (2, " ".join(f"u{i}" for i in range(25))), (3, "x " + " ".join(f"u{i}" for i in range(25)))]
     found = {r.doc_id: r for r in substring.dedup(frame(spark, rows, False), "lang", "d", "score", untouched=True).collect()}
@@ -55,8 +77,6 @@ def test_empty(spark):
 
 def test_circles(spark):
     """Text that runs in circles, alone and shared; a path that follows another only in some documents."""
-    import random
-
     rng = random.Random(4)
     part = [f"p{i}" for i in range(70)]
     rows = [(1, "la " * 200), (2, "b " + "la " * 90 + "c"), (3, "x y z " * 60), (4, "q " + "x y z " * 40 + "q"), (5, " ".join(part)), (6, " ".join(part[:40] + ["v"] * 30 + part)), (7, " ".join(part[10:50] * 3))]
@@ -68,8 +88,7 @@ def test_circles(spark):
 
 def test_paths_cover_all_edges():
     rows = [(t or "").encode() for _, t in corpus()]
-    words = Words(np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)]))
-    _, _, text, start, edges = substring.paths(words)
+    _, _, text, start, edges = substring.paths(Words(np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])))
     covered = sorted((int(t), int(s) + k) for t, s, n in zip(text, start, edges) for k in range(n))
     assert covered == [(i, p) for i, t in enumerate(rows) for p in range(len(t.split()) - 19)]
     assert edges.max(initial=0) <= 15
