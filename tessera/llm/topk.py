@@ -4,7 +4,12 @@ Vectors become integer vectors, floor(64 * x). Candidates are cut into document
 each stored as shards of forward indexes; a shard is read in blocks of rows, and every block has the largest and
 the smallest value of each component ("term"). For a query the blocks are ordered by their summed term maxima,
 an upper bound of any score inside, and scored until the bound falls below the k-th score so far. A query starts
-with the k-th score of its own shard, so that other shards are mostly judged by their bounds.
+with the k-th score of its own shard.
+
+Shards are judged by the same bounds before anything is sent to them: the term maxima of PAGE shards make a page, each
+block of queries is sent once to each page, and only the queries whose bound reaches their k-th score go on, to that
+shard. Many query blocks of one shard are dealt to copies of it by a salt. Numbers are held as 32-bit integers where they
+fit, as doubles otherwise.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows without an
 id; a shorter vector counts as padded with zeros; rows that repeat an id are candidates each, and no row with the
@@ -25,27 +30,42 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, table
 
 SCALE = 64.0
-#: Rows a block, rows a shard, queries a query block.
-BLOCK, SHARD, QUERIES = 256, 4096, 256
-_SHARDS = "p int, n int, dim int, ids binary, vecs binary"
-_QUERIES = "n int, dim int, ids binary, vecs binary, least binary"
+#: Rows a block, rows a shard, queries a query block, shards a page, query blocks that one copy of a shard is searched for.
+BLOCK, SHARD, QUERIES, PAGE, SALTED = 256, 4096, 256, 256, 4096
+_SHARDS = "shard long, ids binary, vecs binary, high binary, low binary"
+_QUERIES = "ids binary, vecs binary, least binary"
+_LIVE = "shard long, q_ids binary, q_vecs binary, least binary"
 _FOUND = "query_id long, vec_id long, score long"
 
 
+def dump(x: np.ndarray) -> bytes:
+    """A matrix of whole numbers: its shape, whether it holds doubles, its numbers."""
+    small = not x.size or np.abs(x).max() < 2.0**31
+    return np.array([*x.shape, not small, 0], np.int32).tobytes() + np.ascontiguousarray(x, np.int32 if small else np.float64).tobytes()
+
+
+def load(raw: bytes) -> np.ndarray:
+    rows, width, wide, _ = np.frombuffer(raw, np.int32, 4)
+    return np.frombuffer(raw, np.float64 if wide else np.int32, offset=16).reshape(rows, width).astype(np.float64)
+
+
+def _rows(shape: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for _, t, v in shape], names=[n for n, _, _ in shape])
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, list of integers as doubles) to shards."""
     part = TaskContext.get().partitionId()
     held: list[tuple[int, np.ndarray]] = []
+    done = 0
 
-    def shard(rows):
-        dim = max(len(v) for _, v in rows)
-        m = np.zeros((len(rows), dim))
+    def out(rows):
+        m = np.zeros((len(rows), max(len(v) for _, v in rows)))
         for i, (_, v) in enumerate(rows):
             m[i, : len(v)] = v
-        return [part, len(rows), dim, np.array([i for i, _ in rows], np.int64).tobytes(), m.tobytes()]
-
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(shard(rows), [pa.int32()] * 3 + [pa.binary()] * 2)], names=["p", "n", "dim", "ids", "vecs"])
+        binary = pa.binary()
+        ids = np.array([i for i, _ in rows], np.int64)
+        return _rows([("shard", pa.int64(), [part << 24 | done]), ("ids", binary, [ids.tobytes()]), ("vecs", binary, [dump(m)]), ("high", binary, [dump(m.max(axis=0, keepdims=True))]), ("low", binary, [dump(m.min(axis=0, keepdims=True))])])
 
     for batch in batches:
         ids, vecs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
@@ -54,16 +74,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((int(ids[i]), flat[offsets[i] : offsets[i + 1]]))
             if len(held) == SHARD:
                 yield out(held)
-                held = []
+                held, done = [], done + 1
     if held:
         yield out(held)
 
 
-def _read(ids: bytes, vecs: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    at = np.frombuffer(ids, np.int64)
-    return at, np.frombuffer(vecs, np.float64).reshape(len(at), dim)
-
-
 def _alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both padded to one dimension; Python integers where doubles would not be exact."""
     dim = max(a.shape[1], b.shape[1])
@@ -73,12 +88,17 @@ def _alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def block_search(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best k rows of x for each query among those that score at least `least`: query positions, ids, scores."""
+def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The most that each query can score with any vector between low and high: summed term maxima."""
+    return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+
+
+def block_search(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, seen: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best k rows of x for each query among those that score at least `least`: query positions, ids, scores. seen: notes (block, queries) scored."""
     q, x = _alike(q, x)
     edges = np.arange(0, len(x), BLOCK)
     high, low = np.maximum.reduceat(x, edges, axis=0), np.minimum.reduceat(x, edges, axis=0)
-    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    bound = bounds(q, high, low)
     order = np.argsort(-bound, axis=1, kind="stable")
     none, big = (-np.inf if q.dtype != object else -(1 << 200)), np.iinfo(np.int64).max
     best, who = np.full((len(q), k), none, q.dtype), np.full((len(q), k), big, np.int64)
@@ -90,6 +110,8 @@ def block_search(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.nd
         for at in np.unique(b[live]):
             rows = np.flatnonzero(live & (b == at))
             lo = edges[at]
+            if seen is not None:
+                seen.append((int(at), len(rows)))
             own = ids[lo : lo + BLOCK]
             scores = q[rows] @ x[lo : lo + BLOCK].T
             scores[own[None, :] == q_ids[rows][:, None]] = none
@@ -109,8 +131,8 @@ def block_search(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.nd
 def _query_blocks(every: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, x = _read(r["ids"], r["vecs"], r["dim"])
+            for raw_ids, raw in zip(batch.column(1), batch.column(2)):
+                ids, x = np.frombuffer(raw_ids.as_py(), np.int64), load(raw.as_py())
                 sel = np.flatnonzero(ids % every == 0)
                 for lo in range(0, len(sel), QUERIES):
                     s = sel[lo : lo + QUERIES]
@@ -121,19 +143,50 @@ def _query_blocks(every: int, k: int):
                         last = np.cumsum(counts) - 1
                         full = counts == k
                         least[full] = np.nextafter(np.array(scores, np.float64)[last[full]], -np.inf)  # a double may round up
-                    yield pa.RecordBatch.from_pydict({"n": pa.array([len(s)], pa.int32()), "dim": pa.array([r["dim"]], pa.int32()), "ids": [ids[s].tobytes()], "vecs": [x[s].tobytes()], "least": [least.tobytes()]})
+                    yield _rows([(n, pa.binary(), [v]) for n, v in (("ids", ids[s].tobytes()), ("vecs", dump(x[s])), ("least", least.tobytes()))])
 
     return run
 
 
+def _stacked(matrices: list[np.ndarray]) -> np.ndarray:
+    """Rows one below the other, the shorter ones filled up with zeros: a missing component is one."""
+    width = max(m.shape[1] for m in matrices)
+    return np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in matrices])
+
+
+def _page(table_: pa.Table) -> pa.Table:
+    """The bounds of a page's shards as one row."""
+    high, low = (_stacked([load(x.as_py()) for x in table_[c]]) for c in ("high", "low"))
+    return pa.table({"page": table_["page"][:1], "shards": pa.array([table_["shard"].to_numpy().tobytes()], pa.binary()), "high": pa.array([dump(high)], pa.binary()), "low": pa.array([dump(low)], pa.binary())})
+
+
+def reaching(q: np.ndarray, least: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Matrix of which queries can score their least in which shard."""
+    high, low = _alike(high, low)
+    left, high = _alike(q, high)
+    _, low = _alike(q, low)
+    return (bounds(left, high, low) >= least[:, None]).astype(bool)
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Query blocks with a page to the shards they go on to, with the queries that may find something there."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids, vecs, least, shards, high, low = (batch.column(j)[i].as_py() for j in range(6))
+            ids, q, least, shards = np.frombuffer(ids, np.int64), load(vecs), np.frombuffer(least), np.frombuffer(shards, np.int64)
+            live = reaching(q, least, load(high), load(low))
+            for s in np.flatnonzero(live.any(axis=0)):
+                on = live[:, s]
+                yield _rows([("shard", pa.int64(), [shards[s]]), ("q_ids", pa.binary(), [ids[on].tobytes()]), ("q_vecs", pa.binary(), [dump(q[on])]), ("least", pa.binary(), [least[on].tobytes()])])
+
+
 def _score(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
-                q_ids, q = _read(r["q_ids"], r["q_vecs"], r["q_dim"])
-                ids, x = _read(r["ids"], r["vecs"], r["dim"])
-                at, who, scores = block_search(q_ids, q, np.frombuffer(r["least"], np.float64), ids, x, k)
+                q_ids, q_vecs, least, ids, vecs = (batch.column(j)[i].as_py() for j in range(5))
+                q_ids = np.frombuffer(q_ids, np.int64)
+                at, who, scores = block_search(q_ids, load(q_vecs), np.frombuffer(least), np.frombuffer(ids, np.int64), load(vecs), k)
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[at], pa.int64()), "vec_id": pa.array(who, pa.int64()), "score": pa.array([int(v) for v in scores] if scores.dtype == object else scores.astype(np.int64), pa.int64())})
 
     return run
@@ -146,10 +199,15 @@ def top_k(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vec_co
     rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v")).filter(F.coalesce(good, F.lit(False))).select("i", F.transform(x, lambda c: F.floor(c * SCALE).cast("double")).alias("v"))
     parts = max(1, -(-rows.count() // SHARD))
     shards = cut(rows.repartitionByRange(parts, "i").mapInArrow(_pack, _SHARDS))
-    asked = shards.mapInArrow(_query_blocks(every, k), _QUERIES).select(F.col("n").alias("q_n"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "least")
-    ranges = shards.agg(F.coalesce(F.max("p"), F.lit(-1))).first()[0] + 1
-    asked = asked.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(max(0, ranges - 1)))))
-    found = asked.join(shards, "p").select("q_dim", "q_ids", "q_vecs", "least", "dim", "ids", "vecs").mapInArrow(_score(k), _FOUND)
+    asked = cut(shards.select("shard", "ids", "vecs").mapInArrow(_query_blocks(every, k), _QUERIES))
+    page = F.expr(f"CAST(shiftright(shard, 24) DIV {PAGE} AS INT)")
+    paged = shards.select(page.alias("page"), "shard", "high", "low").groupBy("page").applyInArrow(_page, "page int, shards binary, high binary, low binary")
+    salts = -(-asked.count() // SALTED)
+    dealt = asked.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(max(1, salts))).cast("int"))
+    copies = F.sequence(F.lit(0), F.lit(max(0, salts - 1)))
+    met = dealt.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit((parts - 1) // PAGE)))).join(paged.withColumn("salt", F.explode(copies)), ["page", "salt"])
+    live = met.select("ids", "vecs", "least", "shards", "high", "low").mapInArrow(_judge, _LIVE).withColumn("salt", F.pmod(F.xxhash64("q_ids"), F.lit(max(1, salts))).cast("int"))
+    found = live.join(shards.select("shard", "ids", "vecs").withColumn("salt", F.explode(copies)), ["shard", "salt"]).select("q_ids", "q_vecs", "least", "ids", "vecs").mapInArrow(_score(k), _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
