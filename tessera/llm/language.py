@@ -9,8 +9,7 @@ Four kinds of evidence are added in log space for each language l:
     host        log P(l | host): a prior smoothed along the hierarchy all pages -> site -> host.
 
 The tables of markup, address and host come from grouped aggregation over all pages of the text's own posteriors
-(soft counts, partially aggregated before any shuffle), and a page's own share is taken out of its host's and site's
-counts. Only the trigram counts (at most BUCKETS a language, only those that occur) and the evidence tables of languages go to the driver.
+(soft counts, partially aggregated before any shuffle), and a page's own share is taken out of all of them. Only the trigram counts (at most BUCKETS a language, only those that occur) and the evidence tables of languages go to the driver.
 
 Defined results: null html, url or lang count as missing; missing markup or address is evidence of its own kind
 ("none" is a value like any other); a page without text is decided by the rest; ties go to the first language in code
@@ -20,6 +19,7 @@ their own; rows without an id are kept; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -39,7 +39,9 @@ ALPHA, SITE_WEIGHT, HOST_WEIGHT = 0.5, 20.0, 20.0
 
 # Letters in lower case, digits as one, other ASCII characters as blanks, other bytes as they are.
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else 32 for c in range(256)], np.uint32)
-_DROP = re.compile(rb"(?is)<(script|style|nav|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w{1,12};")
+_TAG, _ENTITY = re.compile(rb"<[^>]*>"), re.compile(rb"&#?\w{1,12};")
+#: Elements left out with what stands in them, and how each ends; comments likewise.
+_ENDS = {name: re.compile(rb"(?i)</%s\s*>" % name) for name in (b"script", b"style", b"nav", b"noscript", b"template")} | {b"!--": re.compile(rb"-->")}
 _HTML = re.compile(rb"(?i)<html\b")
 _LANG = re.compile(rb"""(?i)\blang\s*=\s*["']?([a-z]{2,8})""")
 _HOST = re.compile(r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]+)")
@@ -117,8 +119,26 @@ class TextModel:
         return sums * (TEMPER * np.minimum(count, TEXT_LIMIT) / np.maximum(count, 1))[:, None], count
 
 
+@functools.cache
+def _starts(names: frozenset[bytes]) -> re.Pattern[bytes]:
+    named = b"|".join(sorted(n for n in names if n != b"!--")) or b"(?!)"
+    comment = b"|(!--)" if b"!--" in names else b""
+    return re.compile(rb"(?i)<(?:(%s)\b%s)" % (named, comment))
+
+
 def plain_text(html: bytes) -> bytes:
-    return _DROP.sub(b" ", html)
+    """Text without left-out elements, comments, tags and entities. A kind whose end is missing once is not sought again, so time is linear."""
+    kept, at, begin, open_ = [], 0, 0, frozenset(_ENDS)
+    while open_ and (start := _starts(open_).search(html, at)):
+        name = (start[1] or b"!--").lower()
+        if end := _ENDS[name].search(html, start.end()):
+            kept.append(html[begin : start.start()])
+            at = begin = end.end()
+        else:
+            at, open_ = start.start(), open_ - {name}
+    text = b" ".join([*kept, html[begin:]])
+    last = text.rfind(b">") + 1
+    return _ENTITY.sub(b" ", _TAG.sub(b" ", text[:last]) + text[last:])
 
 
 def declared(html: bytes) -> str:
@@ -183,24 +203,23 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     if not n:
         return seen.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), "declared", "host")
     whole = _soft(seen.withColumn("every", F.lit(0)), "every", n).first()
-    soft = np.array([v or 0.0 for v in whole["soft"]] if whole else [0.0] * n)
-    prior = F.array(*(F.lit(float(x)) for x in (soft + ALPHA) / (soft.sum() + ALPHA * n)))
+    soft, every = ([v or 0.0 for v in whole["soft"]], whole["pages"]) if whole else ([0.0] * n, 1.0)
     total = F.array(*(F.lit(float(x)) for x in soft))
-
-    def likelihoods(kind: str) -> DataFrame:
-        counts = _soft(seen, kind, n)
-        values = counts.count()
-        return counts.select(kind, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.log((F.get("soft", i) + ALPHA) / (F.get(total, i) + ALPHA * values))).alias(f"by_{kind}"))
-
-    sites = _soft(seen, "site", n).select("site", F.col("soft").alias("site_soft"), F.col("pages").alias("site_pages"))
-    hosts = _soft(seen, "host", n).select("host", F.col("soft").alias("host_soft"), F.col("pages").alias("host_pages"))
-    joined = seen.join(likelihoods("declared"), "declared").join(likelihoods("suffix"), "suffix").join(sites, "site").join(hosts, "host")
+    joined, values = seen, {}
+    for kind in ("declared", "suffix", "site", "host"):
+        counts = _soft(seen, kind, n).select(kind, F.col("soft").alias(f"{kind}_soft"), F.col("pages").alias(f"{kind}_pages"))
+        values[kind] = counts.count() if kind in ("declared", "suffix") else 0
+        joined = joined.join(counts, kind)
 
     def posterior(i: Column) -> Column:
+        """Sum of the evidence for language i; the page's own share is in no table."""
         own = F.get("p", i)
-        site = (F.greatest(F.get("site_soft", i) - own, F.lit(0.0)) + SITE_WEIGHT * F.get(prior, i)) / (F.col("site_pages") - 1 + SITE_WEIGHT)
-        host = (F.greatest(F.get("host_soft", i) - own, F.lit(0.0)) + HOST_WEIGHT * site) / (F.col("host_pages") - 1 + HOST_WEIGHT)
-        return F.get("scores", i) + F.get("by_declared", i) + F.get("by_suffix", i) + F.log(host)
+        less = lambda c: F.greatest(F.get(c, i) - own, F.lit(0.0))
+        prior = (less(total) + ALPHA) / F.lit(every - 1 + ALPHA * n)
+        site = (less("site_soft") + SITE_WEIGHT * prior) / (F.col("site_pages") - 1 + SITE_WEIGHT)
+        host = (less("host_soft") + HOST_WEIGHT * site) / (F.col("host_pages") - 1 + HOST_WEIGHT)
+        seen_as = lambda kind: F.log((less(f"{kind}_soft") + ALPHA) / (less(total) + ALPHA * values[kind]))
+        return F.get("scores", i) + seen_as("declared") + seen_as("suffix") + F.log(host)
 
     names = F.array(*map(F.lit, model.languages))
     first = lambda values: F.get(names, F.array_position(values, F.array_max(values)).cast("int") - 1)

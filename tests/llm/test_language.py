@@ -1,4 +1,8 @@
+import math
+import time
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tessera.llm import language
@@ -52,6 +56,48 @@ def test_evidence_decides(spark):
     assert language.identify(df, docs.limit(0)).count() == len(rows) and language.identify(df.limit(0), docs).collect() == []
 
 
+def test_malformed_pages_take_linear_time():
+    """Tags, elements and comments without an end, ten megabytes of them."""
+    for start in (b"<script ", b"<script>", b"<!-- ", b"<", b"<nav><style>", b"</script", b"<html ", b"&amp", b"<!--<script>"):
+        page = start * (10_000_000 // len(start))
+        began = time.process_time()
+        language.plain_text(page)
+        language.declared(page)
+        assert time.process_time() - began < 1, start
+    assert language.plain_text(b"<p>a<script>b</p>c<nav>d</nav >e<!-- f").split() == [b"a", b"b", b"c", b"e<!--", b"f"]
+    assert language.plain_text(b"a<!--b-->c<SCRIPT x>d</Script>e<scripted>f&lt;g").split() == [b"a", b"c", b"e", b"f", b"g"]
+
+
+def slowly(seen, n):
+    """The fusion written out: page_id to its posteriors."""
+    out = {}
+    sums = lambda rows, i: sum(r.p[i] for r in rows)
+    for r in seen:
+        rest = [x for x in seen if x is not r]
+        same = {k: [x for x in rest if x[k] == r[k]] for k in ("declared", "suffix", "site", "host")}
+        score = []
+        for i in range(n):
+            prior = (sums(rest, i) + language.ALPHA) / (len(rest) + language.ALPHA * n)
+            site = (sums(same["site"], i) + language.SITE_WEIGHT * prior) / (len(same["site"]) + language.SITE_WEIGHT)
+            host = (sums(same["host"], i) + language.HOST_WEIGHT * site) / (len(same["host"]) + language.HOST_WEIGHT)
+            score.append(r.scores[i] + math.log(host))
+            for k in ("declared", "suffix"):
+                score[-1] += math.log((sums(same[k], i) + language.ALPHA) / (sums(rest, i) + language.ALPHA * len({x[k] for x in seen})))
+        p = np.exp(np.array(score) - max(score))
+        out[r.page_id] = p / p.sum()
+    return out
+
+
+def test_fusion_by_brute_force(spark):
+    read = lambda t: spark.read.parquet(str(DATA / f"sf0.001/{t}.parquet"))
+    pages, model = read("pages"), language.TextModel(read("documents"))
+    rows = pages.select("page_id", "url", F.col("html"))
+    seen = rows.mapInArrow(language._evidence(model), "page_id long, declared string, host string, site string, suffix string, scores array<double>, p array<double>").collect()
+    due = slowly(seen, len(model.languages))
+    for r in language.identify(pages, read("documents")).collect():
+        assert abs(r.confidence - due[r.page_id].max()) < 1e-5 and due[r.page_id][model.languages.index(r.lang)] >= due[r.page_id].max() - 1e-9
+
+
 def test_declared_behind_a_long_start(spark):
     """The html tag counts wherever it stands."""
     start = "<!-- " + "x " * 40_000 + "-->"
