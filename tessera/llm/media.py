@@ -8,9 +8,11 @@ scan on. The stream is progressive: spectral selection parts DC and AC scans, su
 one first scan and eight refinements, the AC in one first scan and seven refinements.
 
 The reader accumulates whatever scans it finds into coefficient arrays. Scans of the shape written here are read as
-bit planes with numpy; any other Huffman-coded progressive scan goes through a bit-by-bit reader of the same standard.
+bit planes with numpy; other scans of Huffman-coded progressive pictures (three components in 4:2:0 or unsampled, any
+tables, restart intervals) go through a bit-by-bit reader of the same standard; what is neither raises ValueError.
 The coefficients are inverse-transformed in numpy with an integer basis (sums stay exact in doubles, so equal streams
-give equal pixels), chroma is upsampled by repetition, and the RGB tensor has the picture's full resolution.
+give equal pixels), chroma is upsampled by repetition, and the RGB tensor, which `load` stores beside the payload, has
+the picture's full resolution.
 
 Defined results: null text is empty; the empty text is one block of zeros; repeated rows give equal values; an empty
 table gives no rows; other columns are ignored. A text is handled whole, one at a time.
@@ -45,6 +47,8 @@ _IDCT = _basis()
 #: Most blocks an end-of-band run of the writer covers: a multiple of 8 keeps every header at a byte.
 _RUN = 32760
 _TALL = 4095
+#: Units that are inverse-transformed at once.
+_STRIP = 4096
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -144,7 +148,7 @@ class _Bits:
 
 
 def _scan_slowly(data: bytes, targets: list[tuple[np.ndarray, list[np.ndarray], dict, dict]], ss: int, se: int, ah: int, al: int) -> None:
-    """Any progressive scan without restart markers. targets: coefficients, block order by unit, DC codes, AC codes."""
+    """Any part of a progressive scan between restarts. targets: coefficients, block order by unit, DC codes, AC codes."""
     bits = _Bits(data)
     if ss == 0:
         last = [0] * len(targets)
@@ -192,7 +196,8 @@ def _scan_slowly(data: bytes, targets: list[tuple[np.ndarray, list[np.ndarray],
             run -= 1
 
 
-_NEXT = re.compile(rb"\xff[^\x00]", re.S)
+#: The end of a scan's data, and restarts inside.
+_NEXT, _RESTART = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.S), re.compile(rb"\xff[\xd0-\xd7]")
 _DC_ONE, _AC_OWN = {(1, 0): 0}, {(1, 0): 1} | {(16 - r, (1 << (16 - r)) - 2): r << 4 for r in range(15)}
 
 
@@ -232,7 +237,7 @@ class Picture:
     """A decoded stream: height, width, coefficient planes (blocks by 64, zigzag), comment."""
 
     def __init__(self, stream: bytes, slowly: bool = False):
-        self.comment, self.coef = b"", []
+        self.comment, self.coef, self.tables, self.restart = b"", [], {}, 0
         codes: dict[int, dict] = {}
         at = 2
         while True:
@@ -249,27 +254,51 @@ class Picture:
                     codes[body[0]] = _codes(body[1:17], body[17 : 17 + n])
                     body = body[17 + n :]
             elif marker == 0xDB:
-                self.quant = np.frombuffer(body, np.uint8, 64, 1).astype(np.int64)
+                while body:
+                    wide = body[0] >> 4
+                    self.tables[body[0] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.int64)
+                    body = body[65 + 64 * wide :]
+            elif marker == 0xDD:
+                self.restart = int.from_bytes(body, "big")
             elif marker == 0xC2:
-                self.height, self.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
-                if bytes(body[i] for i in (7, 10, 13)) != b"\x22\x11\x11":
-                    raise ValueError("only 4:2:0 pictures of three components are read")
-                self.rows, self.cols = -(-self.height // 16), -(-self.width // 16)
-                m = self.rows * self.cols
-                self.coef = [np.zeros((n, 64), np.int16) for n in (4 * m, m, m)]
-                self.units = _units(self.rows, self.cols)
+                self._frame(body)
+            elif marker in (0xC0, 0xC1, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xD0)):
+                raise ValueError("only Huffman-coded progressive pictures are read")
             elif marker == 0xDA:
                 end = _NEXT.search(stream, at).start()
-                self._scan(stream[at:end].replace(b"\xff\x00", b"\xff"), body, codes, slowly)
+                self._scan(stream[at:end], body, codes, slowly)
                 at = end
         self.payload_bytes = int(self.comment.split()[1]) if self.comment.startswith(b"payload ") else 0
 
-    def _scan(self, data: bytes, head: bytes, codes: dict, slowly: bool) -> None:
-        which = [head[1 + 2 * i] - 1 for i in range(head[0])]
+    def _frame(self, body: bytes) -> None:
+        """Size, sampling and quantisation tables of the components, and empty coefficient planes of whole units."""
+        self.height, self.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+        parts = [body[6 + 3 * i : 9 + 3 * i] for i in range(body[5])]
+        self.names, self.quant = [p[0] for p in parts], [p[2] for p in parts]
+        sampling = bytes(p[1] for p in parts)
+        if body[0] != 8 or sampling not in (b"\x22\x11\x11", b"\x11\x11\x11"):
+            raise ValueError("pictures of three components of 8 bits are read, in 4:2:0 or unsampled")
+        self.step = sampling[0] >> 4
+        side = 8 * self.step
+        self.rows, self.cols = -(-self.height // side), -(-self.width // side)
+        m = self.rows * self.cols
+        self.coef = [np.zeros((n, 64), np.int16) for n in (self.step**2 * m, m, m)]
+        self.units = _units(self.rows, self.cols) if self.step == 2 else np.arange(m)[:, None]
+
+    def _alone(self, c: int) -> list[list[int]]:
+        """The blocks of a scan of one component: those that hold pixels, row by row."""
+        part = self.step if c == 0 else 1
+        wide, high = ((-(-x * part // (8 * self.step))) for x in (self.width, self.height))
+        return (np.arange(high)[:, None] * (part * self.cols) + np.arange(wide)).reshape(-1, 1).tolist()
+
+    def _scan(self, raw: bytes, head: bytes, codes: dict, slowly: bool) -> None:
+        which = [self.names.index(head[1 + 2 * i]) for i in range(head[0])]
+        picked = [head[2 + 2 * i] for i in range(head[0])]
         ss, se, ah, al = head[-3], head[-2], head[-1] >> 4, head[-1] & 15
-        dc, ac = codes.get(0, {}), codes.get(0x10, {})
-        n = len(self.coef[which[0]])
-        if not slowly and ss == 0 and which == [0, 1, 2] and (ah or dc == _DC_ONE):
+        dc, ac = [codes.get(t >> 4, {}) for t in picked], [codes.get(0x10 | t & 15, {}) for t in picked]
+        n, data = len(self.coef[which[0]]), raw.replace(b"\xff\x00", b"\xff")
+        plain = not slowly and not self.restart and self.step == 2
+        if plain and ss == 0 and which == [0, 1, 2] and (ah or all(d == _DC_ONE for d in dc)):
             if ah:
                 m = len(self.units)
                 bits = np.unpackbits(np.frombuffer(data, np.uint8))[: 6 * m].reshape(m, 6).astype(np.int16) << al
@@ -277,7 +306,8 @@ class Picture:
                 self.coef[1][:, 0] |= bits[:, 4]
                 self.coef[2][:, 0] |= bits[:, 5]
             return
-        if not slowly and (ss, se) == (1, 63) and ac == _AC_OWN:
+        orders = [self.units.tolist() if c == 0 else [[i] for i in range(len(self.coef[c]))] for c in which] if len(which) > 1 else [self._alone(which[0])]
+        if plain and (ss, se) == (1, 63) and ac[0] == _AC_OWN and len(orders[0]) == n:
             band = self.coef[which[0]][:, 1:]
             if not ah:
                 bits = np.unpackbits(np.frombuffer(data, np.uint8))[: 126 * n]
@@ -287,10 +317,10 @@ class Picture:
             elif (bits := _planes_of_bits(data, n)) is not None and band.all():
                 band += np.sign(band) * (bits.reshape(n, 63).astype(np.int16) << al)
                 return
-        orders = [[list(u) for u in self.units] if c == 0 else [[i] for i in range(n)] for c in which] if len(which) > 1 else [[[i] for i in range(n)]]
-        if len(which) > 1:
-            orders = [[list(u) for u in self.units] if c == 0 else [[i] for i in range(len(self.coef[c]))] for c in which]
-        _scan_slowly(data, [(self.coef[c], order, dc, ac) for c, order in zip(which, orders)], ss, se, ah, al)
+        every = self.restart or len(orders[0])
+        for i, part in enumerate(_RESTART.split(raw) if self.restart else [raw]):
+            own = [order[i * every : (i + 1) * every] for order in orders]
+            _scan_slowly(part.replace(b"\xff\x00", b"\xff"), [(self.coef[c], o, d, a) for c, o, d, a in zip(which, own, dc, ac)], ss, se, ah, al)
 
     def payload(self) -> bytes:
         """The bytes that encode() was given."""
@@ -300,18 +330,29 @@ class Picture:
         return out.tobytes()[: self.payload_bytes]
 
     def rgb(self) -> np.ndarray:
-        """The tensor (height, width, 3) of bytes."""
+        """The tensor (height, width, 3) of bytes, made some rows of units at a time."""
+        side = 8 * self.step
+        out = np.empty((side * self.rows, side * self.cols, 3), np.uint8)
+        some = max(1, _STRIP // max(1, self.cols))
+        for lo in range(0, self.rows, some):
+            hi = min(self.rows, lo + some)
+            out[side * lo : side * hi] = self._strip(lo, hi)
+        return out[: self.height, : self.width]
+
+    def _strip(self, lo: int, hi: int) -> np.ndarray:
         full = []
         for i, coef in enumerate(self.coef):
-            r, c = (2 * self.rows, 2 * self.cols) if i == 0 else (self.rows, self.cols)
-            pixels = ((coef * self.quant).astype(np.float64) @ _IDCT).astype(np.int64)
+            times = self.step if i == 0 else 1
+            r, c = times * (hi - lo), times * self.cols
+            part = coef[times * lo * c : times * hi * c]
+            pixels = ((part * self.tables[self.quant[i]]).astype(np.float64) @ _IDCT).astype(np.int64)
             plane = np.clip((pixels + (1 << (_SHIFT - 1)) >> _SHIFT) + 128, 0, 255).astype(np.int32)
             plane = plane.reshape(r, c, 8, 8).swapaxes(1, 2).reshape(8 * r, 8 * c)
-            full.append(plane if i == 0 else plane.repeat(2, 0).repeat(2, 1) - 128)
+            full.append(plane if i == 0 else plane.repeat(self.step, 0).repeat(self.step, 1) - 128)
         y, cb, cr = full
         # fixed values: the ITU-R BT.601 weights times 2**16
         rgb = np.stack([y + (91881 * cr + 32768 >> 16), y - (22554 * cb + 46802 * cr + 32768 >> 16), y + (116130 * cb + 32768 >> 16)], axis=-1)
-        return np.clip(rgb, 0, 255).astype(np.uint8)[: self.height, : self.width]
+        return np.clip(rgb, 0, 255).astype(np.uint8)
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,10 +399,11 @@ def load(media: DataFrame, tensors: bool = True) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(store(table(spark, sf_dir, "documents")), tensors=False)
+    rows = load(store(table(spark, sf_dir, "documents")))
     return rows.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -UNIT, UNIT)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        "shape", F.octet_length("tensor").cast("long").alias("tensor_bytes"), F.sha2("tensor", 256).alias("tensor_sha256"),
     )
 
 

@@ -18,10 +18,13 @@ def test_both_readers(units):
         assert all((a == b).all() for a, b in zip(fast.coef, slow.coef))
 
 
-def test_long_payload():
+def test_long_payload(monkeypatch):
     payload = np.random.default_rng(0).integers(0, 256, 64 * 70_000, np.uint8).tobytes()
     picture = media.Picture(media.encode(payload))
     assert picture.payload() == payload and picture.cols > 1
+    whole = picture.rgb()
+    monkeypatch.setattr(media, "_STRIP", 7)
+    assert (picture.rgb() == whole).all()
 
 
 def test_pixels():
@@ -58,10 +61,69 @@ def test_query_rows(spark, tmp_path):
         stream = media.encode(payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest())
-        assert r.feature.startswith(f"{media.Picture(stream).height}x16x3 ")
+        picture = media.Picture(stream)
+        assert r.feature.startswith(f"{picture.height}x16x3 ") and r.shape == [picture.height, 16, 3]
+        assert (r.tensor_bytes, r.tensor_sha256) == (48 * picture.height, hashlib.sha256(picture.rgb().tobytes()).hexdigest())
     assert media.load(media.store(frame(spark, rows).limit(0))).collect() == []
 
 
 def test_tensors(spark):
     r = media.load(media.store(frame(spark, [(1, "abc")], False))).first()
     assert r.shape == [16, 16, 3] and len(r.tensor) == 768 and bytes(r.payload).rstrip(b"\0") == b"abc"
+
+
+def _java(spark):
+    """The JVM's own JPEG writer and reader."""
+    jvm = spark._jvm
+    return jvm, jvm.javax.imageio.ImageIO
+
+
+def _theirs(spark, stream):
+    """Height, width and RGB pixels as the JVM's reader decodes them."""
+    jvm, io = _java(spark)
+    image = io.read(jvm.java.io.ByteArrayInputStream(bytearray(stream)))
+    h, w = image.getHeight(), image.getWidth()
+    packed = np.array(list(image.getRGB(0, 0, w, h, None, 0, w)), np.int64) & 0xFFFFFF
+    return np.stack([packed >> 16, packed >> 8 & 255, packed & 255], -1).reshape(h, w, 3)
+
+
+@pytest.mark.parametrize("h, w", [(16, 16), (40, 56), (37, 51)])
+def test_pictures_of_another_writer(spark, h, w):
+    """A progressive picture by another program, with its own scans and tables, has the pixels its own reader gives."""
+    jvm, io = _java(spark)
+    y, x = np.mgrid[0:h, 0:w]
+    rgb = np.stack([127 + 90 * np.sin(x / 9), 127 + 90 * np.cos(y / 7), 120 + 60 * np.sin((x + y) / 11)], -1).astype(np.int64)
+    image = jvm.java.awt.image.BufferedImage(w, h, 1)
+    for r in range(h):
+        for c in range(w):
+            image.setRGB(c, r, int(rgb[r, c, 0] << 16 | rgb[r, c, 1] << 8 | rgb[r, c, 2]))
+    writer = io.getImageWritersByFormatName("jpeg").next()
+    how = writer.getDefaultWriteParam()
+    how.setProgressiveMode(1)
+    how.setCompressionMode(2)
+    how.setCompressionQuality(0.95)
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer.setOutput(io.createImageOutputStream(out))
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), how)
+    writer.getOutput().flush()
+    stream = bytes(out.toByteArray())
+    assert b"\xff\xc2" in stream
+    picture = media.Picture(stream)
+    theirs = _theirs(spark, stream)
+    assert (picture.height, picture.width) == (h, w)
+    apart = np.abs(picture.rgb().astype(int) - theirs)
+    # Chroma is smoothed by their reader, repeated by ours.
+    assert apart.mean() < 3 and np.abs(picture.rgb().mean(axis=(0, 1)) - theirs.mean(axis=(0, 1))).max() < 1.5
+
+
+def test_another_reader_reads_our_streams(spark):
+    """The JVM's reader takes our streams and gives pictures of their size."""
+    payload = np.random.default_rng(3).integers(0, 256, 64 * 13, np.uint8).tobytes()
+    stream = media.encode(payload)
+    theirs, ours = _theirs(spark, stream), media.Picture(stream).rgb()
+    assert theirs.shape == ours.shape
+
+
+def test_other_kinds_are_refused():
+    with pytest.raises(ValueError):
+        media.Picture(b"\xff\xd8\xff\xc0\x00\x0b\x08\x00\x10\x00\x10\x01\x01\x11\x00\xff\xd9")
