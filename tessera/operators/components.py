@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.lineage import cut
+from tessera.lineage import cut, release
 
 _TRIMS = 4
 #: Edges of a snapshot that one task holds in memory without trouble.
@@ -21,16 +21,13 @@ ONE_TASK = 2_000_000
 
 
 def _trim(links: DataFrame) -> tuple[DataFrame, int]:
-    """A few rounds of trimming, and the number of edges left."""
+    """A few rounds of trimming, and the number of edges left. links is a written table, which is given back."""
     n = links.count()
-    for _ in range(_TRIMS):
+    for _ in range(_TRIMS if n else 0):
         inner = links.join(links.select("s", F.col("u").alias("v")).distinct(), ["s", "v"], "left_semi").join(links.select("s", F.col("v").alias("u")).distinct(), ["s", "u"], "left_semi").select("s", "u", "v")
-        inner = cut(inner)
-        left = inner.count()
-        if left == n:
-            break
-        links, n = inner, left
-        if not n:
+        links = cut(inner, links)
+        before, n = n, links.count()
+        if n in (0, before):
             break
     return links, n
 
@@ -42,23 +39,25 @@ def _colours(links: DataFrame) -> DataFrame:
     while True:
         sent = colour.filter("new").select("s", F.col("x").alias("u"), "c").join(links, ["s", "u"]).groupBy("s", F.col("v").alias("x")).agg(F.min("c").alias("heard"))
         less = F.coalesce(F.col("heard") < F.col("c"), F.lit(False))
-        colour = cut(colour.drop("new").join(sent, ["s", "x"], "left").select("s", "x", F.when(less, F.col("heard")).otherwise(F.col("c")).alias("c"), less.alias("new")))
+        colour = cut(colour.drop("new").join(sent, ["s", "x"], "left").select("s", "x", F.when(less, F.col("heard")).otherwise(F.col("c")).alias("c"), less.alias("new")), colour)
         if colour.filter("new").isEmpty():
-            return colour.select("s", "x", "c")
+            return colour
 
 
 def _backwards(links: DataFrame, colour: DataFrame) -> DataFrame:
     """s, x, c: nodes that reach the root of their colour inside it."""
     of = lambda name: colour.select("s", F.col("x").alias(name), F.col("c").alias(f"c_{name}"))
     inside = cut(links.join(of("u"), ["s", "u"]).join(of("v"), ["s", "v"]).filter("c_u = c_v").select("s", "u", "v", F.col("c_u").alias("c")))
-    front = colour.filter("x = c").join(inside.select("s", F.col("v").alias("x")).distinct(), ["s", "x"], "left_semi")
-    reached = front = cut(front)
+    start = cut(colour.filter("x = c").select("s", "x", "c").join(inside.select("s", F.col("v").alias("x")).distinct(), ["s", "x"], "left_semi"))
+    # the nodes reached so far, and which of them are new
+    reached = cut(start.withColumn("new", F.lit(True)), start)
     while True:
-        back = front.select("s", F.col("x").alias("v"), "c").join(inside, ["s", "v", "c"]).select("s", F.col("u").alias("x"), "c").distinct()
-        front = cut(back.join(reached, ["s", "x"], "left_anti"))
-        if front.isEmpty():
+        back = reached.filter("new").select("s", F.col("x").alias("v"), "c").join(inside, ["s", "v", "c"]).select("s", F.col("u").alias("x"), "c", F.lit(True).alias("new"))
+        known = reached.select("s", "x", "c", F.lit(False).alias("new"))
+        reached = cut(known.unionByName(back).groupBy("s", "x", "c").agg(F.min("new").alias("new")), reached)
+        if reached.filter("new").isEmpty():
+            release(inside)
             return reached
-        reached = cut(reached.unionByName(front))
 
 
 def _one_task(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -126,7 +125,7 @@ def coloured(edge: DataFrame) -> DataFrame:
     """strong_components by trimming and colouring alone."""
     pairs = cut(edge.select(F.col("snapshot_id").alias("s"), F.col("source").alias("u"), F.col("target").alias("v")).distinct())
     loops = pairs.filter("u = v").select("s", F.col("u").alias("x"), F.col("u").alias("c"))
-    links, n = _trim(pairs.filter("u <> v"))
+    links, n = _trim(cut(pairs.filter("u <> v")))
     found = None
     while n:
         colour = _colours(links)
@@ -134,7 +133,8 @@ def coloured(edge: DataFrame) -> DataFrame:
         several = members.join(members.groupBy("s", "c").count().filter("count > 1").select("s", "c"), ["s", "c"], "left_semi").select("s", "x", "c")
         found = several if found is None else found.unionByName(several)
         of = lambda name: colour.join(members.select("s", "x"), ["s", "x"], "left_anti").select("s", F.col("x").alias(name), F.col("c").alias(f"c_{name}"))
-        rest = cut(links.join(of("u"), ["s", "u"]).join(of("v"), ["s", "v"]).filter("c_u = c_v").select("s", "u", "v"))
+        rest = cut(links.join(of("u"), ["s", "u"]).join(of("v"), ["s", "v"]).filter("c_u = c_v").select("s", "u", "v"), links)
+        release(colour)
         links, n = _trim(rest)
     every = loops if found is None else found.unionByName(loops.join(found, ["s", "x"], "left_anti"))
     return every.select(F.col("s").alias("snapshot_id"), F.col("c").alias("cycle_root"), F.col("x").alias("file_id"))
