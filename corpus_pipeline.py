@@ -5,6 +5,14 @@ near_duplicates one document of each near-duplicate component stays, that of the
 substrings      words of passages of twenty words and more that started earlier go
 mixing          documents are repeated or left out so that the sources meet their target words
 pieces          texts become SentencePiece ids, decoded again and compared
+
+Defined results: a null text is empty; it is scored like any other, kept or rejected by its score, near to nothing, and
+a document of size 0 in the mix, which is kept once. Rows are told apart by id and text: rows without an id, or of one
+id with different texts, are documents of their own in every stage; rows that share both are copies, of which the second
+stage keeps the one whose other columns are smallest. Of equally small ids in a component the smallest hash of the text
+stays; of equally early passages the first by id, hash of the text, and start. A null source is a source of its own, the last. Without labels
+of both kinds the classifier's score is the share of label 1 (0.5 without labels, so that nothing is kept). Columns
+other than those of documents are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
