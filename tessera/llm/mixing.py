@@ -12,7 +12,7 @@ the bracket are halved. Sums are exact decimals, so that reruns agree whatever t
 Copies. Rates become copies (0, 1, 2) by systematic rounding over the sizes of a source, largest first; what is missing
 or too much afterwards is given to the largest sizes that still fit, in a few rounds. The copies of a size are dealt to
 hash buckets of its documents (about the square root of the number of documents, so that no group meets in one task),
-and in each bucket to the documents by a hash of their id.
+and in each bucket to the documents by a hash of their id and text.
 
 Defined results: null text has size 0; a document of size 0 has rate 1 and nothing taken; null sources are one source;
 a source without words has the target 0; repeated rows are documents of their own; an empty table gives no rows; other
@@ -80,10 +80,10 @@ def balance(hist: DataFrame, goals: DataFrame) -> DataFrame:
             "s", "target", "mean",
             F.when(F.col("done") | F.col("near") | F.col("g").isNull(), F.col("lam")).when(inside, F.col("tried")).otherwise((F.col("lo2") + F.col("hi2")) / 2).alias("lam"),
             F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), (F.col("done") | F.coalesce("near", F.lit(True))).alias("done"),
-        ))
+        ), state)
         if state.filter("NOT done").isEmpty():
-            break
-    return state.select("s", "lam")
+            return state.select("s", "lam")
+    raise RuntimeError(f"no balance within {ROUNDS} rounds")
 
 
 def allot(hist: DataFrame, goals: DataFrame, multipliers: DataFrame, rounds: int = 3) -> DataFrame:
@@ -106,20 +106,20 @@ def allot(hist: DataFrame, goals: DataFrame, multipliers: DataFrame, rounds: int
 def mix(documents: DataFrame, *more: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of every document; with further columns of documents: doc_id, copies and these."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("s"), size.alias("size"), *(F.col(c).alias(f"own_{i}") for i, c in enumerate(more)))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("s"), size.alias("size"), *(F.col(c).alias(f"own_{i}") for i, c in enumerate(more)))
     if not more:
         docs = cut(docs)
     hist = cut(docs.groupBy("s", "size").agg(F.count("*").alias("n")))
     buckets = max(1, round((hist.agg(F.sum("n")).first()[0] or 0) ** 0.5))
     goals = cut(targets(hist))
     shares = cut(allot(hist, goals, balance(hist, goals)))
-    docs = docs.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    docs = docs.withColumn("b", F.pmod("h", F.lit(buckets)).cast("int"))
     by_bucket = docs.groupBy("s", "size", "b").agg(F.count("*").alias("nb")).join(shares, ["s", "size"])
     along = Window.partitionBy("s", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("nb").over(along)
     extra = lambda c: F.floor((F.col("k") % F.col("n")).cast("decimal(19,0)") * c.cast("decimal(19,0)") / F.col("n").cast("decimal(19,0)")).cast("long")
     by_bucket = by_bucket.withColumn("upto", upto).withColumn("kb", F.expr("k div n") * F.col("nb") + extra(F.col("upto")) - extra(F.col("upto") - F.col("nb")))
-    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("s", "size", "b").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")))
+    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("s", "size", "b").orderBy(F.xxhash64("h", F.lit(1)), "h", "doc_id")))
     dealt = ranked.join(by_bucket.select("s", "size", "b", "nb", "kb"), ["s", "size", "b"], "left").join(goals.select("s", "source_size", "target"), "s")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.expr("kb div nb") + (F.col("rank") <= F.col("kb") % F.col("nb")).cast("int")).cast("int")
     own = [F.col(f"own_{i}").alias(c) for i, c in enumerate(more)]

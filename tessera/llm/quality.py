@@ -8,7 +8,7 @@ step; pairs are ranked by what a two-by-two split explains of the remaining grad
 Scoring adds the tables' entries for all rows at once and takes the logistic function.
 
 The model is fitted on the driver on at most SAMPLE labelled rows (those of the smallest hash of their id; a bound, not
-a share), none of them held out. Everything else covers all rows.
+a share), none of them held out; only they are measured for it. Everything else covers all rows, each measured once.
 
 Defined results: null text is empty; the empty text is scored like any other; repeated rows get equal scores; of a
 document with several labels the majority counts (ties: 1); labels other than 0 and 1 are ignored; without labels of
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, Words, byte_hash, cut, pieces, table, utf8
+from tessera.llm.common import U, Words, byte_hash, pieces, table, utf8
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -223,43 +223,36 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(c for _, c in rest), lists], names=[*(n for n, _ in rest), "x"])
 
 
-def measured(documents: DataFrame) -> DataFrame:
-    """doc_id and the features x of every text."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_measure, "doc_id long, x array<double>")
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
-    """The model of measured rows and labels (doc_id, quality), on at most `sample` rows that aren't held out."""
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
+    """The model of labels (doc_id, quality), on at most `sample` documents that aren't held out."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    # Beforehand, about the right share of ids by their hash, so that tasks don't each send a whole sample.
+    # Beforehand, about the right share of ids by their hash: a bounded number, which is sent to where the texts are.
     share = 1.5 * sample / max(1, known.count())
     low = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5 < share
-    chosen = rows.join(known.filter(low), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).select("y", "x").collect()
-    x = np.array([r["x"] for r in chosen], np.float64).reshape(len(chosen), len(FEATURES))
-    return Gam(x, np.array([r["y"] for r in chosen], np.float64))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known.filter(low)), "doc_id")
+    rows = texts.select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_measure, "doc_id long, y int, x array<double>")
+    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).select("y", "x").toArrow()
+    x = chosen["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(chosen.num_rows, len(FEATURES))
+    return Gam(x, chosen["y"].to_numpy().astype(np.float64))
 
 
 def _scores(model: Gam):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("x")
-            x = batch.column(at).flatten().to_numpy().reshape(batch.num_rows, len(FEATURES))
-            rest = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(model.score(x))], names=[*(n for n, _ in rest), "score"])
+        for batch in pieces(batches, limit=PIECE):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(features(*utf8(batch.column(1)))))], names=["doc_id", "score"])
 
     return run
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    rows = cut(measured(documents))
-    scored = rows.mapInArrow(_scores(fit(rows, labels, sample)), "doc_id long, score double")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    scored = rows.mapInArrow(_scores(fit(documents, labels, sample)), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -273,8 +266,7 @@ def _filter(model: Gam, threshold: float):
 
 def keep(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The documents that the classifier, fitted on them, predicts to be of quality 1, with all their columns."""
-    model = fit(cut(measured(documents)), labels, sample)
-    return documents.mapInArrow(_filter(model, threshold), documents.schema)
+    return documents.mapInArrow(_filter(fit(documents, labels, sample), threshold), documents.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

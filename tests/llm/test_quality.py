@@ -55,3 +55,40 @@ def test_interaction():
     y = ((x[:, 2] > 0.5) ^ (x[:, 5] > 0.5)).astype(float)
     model = quality.Gam(x, y)
     assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.9 and {(i, j) for i, j, _ in model.pairs} & {(5, 2)}
+
+
+def _loss_of(g, h, cells):
+    """What leaves with these cells explain of a gradient."""
+    return sum(g[c].sum() ** 2 / (h[c].sum() + quality.RIDGE) for c in cells)
+
+
+def test_splits_by_brute_force():
+    """Trees and quarters are the best that trying every cut finds."""
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        n = int(rng.integers(2, 9))
+        g, h = rng.normal(size=n), rng.random(n) + 0.1
+        step = quality.Gam._tree(g, h)
+        first = max(range(1, n), key=lambda k: _loss_of(g, h, [slice(0, k), slice(k, n)]))
+        tried = [sorted({0, first, k, n}) for k in range(1, n)]
+        whole, one = _loss_of(g, h, [slice(0, n)]), _loss_of(g, h, [slice(0, first), slice(first, n)])
+        best = max(_loss_of(g, h, [slice(a, b) for a, b in zip(t, t[1:])]) for t in tried) if one > whole + 1e-9 else whole
+        edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), n]
+        assert len(edges) <= 4 and np.isclose(_loss_of(g, h, [slice(a, b) for a, b in zip(edges, edges[1:])]), best)
+        for a, b in zip(edges, edges[1:]):
+            assert np.allclose(step[a:b], quality.STEP * g[a:b].sum() / (h[a:b].sum() + quality.RIDGE))
+        g, h = rng.normal(size=(n, 5)), rng.random((n, 5)) + 0.1
+        gain, grid = quality.Gam._quarters(g, h)
+        cuts = [[(a, b) for a in (slice(0, r), slice(r, n)) for b in (slice(0, c), slice(c, 5))] for r in range(1, n) for c in range(1, 5)]
+        assert np.isclose(gain, max(_loss_of(g, h, c) for c in cuts)) and len(np.unique(grid)) <= 4
+
+
+def test_score_by_table_lookups():
+    """Scores are the sums of single lookups."""
+    rng = np.random.default_rng(8)
+    x = rng.random((300, len(quality.FEATURES)))
+    model = quality.Gam(x, (x[:, 1] + x[:, 3] > 1).astype(float))
+    for row, score in zip(x, model.score(x)):
+        at = [int((e <= v).sum()) for e, v in zip(model.edges, row)]
+        logit = model.base + sum(t[i] for t, i in zip(model.tables, at)) + sum(t[at[i], at[j]] for i, j, t in model.pairs)
+        assert np.isclose(score, 1 / (1 + np.exp(-logit)))
