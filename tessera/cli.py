@@ -29,6 +29,7 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--include-cytoscape", action="store_true")
         if name == "serve":
             p.add_argument("--port", type=int, default=3000)
+            p.add_argument("--host", default="127.0.0.1")
             p.add_argument("--no-open", action="store_true")
     p = commands.add_parser("diff")
     p.add_argument("base_ref")
@@ -74,7 +75,7 @@ def _analyzed(args: argparse.Namespace) -> dict:
 
 
 def _serve(args: argparse.Namespace) -> None:
-    with web.server(_analyzed(args), args.port) as http:
+    with web.server(_analyzed(args), args.port, args.host) as http:
         print(f"Serving on http://localhost:{args.port}", flush=True)
         if not args.no_open:
             webbrowser.open(f"http://localhost:{args.port}")

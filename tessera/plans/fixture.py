@@ -1,7 +1,10 @@
-"""A module graph and source texts derived from order lines, for queries over tables without source code.
+"""Module graphs and source texts derived from order lines, for queries over tables without source code.
 
-Consecutive lines of an order make an edge between parts; a quantity cut sets the density. A part's file id has a layer
-directory by its key. With packages, every tenth target is an external package.
+Consecutive lines of an order make an edge. Every line takes part. In the dense graph the nodes are the parts; in the
+local one they are the parts as one supplier sells them, MODULES of them a supplier, and edges stay with a supplier, so
+that there are as many small cycles as the table is long. A node's file id has a layer directory by its key. With
+packages, every tenth target is an external package. Ordered by ship date instead of line number, the same lines make
+another graph of the same kind: an earlier snapshot.
 """
 
 from __future__ import annotations
@@ -10,27 +13,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FOLDERS = ("cli/", "app/", "core/", "exporters/", "utils/", "misc/", "")
+MODULES = 450
+#: What the lines of an order are ordered by before the tie-breaks.
+HEAD, BASE = "l_linenumber", "l_shipdate"
+
+
+def folder(key: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, FOLDERS)), (key % len(FOLDERS) + 1).cast("int"))
 
 
 def stem(key: Column) -> Column:
-    """Folder and name of a part, without suffix."""
-    folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (key % len(FOLDERS) + 1).cast("int"))
-    return F.concat(folder, F.lit("m"), key.cast("string"))
+    """Folder and name of a node, without suffix."""
+    return F.concat(folder(key), F.lit("m"), key.cast("string"))
 
 
-def edges(spark: SparkSession, sf_dir: str, cut: int, packages: bool = False, turned: bool = False) -> DataFrame:
-    """Distinct part keys src, dst (exchanged if turned), and whether dst is a package."""
-    along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    pairs = lines.select(F.col("l_partkey").alias("src"), F.col("l_quantity").alias("q"), F.lead("l_partkey").over(along).alias("dst"))
-    kept = pairs.filter((F.col("q") >= cut) & F.col("dst").isNotNull()).select("src", "dst").distinct()
-    kept = kept.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if turned else kept
-    return kept.withColumn("external", F.lit(packages) & (F.col("dst") % 10 == 9))
+def edges(spark: SparkSession, sf_dir: str, dense: bool = False, packages: bool = False, by: str = HEAD) -> DataFrame:
+    """Distinct node keys src, dst, and whether dst is a package."""
+    along = Window.partitionBy("l_orderkey").orderBy(by, "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", by, "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    pairs = lines.select("l_suppkey", F.col("l_partkey").alias("a"), F.lead("l_partkey").over(along).alias("b")).filter("b IS NOT NULL")
+    key = lambda part: F.col(part) if dense else F.col("l_suppkey") * MODULES + F.col(part) % MODULES
+    return pairs.select(key("a").alias("src"), key("b").alias("dst")).distinct().withColumn("external", F.lit(packages) & (F.col("dst") % 10 == 9))
 
 
-def project(spark: SparkSession, sf_dir: str, cut: int, packages: bool = False, snapshot: str = "head", turned: bool = False) -> tuple[DataFrame, DataFrame]:
+def project(spark: SparkSession, sf_dir: str, dense: bool = False, packages: bool = False, snapshot: str = "head") -> tuple[DataFrame, DataFrame]:
     """Files and dependencies as the parsers would give them."""
-    pairs = edges(spark, sf_dir, cut, packages, turned)
+    pairs = edges(spark, sf_dir, dense, packages, BASE if snapshot == "base" else HEAD)
     files = pairs.select("src").distinct().select(F.lit(snapshot).alias("snapshot_id"), F.concat(stem(F.col("src")), F.lit(".py")).alias("file_id"), F.lit("python").alias("language"))
     name = F.concat(F.lit("m"), F.col("dst").cast("string"))
     target = F.when(F.col("external"), F.concat(F.lit("pkg:"), name)).otherwise(F.concat(stem(F.col("dst")), F.lit(".py")))
@@ -40,16 +48,31 @@ def project(spark: SparkSession, sf_dir: str, cut: int, packages: bool = False,
     return files, rows
 
 
-def texts(spark: SparkSession, sf_dir: str, cut: int, kind: str) -> DataFrame:
-    """Sources (snapshot_id, file_id, content), one a part with edges: its targets as sorted import lines of a language."""
-    pairs = edges(spark, sf_dir, cut)
-    target, own = stem(F.col("dst")), stem(F.col("src"))
-    dotted = F.replace(target, F.lit("/"), F.lit("."))
-    line, file_id = {
-        "import": (F.concat(F.lit("import "), dotted), F.concat(own, F.lit(".py"))),
-        "from": (F.concat(F.lit("from "), dotted, F.lit(" import a, b as c")), F.concat(own, F.lit(".py"))),
-        "js": (F.concat(F.lit('import a from "/'), target, F.lit('";')), F.concat(own, F.lit(".js"))),
-        "rust": (F.concat(F.lit("use crate::"), F.replace(target, F.lit("/"), F.lit("::")), F.lit("::Thing;")), F.concat(F.lit("src/"), own, F.lit(".rs"))),
-    }[kind]
-    rows = pairs.select(file_id.alias("file_id"), line.alias("line")).groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("content"))
+#: By language: the suffix, the root, and the shapes of import lines that targets take in turn. {d} is the target's key,
+#: {p} its folder and name, {.} and {:} the same with dots and double colons.
+SHAPES = {
+    "import": (".py", "", ("import {.}", "import {.} as x{d}", "import {.}, os.path as p")),
+    "from": (".py", "", ("from {.} import a, b as c", "from .m{d} import a", "from . import m{d}, x", "from ..{.} import *")),
+    "js": (".js", "", ('import a from "/{p}";', "const b = require('./m{d}');", 'import("../{p}").then(f);', 'export { c } from "pkg{d}/deep";', "export type { D } from '@s/p{d}/deep';")),
+    "rust": (".rs", "src/", ("use crate::{:}::Thing;", "mod m{d};", "extern crate m{d};", "use super::{:}::{{A, B}};", "use self::m{d}::*;", "  use m{d}::x as y;")),
+}
+
+
+def line(shape: str, key: Column) -> Column:
+    """An import line of a shape."""
+    path = stem(key)
+    parts = {"{d}": key.cast("string"), "{p}": path, "{.}": F.replace(path, F.lit("/"), F.lit(".")), "{:}": F.replace(path, F.lit("/"), F.lit("::"))}
+    out = F.lit(shape.replace("{{", "\0").replace("}}", "\1"))
+    for name, value in parts.items():
+        out = F.replace(out, F.lit(name), value)
+    return F.translate(out, "\0\1", "{}")
+
+
+def texts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Sources (snapshot_id, file_id, content), one a node with edges: its targets as sorted import lines of a language."""
+    suffix, root, shapes = SHAPES[kind]
+    dst = F.col("dst")
+    own = F.element_at(F.array(*(line(s, dst) for s in shapes)), (dst % len(shapes) + 1).cast("int"))
+    rows = edges(spark, sf_dir).select(F.concat(F.lit(root), stem(F.col("src")), F.lit(suffix)).alias("file_id"), own.alias("line"))
+    rows = rows.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("content"))
     return rows.select(F.lit("head").alias("snapshot_id"), "file_id", "content")

@@ -1,4 +1,4 @@
-"""Queries by name over the fixture graph, and the same in DuckDB SQL."""
+"""Queries by name over the fixture graphs, all over whole tables, and the same in DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -9,21 +9,21 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numbers, paths
 from tessera.lineage import cut as written
-from tessera.operators import diff, extract, graph, resolve, risks, views
+from tessera.operators import components, diff, extract, graph, resolve, risks, views
 from tessera.plans import fixture, report
 from tessera.sinks import export
 
 Query = Callable[[SparkSession, str], DataFrame]
-CUT, DENSE, BASE, SAMPLE_NODE = 49, 1, 48, "m13.py"
+SAMPLE_NODE = "m13.py"
 
 
-def _graph(spark: SparkSession, sf_dir: str, cut: int = CUT, packages: bool = False, snapshot: str = "head") -> tuple[DataFrame, DataFrame]:
-    files, deps = fixture.project(spark, sf_dir, cut, packages, snapshot)
+def _graph(spark: SparkSession, sf_dir: str, dense: bool = False, packages: bool = False, snapshot: str = "head") -> tuple[DataFrame, DataFrame]:
+    files, deps = fixture.project(spark, sf_dir, dense, packages, snapshot)
     return graph.nodes(files, deps), graph.edges(deps)
 
 
-def _report(spark: SparkSession, sf_dir: str, cut: int = CUT, packages: bool = False) -> report.Report:
-    return report.of_graph(*fixture.project(spark, sf_dir, cut, packages))
+def _report(spark: SparkSession, sf_dir: str, packages: bool = False) -> report.Report:
+    return report.of_graph(*fixture.project(spark, sf_dir, False, packages))
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -31,32 +31,35 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def _limits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    node, _ = _graph(spark, sf_dir, DENSE)
-    node = written(node)
+    node = written(_graph(spark, sf_dir, dense=True)[0])
     return node, risks.thresholds(node)
 
 
-def _adjacency(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
-    node, edge = _graph(s, d, cut, packages=True)
+def _adjacency(s: SparkSession, d: str) -> DataFrame:
+    node, edge = _graph(s, d, packages=True)
     return graph.between_files(edge, node).select("source", "target")
 
 
-def _complexity(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
-    node, _ = _graph(s, d, cut, packages=True)
+def _complexity(s: SparkSession, d: str) -> DataFrame:
+    node, _ = _graph(s, d, packages=True)
     none = s.createDataFrame([], "snapshot_id string, cycle_root string, file_id string")
     return _plain(graph.complexity(graph.annotate_nodes(node, none)))
 
 
-def _critical(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
-    return _plain(graph.critical(_graph(s, d, cut)[0]))
+def _critical(s: SparkSession, d: str) -> DataFrame:
+    return _plain(graph.critical(_graph(s, d)[0]))
 
 
-def _cycles(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
-    return _report(s, d, cut).cycles.select("place", F.array_join("members", ",").alias("members"), F.array_join(F.concat("members", F.array(F.get("members", F.lit(0)))), " -> ").alias("path"))
+def _cycles(s: SparkSession, d: str) -> DataFrame:
+    return _report(s, d).cycles.select("place", F.array_join("members", ",").alias("members"), F.array_join(F.concat("members", F.array(F.get("members", F.lit(0)))), " -> ").alias("path"))
 
 
-def _violations(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
-    node, edge = _graph(s, d, cut)
+def _coloured(s: SparkSession, d: str) -> DataFrame:
+    return components.coloured(_graph(s, d)[1]).select("cycle_root", "file_id")
+
+
+def _violations(s: SparkSession, d: str) -> DataFrame:
+    node, edge = _graph(s, d)
     return risks.violations(edge, node)
 
 
@@ -64,24 +67,24 @@ def _scores(r: report.Report) -> DataFrame:
     return r.scores.select("file", "risk_score", "dependents", "outgoing", F.array_join("signals", ",").alias("signals"))
 
 
-def _top15(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
-    return _report(s, d, cut).top_risks.select(F.col("place").cast("long").alias("place"), "file", "risk_score", F.array_join("signals", ",").alias("signals"))
+def _top15(s: SparkSession, d: str) -> DataFrame:
+    return _report(s, d).top_risks.select(F.col("place").cast("long").alias("place"), "file", "risk_score", F.array_join("signals", ",").alias("signals"))
 
 
-def _visible(s: SparkSession, d: str, cut: int = CUT, **how) -> DataFrame:
+def _visible(s: SparkSession, d: str, **how) -> DataFrame:
     """Visible nodes and edges as (kind, id)."""
-    r = _report(s, d, cut, packages=True)
+    r = _report(s, d, packages=True)
     node, edge = views.visible(r.nodes, r.edges, **how)
     return node.select(F.lit("node").alias("kind"), "id").unionByName(edge.select(F.lit("edge").alias("kind"), "id"))
 
 
-def _extracted(s: SparkSession, d: str, kind: str, cut: int = CUT) -> DataFrame:
-    rows = extract.extract(extract.virtual(fixture.texts(s, d, cut, kind)))
+def _extracted(s: SparkSession, d: str, kind: str) -> DataFrame:
+    rows = extract.extract(extract.virtual(fixture.texts(s, d, kind)))
     return rows.select("file_id", F.col("pos").cast("long").alias("pos"), "kind", "specifier", F.array_join("names", ",").alias("names"))
 
 
-def _resolved(s: SparkSession, d: str, kind: str, cut: int = CUT) -> DataFrame:
-    files = written(extract.virtual(fixture.texts(s, d, cut, kind)))
+def _resolved(s: SparkSession, d: str, kind: str) -> DataFrame:
+    files = written(extract.virtual(fixture.texts(s, d, kind)))
     return resolve.resolve(extract.extract(files), files).select("source", "id", "label", "type")
 
 
@@ -95,100 +98,80 @@ def _paths(s: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit("./a//"), F.replace("p_type", F.lit(" "), F.lit("/./")), F.lit("\\m"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".TS").when(F.col("p_partkey") % 3 == 0, ".tar.py").otherwise(".txt"))
     out = paths.normalize(raw)
     joined = paths.join(paths.parent(out), F.lit("../../x"))
-    return part.select("p_partkey", out.alias("file_id"), paths.first_segment(raw).alias("folder"), paths.language(raw).alias("language"), joined.alias("joined"), paths.ignored(F.replace(out, F.lit("a/"), F.lit("build/"))).alias("is_ignored"))
-
-
-def _snapshots(s: SparkSession, d: str, whole: bool) -> list[tuple[DataFrame, DataFrame]]:
-    """Base and head: two cuts, or all rows both times, with every edge turned round in the base."""
-    if whole:
-        return [fixture.project(s, d, DENSE, snapshot=n, turned=n == "base") for n in ("base", "head")]
-    return [fixture.project(s, d, c, snapshot=n) for c, n in ((BASE, "base"), (CUT, "head"))]
+    return part.select("p_partkey", out.alias("file_id"), paths.first_segment(raw).alias("folder"), paths.language(raw).alias("language"), joined.alias("joined"), paths.ignored(F.replace(out, F.lit("a/"), F.when(F.col("p_partkey") % 2 == 0, "build/").otherwise("builds/"))).alias("is_ignored"))
 
 
-def _two(s: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    return tuple(graph.edges(deps) for _, deps in _snapshots(s, d, whole))
+def _two(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(graph.edges(fixture.project(s, d, snapshot=n)[1]) for n in ("base", "head"))
 
 
-def _diff(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    (f1, d1), (f2, d2) = _snapshots(s, d, whole)
-    r = report.of_graph(f1.unionByName(f2), d1.unionByName(d2))
-    return diff.summary(r.edges, r.metrics, r.complexity, r.scores, r.violations, r.gods, r.explosions, "base", "head")
+def _diff(s: SparkSession, d: str) -> DataFrame:
+    (f1, d1), (f2, d2) = (fixture.project(s, d, snapshot=n) for n in ("base", "head"))
+    return report.of_graph(f1.unionByName(f2), d1.unionByName(d2)).deltas("base", "head")
 
 
-def _heat(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
-    return _complexity(s, d, cut).select("file", views.heat_colour(F.col("score")).alias("colour"))
+def _heat(s: SparkSession, d: str) -> DataFrame:
+    return _complexity(s, d).select("file", views.heat_colour(F.col("score")).alias("colour"))
 
 
-def _elements(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
-    node, edge = _graph(s, d, cut, packages=True)
+def _elements(s: SparkSession, d: str) -> DataFrame:
+    node, edge = _graph(s, d, packages=True)
     rows = export.elements(node, edge)
     return rows.select("grp", "id", F.get_json_object("data", "$.label").alias("label"), F.get_json_object("data", "$.source").alias("source"), F.get_json_object("data", "$.target").alias("target"))
 
 
-def _signs(s: SparkSession, d: str, cut: int = CUT) -> DataFrame:
-    edge = _graph(s, d, cut)[1].groupBy(F.substring_index("source", "/", 1).alias("head")).agg(F.count("*").alias("n"))
+def _signs(s: SparkSession, d: str) -> DataFrame:
+    edge = _graph(s, d)[1].groupBy(F.substring_index("source", "/", 1).alias("head")).agg(F.count("*").alias("n"))
     return edge.select("head", numbers.signed(F.col("n") - 100).alias("whole"), numbers.signed((F.col("n") - 100) / 8, 2).alias("decimal"))
 
 
-def _over(cut: int) -> dict[str, Query]:
-    """The queries of a graph of the rows from a quantity on."""
-    return {
-        "graph_nodes": lambda s, d: _plain(_graph(s, d, cut, packages=True)[0]),
-        "graph_edges": lambda s, d: _plain(_graph(s, d, cut, packages=True)[1]),
-        "graph_simple": lambda s, d: _graph(s, d, cut)[1].select("source", "target"),
-        "implied_nodes": lambda s, d: _plain(graph.implied(*fixture.project(s, d, cut, True))),
-        "file_adjacency": lambda s, d: _adjacency(s, d, cut),
-        "metrics_summary": lambda s, d: _plain(_report(s, d, cut, packages=True).metrics),
-        "complexity_scores": lambda s, d: _complexity(s, d, cut),
-        "complexity_top5": lambda s, d: _complexity(s, d, cut).orderBy(F.desc("score"), "file").limit(5).withColumn("percent", F.bround(F.col("score") * 100).cast("long")),
-        "critical_files": lambda s, d: _critical(s, d, cut),
-        "critical_top10": lambda s, d: _critical(s, d, cut).orderBy(F.desc("dependents"), "file").limit(10),
-        "cycles": lambda s, d: _cycles(s, d, cut),
-        "circular_nodes": lambda s, d: _report(s, d, cut).members.select("cycle_root", "file_id"),
-        "circular_edges": lambda s, d: _report(s, d, cut).edges.filter("is_circular").select("id", "source", "target"),
-        "layer_violations": lambda s, d: _violations(s, d, cut).select("source", "target", "source_layer", "target_layer", "rule"),
-        "violations_by_file": lambda s, d: _plain(risks.violations_by_file(_violations(s, d, cut))),
-        "risk_scores": lambda s, d: _scores(_report(s, d, cut)),
-        "risk_top15": lambda s, d: _top15(s, d, cut),
-        "folder_list": lambda s, d: _plain(views.folders(_graph(s, d, cut, packages=True)[0])),
-        "folder_filter": lambda s, d: _visible(s, d, cut, folder="core"),
-        "cycles_only_filter": lambda s, d: _visible(s, d, cut, cycles_only=True),
-        "label_search": lambda s, d: _visible(s, d, cut, term=" M1"),
-        "heat_colours": lambda s, d: _heat(s, d, cut),
-        "extract_python_import": lambda s, d: _extracted(s, d, "import", cut),
-        "extract_python_from": lambda s, d: _extracted(s, d, "from", cut),
-        "extract_js": lambda s, d: _extracted(s, d, "js", cut),
-        "extract_rust": lambda s, d: _extracted(s, d, "rust", cut),
-        "resolve_python": lambda s, d: _resolved(s, d, "import", cut),
-        "resolve_python_from": lambda s, d: _resolved(s, d, "from", cut),
-        "resolve_js": lambda s, d: _resolved(s, d, "js", cut),
-        "resolve_rust": lambda s, d: _resolved(s, d, "rust", cut),
-        "mermaid_lines": lambda s, d: _plain(export.mermaid_lines(*_graph(s, d, cut, packages=True))).withColumn("part", F.col("part").cast("long")),
-        "cytoscape_elements": lambda s, d: _elements(s, d, cut),
-        "signed_numbers": lambda s, d: _signs(s, d, cut),
-    }
-
-
 QUERIES: dict[str, Query] = {
-    **_over(CUT),
-    "node_degrees": lambda s, d: _plain(graph.degrees(_graph(s, d, DENSE)[1])),
+    "graph_nodes": lambda s, d: _plain(_graph(s, d, packages=True)[0]),
+    "graph_edges": lambda s, d: _plain(_graph(s, d, packages=True)[1]),
+    "graph_simple": lambda s, d: _graph(s, d)[1].select("source", "target"),
+    "node_degrees": lambda s, d: _plain(graph.degrees(_graph(s, d, dense=True)[1])),
+    "implied_nodes": lambda s, d: _plain(graph.implied(*fixture.project(s, d, False, True))),
+    "file_adjacency": _adjacency,
+    "metrics_summary": lambda s, d: _plain(_report(s, d, packages=True).metrics),
+    "complexity_scores": _complexity,
+    "complexity_top5": lambda s, d: _complexity(s, d).orderBy(F.desc("score"), "file").limit(5).withColumn("percent", F.bround(F.col("score") * 100).cast("long")),
+    "critical_files": _critical,
+    "critical_top10": lambda s, d: _critical(s, d).orderBy(F.desc("dependents"), "file").limit(10),
+    "cycles": _cycles,
+    "cycles_first12": lambda s, d: _cycles(s, d).filter("place < 12").select("place", "path"),
+    "circular_nodes": lambda s, d: _report(s, d).members.select("cycle_root", "file_id"),
+    "circular_nodes_coloured": _coloured,
+    "circular_edges": lambda s, d: _report(s, d).edges.filter("is_circular").select("id", "source", "target"),
     "p90_thresholds": lambda s, d: _plain(_limits(s, d)[1]),
     "god_modules": lambda s, d: _plain(risks.god_modules(*_limits(s, d))),
     "dependency_explosions": lambda s, d: _plain(risks.explosions(*_limits(s, d))),
-    "neighborhood": lambda s, d: _plain(views.neighbourhood(_graph(s, d, DENSE)[1], SAMPLE_NODE)),
-    "neighbors_top6": lambda s, d: _plain(views.neighbours(_graph(s, d, DENSE)[1], SAMPLE_NODE, 6)),
+    "layer_violations": lambda s, d: _violations(s, d).select("source", "target", "source_layer", "target_layer", "rule"),
+    "violations_by_file": lambda s, d: _plain(risks.violations_by_file(_violations(s, d))),
+    "risk_scores": lambda s, d: _scores(_report(s, d)),
+    "risk_top15": _top15,
+    "folder_list": lambda s, d: _plain(views.folders(_graph(s, d, packages=True)[0])),
+    "folder_filter": lambda s, d: _visible(s, d, folder="core"),
+    "cycles_only_filter": lambda s, d: _visible(s, d, cycles_only=True),
+    "label_search": lambda s, d: _visible(s, d, term=" M1"),
+    "neighborhood": lambda s, d: _plain(views.neighbourhood(_graph(s, d, dense=True)[1], SAMPLE_NODE)),
+    "neighbors_top6": lambda s, d: _plain(views.neighbours(_graph(s, d, dense=True)[1], SAMPLE_NODE, 6)),
+    "heat_colours": _heat,
+    "extract_python_import": lambda s, d: _extracted(s, d, "import"),
+    "extract_python_from": lambda s, d: _extracted(s, d, "from"),
+    "extract_js": lambda s, d: _extracted(s, d, "js"),
+    "extract_rust": lambda s, d: _extracted(s, d, "rust"),
+    "resolve_python": lambda s, d: _resolved(s, d, "import"),
+    "resolve_python_from": lambda s, d: _resolved(s, d, "from"),
+    "resolve_js": lambda s, d: _resolved(s, d, "js"),
+    "resolve_rust": lambda s, d: _resolved(s, d, "rust"),
     "package_names": _names,
     "path_rules": _paths,
     "diff_edges_added": lambda s, d: diff.added(*_two(s, d)),
     "diff_edges_removed": lambda s, d: diff.removed(*_two(s, d)),
     "diff_summary": _diff,
-}
-
-#: The same over the graph of all rows, without SQL: its closures are too slow there.
-WHOLE: dict[str, Query] = {f"{name}_whole": query for name, query in _over(DENSE).items()} | {
-    "diff_edges_added_whole": lambda s, d: diff.added(*_two(s, d, True)),
-    "diff_edges_removed_whole": lambda s, d: diff.removed(*_two(s, d, True)),
-    "diff_summary_whole": lambda s, d: _diff(s, d, True),
+    "mermaid_lines": lambda s, d: _plain(export.mermaid_lines(*_graph(s, d, packages=True))).withColumn("part", F.col("part").cast("long")),
+    "cytoscape_elements": _elements,
+    "signed_numbers": _signs,
 }
 
 
@@ -197,14 +180,15 @@ def _fid(key: str, suffix: str = ".py", head: str = "") -> str:
     return f"('{head}' || CASE {key} % 7 {cases} ELSE '' END || 'm' || CAST({key} AS VARCHAR) || '{suffix}')"
 
 
-def _edges(cut: int, packages: bool = False, name: str = "g") -> str:
+def _edges(dense: bool = False, packages: bool = False, name: str = "g", by: str = fixture.HEAD) -> str:
     target = f"CASE WHEN dst % 10 = 9 THEN 'pkg:m' || CAST(dst AS VARCHAR) ELSE {_fid('dst')} END" if packages else _fid("dst")
+    key = lambda part: part if dense else f"l_suppkey * {fixture.MODULES} + {part} % {fixture.MODULES}"
     return f"""
 {name}_l AS (
-  SELECT l_partkey AS src, l_quantity AS q, lead(l_partkey) OVER (PARTITION BY l_orderkey
-    ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS dst
+  SELECT l_suppkey, l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey
+    ORDER BY {by}, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS b
   FROM lineitem),
-{name}_k AS (SELECT DISTINCT src, dst FROM {name}_l WHERE dst IS NOT NULL AND q >= {cut}),
+{name}_k AS (SELECT DISTINCT {key('a')} AS src, {key('b')} AS dst FROM {name}_l WHERE b IS NOT NULL),
 {name} AS (SELECT DISTINCT {_fid('src')} AS source, {target} AS target FROM {name}_k)"""
 
 
@@ -217,8 +201,9 @@ def _nodes(g: str = "g", n: str = "n") -> str:
   SELECT id, replace(id, 'pkg:', '') AS label, CASE WHEN starts_with(id, 'pkg:') THEN 'package' ELSE 'file' END AS type,
     CASE WHEN starts_with(id, 'pkg:') THEN 'package' WHEN id IN (SELECT source FROM {g}) THEN 'python' ELSE 'unknown' END AS language,
     {_FOLDER.format('id')} AS folder,
-    (SELECT count(*) FROM {g} WHERE source = id) AS outgoing, (SELECT count(*) FROM {g} WHERE target = id) AS incoming
-  FROM (SELECT source AS id FROM {g} UNION SELECT target FROM {g}))"""
+    coalesce(o.c, 0) AS outgoing, coalesce(i.c, 0) AS incoming
+  FROM (SELECT source AS id FROM {g} UNION SELECT target FROM {g}) LEFT JOIN (SELECT source AS id, count(*) AS c FROM {g} GROUP BY 1) o USING (id)
+    LEFT JOIN (SELECT target AS id, count(*) AS c FROM {g} GROUP BY 1) i USING (id))"""
 
 
 def _members(g: str = "g", m: str = "m") -> str:
@@ -269,7 +254,7 @@ def _complexity_sql(n: str = "n", c: str = "c") -> str:
   FROM {n}, (SELECT max(outgoing) AS top FROM {n} WHERE type = 'file') WHERE type = 'file')"""
 
 
-_PG, _G, _N, _M = _edges(CUT, True), _edges(CUT), _nodes(), _members()
+_PG, _G, _N, _M = _edges(packages=True), _edges(), _nodes(), _members()
 
 
 def _view_sql(keep: str, cycles_only: bool = False) -> str:
@@ -282,30 +267,63 @@ def _view_sql(keep: str, cycles_only: bool = False) -> str:
     return _sql(_PG, _N, _M, annotated, edges, kept, between, last, select=f"SELECT 'node' AS kind, id FROM z UNION ALL SELECT 'edge', id FROM b WHERE source IN (SELECT id FROM z) AND target IN (SELECT id FROM z){only}")
 
 
-def _text_sql(line: str, fid: str) -> str:
-    return f"{_G}, tx AS (SELECT {fid} AS file_id, string_agg({line}, chr(10) ORDER BY {line}) AS content FROM g_k GROUP BY src)"
+_STEM, _OWN = _fid("dst", ""), "CAST(dst AS VARCHAR)"
+_DOT, _COLON = f"replace({_STEM}, '/', '.')", f"replace({_STEM}, '/', '::')"
+_DIR = "CASE src % 7 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(fixture.FOLDERS[:-1])) + " ELSE '' END"
+
+
+def _turns(kind: str) -> int:
+    return len(fixture.SHAPES[kind][2])
+
+
+#: What each shape of import line means: the order of its kind in a file, its line, the kind, its specifiers, its names.
+_MEANT = {
+    "import": [
+        (0, f"'import ' || {_DOT}", "import", [_DOT], "''"), (0, f"'import ' || {_DOT} || ' as x' || {_OWN}", "import", [_DOT], "''"),
+        (0, f"'import ' || {_DOT} || ', os.path as p'", "import", [_DOT, "'os.path'"], "''"),
+    ],
+    "from": [
+        (0, f"'from ' || {_DOT} || ' import a, b as c'", "from", [_DOT], "'a,b'"), (0, f"'from .m' || {_OWN} || ' import a'", "from", [f"'.m' || {_OWN}"], "'a'"),
+        (0, f"'from . import m' || {_OWN} || ', x'", "from", ["'.'"], f"'m' || {_OWN} || ',x'"), (0, f"'from ..' || {_DOT} || ' import *'", "from", [f"'..' || {_DOT}"], "'*'"),
+    ],
+    "js": [(0, spec, "js", [spec], "''") for spec in (f"'/' || {_STEM}", f"'./m' || {_OWN}", f"'../' || {_STEM}", f"'pkg' || {_OWN} || '/deep'", f"'@s/p' || {_OWN} || '/deep'")],
+    "rust": [
+        (0, f"'use crate::' || {_COLON}", "use", [f"'crate::' || {_COLON} || '::Thing'"], "''"), (1, f"'mod m' || {_OWN}", "mod", [f"'m' || {_OWN}"], "''"), (2, f"'extern crate m' || {_OWN}", "extern", [f"'m' || {_OWN}"], "''"),
+        (0, f"'use super::' || {_COLON}", "use", [f"'super::' || {_COLON}"], "''"), (0, f"'use self::m' || {_OWN} || '::*'", "use", [f"'self::m' || {_OWN}"], "''"), (0, f"'  use m' || {_OWN} || '::x as y'", "use", [f"'m' || {_OWN} || '::x'"], "''"),
+    ],
+}
 
 
-_DOT = "replace(" + _fid("dst", "") + ", '/', '.')"
-_T_IMPORT = _text_sql(f"'import ' || {_DOT}", _fid("src"))
-_T_FROM = _text_sql(f"'from ' || {_DOT} || ' import a, b as c'", _fid("src"))
-_T_JS = _text_sql(f"""'import a from "/' || {_fid('dst', '')} || '";'""", _fid("src", ".js"))
-_T_RUST = _text_sql(f"'use crate::' || replace({_fid('dst', '')}, '/', '::') || '::Thing;'", _fid("src", ".rs", "src/"))
+def _extract_sql(kind: str) -> str:
+    """The entries of all files, from what the lines mean, without reading any text."""
+    suffix, root, _ = fixture.SHAPES[kind]
+    rows = [
+        f"SELECT src, {rank} AS rank, {line} AS line, {i} AS sub, '{name}' AS kind, {spec} AS specifier, {names} AS names FROM g_k WHERE dst % {_turns(kind)} = {turn}"
+        for turn, (rank, line, name, specs, names) in enumerate(_MEANT[kind]) for i, spec in enumerate(specs)
+    ]
+    # A line ends in different ways, which decides its place only where another line goes on behind it.
+    ends = {"rust": " || ';'"}.get(kind, "")
+    return _sql(_G, "x AS (" + " UNION ALL ".join(rows) + ")", select=f"SELECT {_fid('src', suffix, root)} AS file_id, row_number() OVER (PARTITION BY src ORDER BY rank, line{ends}, sub) - 1 AS pos, kind, specifier, names FROM x")
 
 
-def _extract_sql(text: str, pattern: str, kind: str, spec: str = "x", names: str = "''", sort: bool = False) -> str:
-    found = f"regexp_extract_all(content, '{pattern}', 1)"
-    found = f"list_sort(list_distinct({found}))" if sort else found
-    return _sql(text, f"h AS (SELECT file_id, {found} AS f FROM tx)", "i AS (SELECT file_id, unnest(f) AS x, unnest(range(len(f))) AS pos FROM h)", select=f"SELECT file_id, pos, '{kind}' AS kind, {spec} AS specifier, {names} AS names FROM i")
+def _resolve_sql(kind: str, cases: list[tuple[str, str | None]]) -> str:
+    """Per shape the file a target means, if there is one of that id, and the package otherwise (null: it is dropped)."""
+    suffix, root, _ = fixture.SHAPES[kind]
+    source, out = _fid("src", suffix, root), []
+    for turn, (target, package) in enumerate(cases):
+        own, file_id = f"FROM g_k WHERE dst % {_turns(kind)} = {turn}", f"'{root}' || {target} || '{suffix}'"
+        there = f"({file_id}) IN (SELECT file_id FROM f)"
+        out.append(f"SELECT {source} AS source, {file_id} AS id, {file_id} AS label, 'file' AS type {own} AND {there}")
+        if package:
+            out.append(f"SELECT {source}, 'pkg:' || {package}, {package}, 'package' {own} AND NOT coalesce({there}, FALSE)")
+    if kind == "import":
+        out.append(f"SELECT DISTINCT {source}, 'pkg:os.path', 'os.path', 'package' FROM g_k WHERE dst % {_turns(kind)} = 2")
+    return _sql(_G, f"f AS (SELECT DISTINCT {source} AS file_id FROM g_k)", select=" UNION ALL ".join(out))
 
 
-def _resolve_sql(suffix: str, head: str, fallback: str | None) -> str:
-    there = f"{_fid('dst', suffix, head)} IN (SELECT {_fid('src', suffix, head)} FROM g_k)"
-    source = _fid("src", suffix, head)
-    rows = f"SELECT {source} AS source, {_fid('dst', suffix, head)} AS id, {_fid('dst', suffix, head)} AS label, 'file' AS type FROM g_k WHERE {there}"
-    if fallback:
-        rows += f" UNION ALL SELECT {source}, 'pkg:' || {fallback}, {fallback}, 'package' FROM g_k WHERE NOT {there}"
-    return _sql(_G, select=rows)
+_NEAR, _NONE = f"{_DIR} || 'm' || {_OWN}", "CAST(NULL AS VARCHAR)"
+#: From a file in a folder, one step up is the root; from the root, it is outside.
+_UP = f"CASE WHEN {_DIR} = '' THEN NULL ELSE {_STEM} END"
 
 
 _SAMPLE = f"FROM g WHERE source = '{SAMPLE_NODE}' OR target = '{SAMPLE_NODE}'"
@@ -319,9 +337,9 @@ def _mid(c: str) -> str:
 
 def _diff_sql() -> str:
     parts = []
-    for g, cut in (("gb", BASE), ("gh", CUT)):
+    for g, by in (("gb", fixture.BASE), ("gh", fixture.HEAD)):
         k = g[1]
-        parts += [_edges(cut, name=g), _nodes(g, f"n{k}"), _members(g, f"m{k}"), _broken(g, f"v{k}"), _limit_sql(f"n{k}", f"t{k}"), _score_sql(f"n{k}", f"m{k}", f"v{k}", f"t{k}", f"s{k}"), _complexity_sql(f"n{k}", f"c{k}")]
+        parts += [_edges(name=g, by=by), _nodes(g, f"n{k}"), _members(g, f"m{k}"), _broken(g, f"v{k}"), _limit_sql(f"n{k}", f"t{k}"), _score_sql(f"n{k}", f"m{k}", f"v{k}", f"t{k}", f"s{k}"), _complexity_sql(f"n{k}", f"c{k}")]
         parts.append(f"""
 o{k} AS (SELECT (SELECT count(DISTINCT cycle_root) FROM m{k}) AS cycles, (SELECT CAST(sum(CAST(score AS DECIMAL(30,6))) AS DOUBLE) / count(*) FROM c{k}) AS average,
   (SELECT least(15, count(*)) FROM s{k} WHERE risk_score > 0) AS risks, (SELECT count(*) FROM v{k}) AS broken,
@@ -335,7 +353,7 @@ o{k} AS (SELECT (SELECT count(DISTINCT cycle_root) FROM m{k}) AS cycles, (SELECT
 FROM d, ob b, oh h""")
 
 
-_DENSE = _edges(DENSE)
+_DENSE = _edges(dense=True)
 
 SQL: dict[str, str] = {
     "graph_nodes": _sql(_PG, _N, select="SELECT * FROM n"),
@@ -352,7 +370,10 @@ SQL: dict[str, str] = {
     "critical_top10": _sql(_G, _N, select="SELECT id AS file, incoming AS dependents FROM n ORDER BY 2 DESC, 1 LIMIT 10"),
     "cycles": _sql(_G, _M, select="""SELECT row_number() OVER (ORDER BY cycle_root) - 1 AS place, string_agg(file_id, ',' ORDER BY file_id) AS members,
   string_agg(file_id, ' -> ' ORDER BY file_id) || ' -> ' || cycle_root AS path FROM m GROUP BY cycle_root"""),
+    "cycles_first12": _sql(_G, _M, select="""SELECT row_number() OVER (ORDER BY cycle_root) - 1 AS place,
+  string_agg(file_id, ' -> ' ORDER BY file_id) || ' -> ' || cycle_root AS path FROM m GROUP BY cycle_root ORDER BY place LIMIT 12"""),
     "circular_nodes": _sql(_G, _M, select="SELECT cycle_root, file_id FROM m"),
+    "circular_nodes_coloured": _sql(_G, _M, select="SELECT cycle_root, file_id FROM m"),
     "circular_edges": _sql(_G, _M, select="SELECT source || '->' || target AS id, source, target FROM g JOIN m a ON a.file_id = source JOIN m b ON b.file_id = target AND a.cycle_root = b.cycle_root"),
     "p90_thresholds": _sql(_DENSE, _N, _limit_sql(), select="SELECT * FROM t"),
     "god_modules": _sql(_DENSE, _N, _limit_sql(), select="SELECT id AS file, outgoing FROM n, t WHERE outgoing >= god_module_min_outgoing"),
@@ -368,14 +389,14 @@ SQL: dict[str, str] = {
     "neighborhood": _sql(_DENSE, select=f"SELECT source AS id {_SAMPLE} UNION SELECT target {_SAMPLE}"),
     "neighbors_top6": _sql(_DENSE, select=f"(SELECT 'out' AS direction, target AS id FROM g WHERE source = '{SAMPLE_NODE}' ORDER BY 2 LIMIT 6) UNION ALL (SELECT 'in', source FROM g WHERE target = '{SAMPLE_NODE}' ORDER BY 2 LIMIT 6)"),
     "heat_colours": _sql(_PG, _N, _complexity_sql(), select=f"SELECT file, 'rgb(' || {_RGB} || ')' AS colour FROM c"),
-    "extract_python_import": _extract_sql(_T_IMPORT, r"(?m)^\s*import\s+([^\n#]+)$", "import"),
-    "extract_python_from": _extract_sql(_T_FROM, r"(?m)^\s*from\s+([.a-zA-Z0-9_]+)\s+import\s+[^\n#]+$", "from", names="'a,b'"),
-    "extract_js": _extract_sql(_T_JS, r"""\b(?:import|export)\s+(?:type\s+)?(?:[^"''()]*?\s+from\s+)?["'']([^"'']+)["'']""", "js", sort=True),
-    "extract_rust": _extract_sql(_T_RUST, r"(?m)^\s*use\s+([^;]+);", "use"),
-    "resolve_python": _resolve_sql(".py", "", _DOT),
-    "resolve_python_from": _resolve_sql(".py", "", _DOT),
-    "resolve_js": _resolve_sql(".js", "", None),
-    "resolve_rust": _resolve_sql(".rs", "src/", None),
+    "extract_python_import": _extract_sql("import"),
+    "extract_python_from": _extract_sql("from"),
+    "extract_js": _extract_sql("js"),
+    "extract_rust": _extract_sql("rust"),
+    "resolve_python": _resolve_sql("import", [(_STEM, _DOT)] * 3),
+    "resolve_python_from": _resolve_sql("from", [(_STEM, _DOT), (_NEAR, None), (_NEAR, None), (_STEM, None)]),
+    "resolve_js": _resolve_sql("js", [(_STEM, None), (_NEAR, None), (_UP, None), (_NONE, f"'pkg' || {_OWN}"), (_NONE, f"'@s/p' || {_OWN}")]),
+    "resolve_rust": _resolve_sql("rust", [(_STEM, None), (_NEAR, None), (_NONE, f"'m' || {_OWN}"), (_UP, None), (_NEAR, None), (f"'m' || {_OWN}", f"'m' || {_OWN}")]),
     "package_names": """SELECT p_partkey, s AS specifier, CASE WHEN starts_with(s, '@') THEN array_to_string(string_split(s, '/')[1:2], '/') ELSE split_part(s, '/', 1) END AS package
 FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '@' ELSE '' END || replace(p_name, ' ', '/') || CASE WHEN p_partkey % 2 = 0 THEN '/deep/er' ELSE '' END AS s FROM part)""",
     "path_rules": """WITH r AS (SELECT p_partkey, 'a/' || replace(p_type, ' ', '/') AS folder_path, 'm' || CAST(p_partkey AS VARCHAR) ||
@@ -383,9 +404,9 @@ FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '@' ELSE '' END || repl
 p AS (SELECT *, string_split(folder_path, '/') AS parts FROM r)
 SELECT p_partkey, folder_path || '/' || name AS file_id, 'a' AS folder,
   CASE WHEN p_partkey % 2 = 0 THEN 'typescript' WHEN p_partkey % 3 = 0 THEN 'python' END AS language,
-  CASE WHEN len(parts) < 2 THEN '' WHEN len(parts) = 2 THEN 'x' ELSE array_to_string(parts[1:len(parts) - 2], '/') || '/x' END AS joined, TRUE AS is_ignored FROM p""",
-    "diff_edges_added": _sql(_edges(BASE, name="b"), _edges(CUT, name="h"), select="SELECT source, target FROM h EXCEPT SELECT source, target FROM b"),
-    "diff_edges_removed": _sql(_edges(BASE, name="b"), _edges(CUT, name="h"), select="SELECT source, target FROM b EXCEPT SELECT source, target FROM h"),
+  CASE WHEN len(parts) < 2 THEN '' WHEN len(parts) = 2 THEN 'x' ELSE array_to_string(parts[1:len(parts) - 2], '/') || '/x' END AS joined, p_partkey % 2 = 0 AS is_ignored FROM p""",
+    "diff_edges_added": _sql(_edges(name="b", by=fixture.BASE), _edges(name="h"), select="SELECT source, target FROM h EXCEPT SELECT source, target FROM b"),
+    "diff_edges_removed": _sql(_edges(name="b", by=fixture.BASE), _edges(name="h"), select="SELECT source, target FROM b EXCEPT SELECT source, target FROM h"),
     "diff_summary": _diff_sql(),
     "mermaid_lines": _sql(_PG, _N, f"q AS (SELECT *, {_mid('id')} AS mid FROM n)", "f AS (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY type, id) AS r FROM q)", select=f"""SELECT CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS line_no, 'graph TD' AS line
 UNION ALL SELECT 1, row_number() OVER (ORDER BY type, id), '  ' || mid || '[' || label || ']' FROM f WHERE r = 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,18 +46,22 @@ class Report:
     def explosions(self) -> DataFrame:
         return risks.explosions(self.nodes, self.limits)
 
-    @property
+    @functools.cached_property
     def violations(self) -> DataFrame:
-        return risks.violations(self.edges, self.nodes)
+        return cut(risks.violations(self.edges, self.nodes))
 
-    @property
+    @functools.cached_property
     def scores(self) -> DataFrame:
-        return risks.scores(self.nodes, self.members, self.limits, self.violations)
+        return cut(risks.scores(self.nodes, self.members, self.limits, self.violations))
 
     @property
     def top_risks(self) -> DataFrame:
         return risks.top_risks(self.scores)
 
+    def deltas(self, base: str, head: str) -> DataFrame:
+        """One row of differences between two snapshots."""
+        return diff.summary(self.edges, self.metrics, self.complexity, self.scores, self.violations, self.gods, self.explosions, base, head)
+
     def views(self, prefix: str = "") -> None:
         """Registers the frames as temporary views, for SQL."""
         for name in ("nodes", "edges", "members", "limits", "metrics", "complexity", "critical", "cycles", "gods", "explosions", "violations", "scores", "top_risks"):
@@ -89,6 +94,5 @@ def compare(spark: SparkSession, repo: str, base: str, head: str) -> tuple[DataF
     """One row of deltas, the added and the removed edges (by source, target) between two refs, analysed in one plan."""
     rows = sources.git_ref(spark, repo, base)
     both = of_sources(rows if base == head else rows.unionByName(sources.git_ref(spark, repo, head)))
-    deltas = diff.summary(both.edges, both.metrics, both.complexity, both.scores, both.violations, both.gods, both.explosions, base, head)
     of = lambda ref: both.edges.filter(F.col("snapshot_id") == ref)
-    return deltas, diff.added(of(base), of(head)).orderBy("source", "target"), diff.removed(of(base), of(head)).orderBy("source", "target")
+    return both.deltas(base, head), diff.added(of(base), of(head)).orderBy("source", "target"), diff.removed(of(base), of(head)).orderBy("source", "target")

@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.lineage import cut
 from tessera.operators.graph import node_order
 from tessera.plans.report import Report
 
@@ -70,15 +71,25 @@ def mermaid_id(node_id: Column, node_type: Column) -> Column:
     return F.concat(prefix, F.regexp_replace(F.regexp_replace(node_id, "^pkg:", ""), r"[^\p{L}\p{N}_]", "_"))
 
 
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with line_no, from 1 on in each snapshot: range partitions are sorted alone, and each starts behind those before it."""
+    keys = [F.col("snapshot_id"), *order]
+    placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()))
+    pieces = placed.groupBy("snapshot_id", F.shiftright("__at", 33).alias("__piece")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("snapshot_id").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    joined = placed.withColumn("__piece", F.shiftright("__at", 33)).join(starts, ["snapshot_id", "__piece"])
+    return joined.select(*rows.columns, (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias("line_no"))
+
+
 def mermaid_lines(node: DataFrame, edge: DataFrame) -> DataFrame:
     """snapshot_id, part (0 head, 1 nodes, 2 edges), line_no in the part, line. Nodes of equal diagram ids appear once, the first; edges all."""
     named = node.withColumn("m", mermaid_id(F.col("id"), F.col("type")))
     own = named.withColumn("r", F.row_number().over(Window.partitionBy("snapshot_id", "m").orderBy(*node_order()))).filter("r = 1")
-    every = Window.partitionBy("snapshot_id")
-    nodes = own.select("snapshot_id", F.lit(1).alias("part"), F.row_number().over(every.orderBy(*node_order())).cast("long").alias("line_no"), F.concat(F.lit("  "), "m", F.lit("["), F.replace("label", F.lit('"'), F.lit('\\"')), F.lit("]")).alias("line"))
+    nodes = numbered(own, node_order()).select("snapshot_id", F.lit(1).alias("part"), "line_no", F.concat(F.lit("  "), "m", F.lit("["), F.replace("label", F.lit('"'), F.lit('\\"')), F.lit("]")).alias("line"))
     kind = lambda c: F.when(F.startswith(c, F.lit("pkg:")), "package").otherwise("file")
     ends = [mermaid_id(F.col(c), kind(F.col(c))) for c in ("source", "target")]
-    edges = edge.select("snapshot_id", F.lit(2).alias("part"), F.row_number().over(every.orderBy("id")).cast("long").alias("line_no"), F.concat(F.lit("  "), ends[0], F.lit(" --> "), ends[1]).alias("line"))
+    edges = numbered(edge, [F.col("id")]).select("snapshot_id", F.lit(2).alias("part"), "line_no", F.concat(F.lit("  "), ends[0], F.lit(" --> "), ends[1]).alias("line"))
     head = node.select("snapshot_id").distinct().select("snapshot_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("line_no"), F.lit("graph TD").alias("line"))
     return head.unionByName(nodes).unionByName(edges)
 

@@ -1,5 +1,6 @@
 import json
 import random
+import urllib.error
 import urllib.request
 from threading import Thread
 
@@ -49,9 +50,23 @@ def test_server(spark):
         Thread(target=http.serve_forever, daemon=True).start()
         get = lambda p: urllib.request.urlopen(f"http://127.0.0.1:{http.server_address[1]}{p}", timeout=10).read()
         assert json.loads(get("/api/graph")) == {"x": 1} and get("/api/health") == b'{"status":"ok"}' and b"Dependency graph" in get("/")
+        assert b"/api/graph" in get("/page.js?x=1") and b"canvas" in get("/page.css") and http.server_address[0] == "127.0.0.1"
+        for path in ("/nothing", "/../web.py", "/page.js/"):
+            with pytest.raises(urllib.error.HTTPError) as refused:
+                get(path)
+            assert refused.value.code == 404
         http.shutdown()
 
 
+def test_numbered(spark):
+    """Lines are numbered over range partitions as over the whole snapshot."""
+    rows = [(f"s{i % 3}", f"n{i * 7919 % 1000:03}", i) for i in range(1000)]
+    found = export.numbered(spark.createDataFrame(rows, "snapshot_id string, id string, i int").repartition(5), [F.col("id")]).collect()
+    for name in ("s0", "s1", "s2"):
+        own = sorted((r.line_no, r.id) for r in found if r.snapshot_id == name)
+        assert [n for n, _ in own] == list(range(1, len(own) + 1)) and [i for _, i in own] == sorted(i for s, i, _ in rows if s == name)
+
+
 def brute(edges):
     nodes = {x for e in edges for x in e}
     reach = {n: {n} for n in nodes}
