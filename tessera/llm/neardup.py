@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, Words, cut, doc_key, mix, pieces, table, utf8
+from tessera.llm.common import U, WORD, Words, cut, doc_key, mix, pieces, table, utf8
 from tessera.llm.graph import components
 
 N, THRESHOLD = 5, 0.8
@@ -191,10 +191,19 @@ def _groups(classes: DataFrame) -> DataFrame:
     return cut(by_node.select("node", filled.alias("groups"), "own"))
 
 
-def _placed(documents: DataFrame) -> DataFrame:
-    """Of every row doc_id, its text's hashes k1 and k2, and of its class (null where the text is blank) node, rep, copies, links, root and the root's id root_rep."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = documents.select(doc_key(F.col("doc_id")).alias("d"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _hashes() -> list[Column]:
+    """Two hashes of a text, which together name its class."""
+    return [F.xxhash64(_text()), F.xxhash64(F.lit(7), _text())]
+
+
+def _classed(documents: DataFrame) -> DataFrame:
+    """Of every class of equal texts that aren't blank the texts' hashes k1 and k2, node, rep (the smallest id), copies, links, root and the root's id root_rep."""
+    k1, k2 = _hashes()
+    docs = documents.select(doc_key(F.col("doc_id")).alias("d"), k1.alias("k1"), k2.alias("k2"), _text().alias("text"))
     signed = docs.mapInArrow(_sign, "d long, k1 long, k2 long, n long, bands array<long>")
     grouped = signed.groupBy("k1", "k2").agg(F.min("d").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     # Classes are numbered in the order of their smallest ids, which several may share.
@@ -207,15 +216,15 @@ def _placed(documents: DataFrame) -> DataFrame:
     roots_ = components(found.select(F.col("root").alias("a"), F.col("node").alias("b"))).select("node", "root")
     totals = found.groupBy("node").agg(F.sum("links").alias("links")).join(roots_, "node", "left")
     totals = totals.join(classes.select(F.col("node").alias("root"), F.col("rep").alias("root_rep")), "root", "left")
-    classed = cut(classes.select("k1", "k2", "node", "rep", "copies").join(totals, "node", "left"))
-    return documents.select("doc_id", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")).join(classed, ["k1", "k2"], "left")
+    return cut(classes.select("k1", "k2", "node", "rep", "copies").join(totals, "node", "left"))
 
 
 def jaccard_join(documents: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest id of its near-duplicate component), copy_id (of its class of equal texts), n_links (other documents of similarity 0.8 or more)."""
     own = doc_key(F.col("doc_id"))
     known = lambda c: F.when(c != -(2**63), c)
-    return _placed(documents).select(
+    k1, k2 = _hashes()
+    return documents.select("doc_id", k1.alias("k1"), k2.alias("k2")).join(_classed(documents), ["k1", "k2"], "left").select(
         F.col("doc_id").cast("long").alias("doc_id"),
         known(F.coalesce("root_rep", "rep", own)).alias("class_id"),
         known(F.coalesce("rep", own)).alias("copy_id"),
@@ -228,13 +237,12 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
     Rows that share an id and a text count as one, the one whose other columns are smallest; blank texts stay.
     """
-    first = F.col("node").isNull() | (F.coalesce("root", "node") == F.col("node")) & (doc_key(F.col("doc_id")) == F.col("rep"))
     keys = ["__kept_d", "__kept_1", "__kept_2"]
-    kept = _placed(documents).filter(first).select(doc_key(F.col("doc_id")).alias(keys[0]), F.col("k1").alias(keys[1]), F.col("k2").alias(keys[2])).distinct()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = documents.withColumns(dict(zip(keys, (doc_key(F.col("doc_id")), F.xxhash64(text), F.xxhash64(F.lit(7), text)))))
-    rows = keyed.join(kept.hint("merge"), keys, "left_semi")
-    return rows.groupBy(*keys).agg(F.min(F.struct(*documents.columns)).alias("row")).select("row.*")
+    first = _classed(documents).filter(F.coalesce("root", "node") == F.col("node"))
+    kept = first.select(F.col("rep").alias(keys[0]), F.col("k1").alias(keys[1]), F.col("k2").alias(keys[2]), F.lit(True).alias("__kept"))
+    keyed = documents.withColumns(dict(zip(keys, (doc_key(F.col("doc_id")), *_hashes()))))
+    rows = keyed.join(kept.hint("merge"), keys, "left").filter(F.col("__kept") | ~F.rlike(_text(), F.lit(WORD)))
+    return rows.groupBy(*keys).agg(F.min(F.struct(*(documents[c] for c in documents.columns))).alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
