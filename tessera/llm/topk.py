@@ -115,14 +115,19 @@ def block_search(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.nd
             own = ids[lo : lo + BLOCK]
             scores = q[rows] @ x[lo : lo + BLOCK].T
             scores[own[None, :] == q_ids[rows][:, None]] = none
-            keep = (scores >= np.maximum(least[rows], best[rows, -1])[:, None]).any(axis=1)
-            rows, scores = rows[keep], scores[keep]
-            if not len(rows):
+            floor = np.maximum(least[rows], best[rows, -1])
+            if scores.dtype != object and scores.shape[1] > k:  # no more than k of a block, and ties with the k-th, can matter
+                floor = np.maximum(floor, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+            r, c = np.nonzero(scores >= floor[:, None])
+            if not len(r):
                 continue
-            both = np.concatenate([best[rows], scores], axis=1)
-            names = np.concatenate([who[rows], np.broadcast_to(own, scores.shape)], axis=1)
-            top = np.lexsort((names, -both), axis=-1)[:, :k]
-            best[rows], who[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+            rows, r = rows[np.unique(r)], np.unique(r, return_inverse=True)[1]
+            query = np.concatenate([np.repeat(np.arange(len(rows)), k), r])
+            score = np.concatenate([best[rows].ravel(), scores[scores >= floor[:, None]]])
+            name = np.concatenate([who[rows].ravel(), own[c]])
+            top = np.lexsort((name, -score, query))
+            top = top[np.searchsorted(query[top], np.arange(len(rows)))[:, None] + np.arange(k)]
+            best[rows], who[rows] = score[top], name[top]
     at, rank = np.nonzero((best > none) & (best >= least[:, None]))
     found = best[at, rank]
     return at, who[at, rank], np.clip(found, -(2**63), 2**63 - 1) if found.dtype == object else found
