@@ -152,7 +152,8 @@ class Scanner:
         lines = few.select(F.explode(F.split("text", "\n")).alias("line")).select(_words(F.col("line")).alias("words")).filter("size(words) > 0").distinct()
         against = F.array(*(F.array(*map(F.lit, w)) for _, w, _ in self.fixed))
         # Lines that share a good part of a template may be licences themselves.
-        strange = lines.filter(~F.exists(against, lambda t: F.size(F.array_intersect(t, F.col("words"))) >= 0.6 * F.size(t)))
+        alike = F.exists(against, lambda t: F.size(F.array_intersect(t, F.col("words"))) >= 0.6 * F.size(t))
+        strange = lines.filter(~(F.arrays_overlap("words", self.anchor_array) & alike))
         noise = cut(strange.orderBy(F.xxhash64("words"), "words").limit(NOISE).select("words"))
         rows = self._training(spark, templates, noise)
         grams = CountVectorizer(inputCol="grams", outputCol="x", binary=True, minDF=1.0, vocabSize=1 << 14)
