@@ -62,7 +62,7 @@ def _backwards(links: DataFrame, colour: DataFrame) -> DataFrame:
 
 def _one_task(pairs: pd.DataFrame) -> pd.DataFrame:
     """Components of one snapshot's edges u, v by depth-first search without recursion; those of several members or with a loop."""
-    names, codes = np.unique(np.concatenate([pairs["u"].to_numpy(object), pairs["v"].to_numpy(object)]), return_inverse=True)
+    codes, names = pd.factorize(np.concatenate([pairs["u"].to_numpy(object), pairs["v"].to_numpy(object)]), sort=True)
     u, v = codes[: len(pairs)], codes[len(pairs) :]
     order = np.argsort(u, kind="stable")
     after, ends = v[order].tolist(), np.searchsorted(u[order], np.arange(len(names) + 1)).tolist()
