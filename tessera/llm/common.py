@@ -108,7 +108,8 @@ class Words:
     """The words of several UTF-8 texts laid end to end, as arrays.
 
     data: the bytes; starts, ends: each word's byte range; counts: words per text;
-    first: index of each text's first word; text: index of each word's text; hash(which): 64 bits a word.
+    first: index of each text's first word; text: index of each word's text; hash(which): 64 bits a word;
+    digests(begin, count): 128 bits of the words themselves.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
@@ -128,6 +129,7 @@ class Words:
         self.first = edges[:-1]
         self.text = np.repeat(np.arange(len(self.counts)), self.counts)
         self._hash: dict[int, np.ndarray] = {}
+        self._line: tuple[np.ndarray, np.ndarray] | None = None
 
     def hash(self, which: int = 1) -> np.ndarray:
         if which not in self._hash:
@@ -149,6 +151,28 @@ class Words:
         """Hash of any k neighbouring words, also across texts."""
         return neighbour_hash(self.hash(which), k)
 
+    def digests(self, begin: np.ndarray, count: np.ndarray | int) -> np.ndarray:
+        """BLAKE2b of the count words from each of begin on, inside one text and joined by single blanks: two numbers each."""
+        size = self.ends - self.starts
+        if self._line is None:
+            gap = np.zeros(len(size), bool)
+            inner = self.ends < len(self.data)
+            gap[inner] = _BLANK[self.data[self.ends[inner]]]
+            keep = ~_BLANK[self.data]
+            keep[self.ends[gap]] = True
+            line = self.data[keep]
+            line[_BLANK[line]] = 32
+            self._line = line, np.cumsum(size + gap) - size - gap
+        line, at = self._line
+        last = begin + count - 1
+        view, out = memoryview(line), np.empty((len(begin), 2), np.int64)
+        for lo in range(0, len(begin), 65_536):
+            hi = min(lo + 65_536, len(begin))
+            ends = at[last[lo:hi]] + size[last[lo:hi]]
+            raw = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(at[begin[lo:hi]].tolist(), ends.tolist()))
+            out[lo:hi] = np.frombuffer(raw, "<i8").reshape(-1, 2)
+        return out
+
 
 def tidy() -> None:
     """Gives freed memory back to the system: a Python worker outlives its tasks, and an executor's memory is shared."""

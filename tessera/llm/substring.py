@@ -14,11 +14,14 @@ everything that repeats is found by Spark joins on anchors, a fifteenth to a sev
    branch: in the document of their first occurrences, where their coordinates must meet, such paths are compacted to
    one long path. Every occurrence of a long path but its first is removed whole; one join finds them by its start.
 3. Where an anchor has several contents (the ends of repeated passages), the first occurrence of each content is
-   opened into its edges, which are compared one by one by 128-bit hashes; occurrences after the first are removed.
+   opened into its edges, which are compared one by one by the digests of their words; occurrences after the first are
+   removed.
 4. Source coordinates (document, start, number of edges) are carried along all the way: they decide which occurrence
-   is first, and the spans they give are laid on the text again and removed from it.
+   is first. A long path's first occurrence is read again from its coordinates in its text and digested; every other
+   occurrence is digested where it is to be removed, and stays if the two differ.
 
-Words are compared by 128 bits: contents by the anchor's and the path's hash, edges by two hashes of other seeds.
+So hashes only find candidates; what is removed has the words of its first occurrence by 128 bits of BLAKE2b of the
+words themselves. Edges that repeat inside one text are compared in the same way.
 
 A row is known by its id; where any id stands in more than one row, by its id and 128 bits of its text's hash.
 
@@ -116,18 +119,31 @@ def _open(z: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and the paths to open in them, to edges."""
+def _listed(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The elements of a list column, and the row of each; a null list has none."""
+    return lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, the paths to open in them, and the long paths whose first occurrence they hold: to edges, and to the paths' digests (at: -1)."""
+    names = ["h1", "h2", *ROW, "at", "m", "c"]
     for batch in pieces(batches, "z", 400_000):
         words = Words(*_open(batch.column(3)))
-        spans = batch.column(4)
-        packed, owner = spans.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), spans.value_lengths().to_numpy())
+        spans, owner = _listed(batch.column(4))
+        packed = spans.to_numpy()
         n = packed & _START
         text = np.repeat(owner, n)
         start = np.repeat(packed >> _LONG, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        begin = words.first[text] + start
+        digests = words.digests(words.first[text] + start, K)
         rows = [pa.array(batch.column(i).to_numpy()[text]) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([*(pa.array(words.window_hash(begin, K, w).view(np.int64)) for w in (1, 2)), *rows, pa.array(start << 4 | 1)], names=["h1", "h2", *ROW, "at"])
+        none = pa.nulls(len(text), pa.int64())
+        yield pa.RecordBatch.from_arrays([*map(pa.array, digests.T), *rows, pa.array(start << 4 | 1), none, none], names=names)
+        sources, owner = _listed(batch.column(5))
+        packed, *path = (sources.field(i) for i in range(3))
+        packed = packed.to_numpy()
+        digests = words.digests(words.first[owner] + (packed >> _LONG), (packed & _START) + K - 1)
+        rows = [pa.array(batch.column(i).to_numpy()[owner]) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, digests.T), *rows, pa.array(np.full(len(owner), -1)), *path], names=names)
 
 
 def circling(words: Words) -> np.ndarray:
@@ -139,17 +155,28 @@ def circling(words: Words) -> np.ndarray:
     one, two = (words.window_hash(begin, K, w) for w in (1, 2))
     order = np.argsort(mix(one ^ mix(text.astype(U) + U(1))), kind="stable")
     a, b = order[:-1], order[1:]
-    return begin[b[(one[a] == one[b]) & (two[a] == two[b]) & (text[a] == text[b])]]
+    met = (one[a] == one[b]) & (two[a] == two[b]) & (text[a] == text[b])
+    if not met.any():
+        return begin[:0]
+    a, b = begin[a[met]], begin[b[met]]
+    return b[(words.digests(a, K) == words.digests(b, K)).all(axis=1)]
 
 
 def _remove(untouched: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the words that their spans, or edges that their text has before, cover: columns 1 (compressed text) and 2 (spans) become results."""
+    """Texts without the words that their spans, or edges that their text has before, cover.
+
+    The columns z (compressed text), spans (of edges) and runs (spans of paths with the digest of their first
+    occurrence, which their words must have) become results.
+    """
     for batch in pieces(batches, "z", 400_000):
         data, offsets = _open(batch.column(0))
         words = Words(data, offsets)
-        spans = batch.column(1)
-        packed = spans.flatten().to_numpy()
-        owner = np.repeat(np.arange(batch.num_rows), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        spans, owner = _listed(batch.column(1))
+        packed = spans.to_numpy()
+        runs, whose = _listed(batch.column(2))
+        run, *proof = (runs.field(i).to_numpy() for i in range(3))
+        same = (words.digests(words.first[whose] + (run >> _LONG), (run & _START) + K - 1) == np.stack(proof, axis=1)).all(axis=1)
+        packed, owner = np.concatenate([packed, run[same]]), np.concatenate([owner, whose[same]])
         begin = words.first[owner] + (packed >> _LONG)
         again = circling(words)
         mark = np.zeros(len(words.starts) + 1, np.int64)
@@ -167,8 +194,8 @@ def _remove(untouched: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
                 kept.append(b" ".join(itertools.compress(text.split(), left.tolist())))
             else:
                 kept.append(text if untouched else b" ".join(text.split()))
-        rest = batch.columns[2:]
-        yield pa.RecordBatch.from_arrays([pa.array(words.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string()), *rest], names=["n_words", "n_removed", "kept", *batch.schema.names[2:]])
+        rest = batch.columns[3:]
+        yield pa.RecordBatch.from_arrays([pa.array(words.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string()), *rest], names=["n_words", "n_removed", "kept", *batch.schema.names[3:]])
 
 
 def _place(at: Column) -> tuple[Column, Column]:
@@ -205,20 +232,25 @@ def compacted(table_: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """ROW, spans (start << 31 | edges) to remove, for those rows of _keyed's that have any."""
+    """ROW, and what to remove from it, for those rows of _keyed's that have any: spans (start << 31 | edges), and runs (a span, the digest its words must have)."""
     docs = docs.select(*ROW, "text")
     row = "d long, t long, u long"
     repeated = cut(docs.mapInArrow(_anchors(False), "m long").groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"))
     walked = cut(docs.mapInArrow(_anchors(True), f"m long, c long, {row}, at long, before long").join(repeated, "m"))
     contents = cut(walked.groupBy("m", "c").agg(_first(), F.count("*").alias("n"), F.min("before").alias("least"), F.max("before").alias("most")))
     start, edges = _place(F.col("at"))
-    later_paths = walked.join(cut(compacted(contents)), ["m", "c"]).filter(_later()).select(*ROW, _span(start, F.col("edges")))
+    longs = cut(compacted(contents))
     several = cut(contents.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"))
-    ends = contents.select("m", "f.*").join(several, "m").select(*ROW, _span(start, edges)).groupBy(*ROW).agg(F.collect_list("s").alias("spans"))
-    opened = cut(docs.mapInArrow(_squeeze, f"{row}, z binary").join(ends.hint("merge"), ROW).mapInArrow(_edges, f"h1 long, h2 long, {row}, at long"))
+    ends = contents.select("m", "f.*").join(several, "m").select(*ROW, _span(start, edges), F.lit(None).alias("p"))
+    firsts = longs.select("f.*", "m", "c", "edges").select(*ROW, F.lit(None).alias("s"), F.struct(_span(start, F.col("edges")), "m", "c").alias("p"))
+    asked = ends.union(firsts).groupBy(*ROW).agg(F.collect_list("s").alias("spans"), F.collect_list("p").alias("sources"))
+    opened = cut(docs.mapInArrow(_squeeze, f"{row}, z binary").join(asked.hint("merge"), ROW).mapInArrow(_read, f"h1 long, h2 long, {row}, at long, m long, c long"))
+    proofs = opened.filter("at < 0").select("m", "c", F.col("h1").alias("v1"), F.col("h2").alias("v2")).dropDuplicates(["m", "c"])
+    opened = opened.filter("at >= 0").drop("m", "c")
+    later_paths = walked.join(longs.join(proofs, ["m", "c"]), ["m", "c"]).filter(_later()).select(*ROW, F.lit(None).alias("s"), F.struct(_span(start, F.col("edges")), "v1", "v2").alias("p"))
     edge_firsts = cut(opened.groupBy("h1", "h2").agg(_first(), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    later_edges = opened.join(edge_firsts, ["h1", "h2"]).filter(_later()).select(*ROW, _span(start, edges))
-    return later_paths.union(later_edges).groupBy(*ROW).agg(F.collect_list("s").alias("spans"))
+    later_edges = opened.join(edge_firsts, ["h1", "h2"]).filter(_later()).select(*ROW, _span(start, edges), F.lit(None).alias("p"))
+    return later_paths.union(later_edges).groupBy(*ROW).agg(F.collect_list("s").alias("spans"), F.collect_list("p").alias("runs"))
 
 
 def _keyed(documents: DataFrame, *more: str) -> DataFrame:
@@ -239,7 +271,7 @@ def dedup(documents: DataFrame, *more: str, untouched: bool = False) -> DataFram
     spans = cut(repeated_spans(docs))
     own = "".join(f", own_{i} {types[c]}" for i, c in enumerate(("doc_id", *more)))
     texts = docs.mapInArrow(_squeeze, f"d long, t long, u long, z binary{own}").join(spans.hint("merge"), ROW, "left").drop(*ROW)
-    rows = texts.select("z", "spans", *(f"own_{i}" for i in range(1 + len(more)))).mapInArrow(functools.partial(_remove, untouched), f"n_words long, n_removed long, kept string{own}")
+    rows = texts.select("z", "spans", "runs", *(f"own_{i}" for i in range(1 + len(more)))).mapInArrow(functools.partial(_remove, untouched), f"n_words long, n_removed long, kept string{own}")
     return rows.select(F.col("own_0").cast("long").alias("doc_id"), "n_words", "n_removed", "kept", *(F.col(f"own_{i}").alias(c) for i, c in enumerate(more, 1)))
 
 

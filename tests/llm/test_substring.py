@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 
 from tests.llm.data import corpus, frame, words
@@ -86,6 +88,40 @@ def test_circles(spark):
     assert got(substring.dedup(frame(spark, rows, False))) == brute(rows)
 
 
+def laid(*texts):
+    data = [t.encode() for t in texts]
+    return Words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+
+
+def test_digests():
+    """Digests tell words by their bytes, whatever blanks stand between them and wherever texts meet."""
+    texts = ["a b\n\tc", "a  b c ", "", "\vb c", "ab c", "é 日本"]
+    found = laid(*texts)
+    for i, text in enumerate(texts):
+        own = text.encode().split()
+        for lo in range(len(own)):
+            for n in range(1, len(own) - lo + 1):
+                want = hashlib.blake2b(b" ".join(own[lo : lo + n]), digest_size=16).digest()
+                assert found.digests(found.first[[i]] + lo, n).astype("<i8").tobytes() == want
+
+
+def test_equal_hashes_do_not_remove():
+    """Where hashes meet and words differ, nothing goes: inside a text, and for an occurrence of a path."""
+    plain, circle = " ".join(f"u{i}" for i in range(60)), "la " * 40
+    for text, want in ((plain, 0), (circle, 20)):
+        found = laid(text)
+        found._hash = {w: np.zeros(len(found.starts), np.uint64) for w in (1, 2)}
+        assert len(substring.circling(found)) == want
+
+    own, other = laid(plain).digests(np.array([10]), 30)[0].tolist(), laid("x " + plain).digests(np.array([10]), 30)[0].tolist()
+    span = 10 << 31 | 11
+    pairs = pa.list_(pa.struct([("s", pa.int64()), ("v1", pa.int64()), ("v2", pa.int64())]))
+    z = zstandard.ZstdCompressor().compress(plain.encode())
+    runs = [[(span, *own)], [(span, *other)], None]
+    batch = pa.RecordBatch.from_arrays([pa.array([z] * 3), pa.array([[], [], None], pa.list_(pa.int64())), pa.array(runs, pairs)], names=["z", "spans", "runs"])
+    assert [n for part in substring._remove(False, iter([batch])) for n in part.column(1).to_pylist()] == [30, 0, 0]
+
+
 def test_paths_cover_all_edges():
     rows = [(t or "").encode() for _, t in corpus()]
     _, _, text, start, edges = substring.paths(Words(np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])))
