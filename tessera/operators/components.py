@@ -1,13 +1,21 @@
 """Strongly connected components of a distributed edge table.
 
-Trimming drops edges that cannot lie on a cycle (an end without a way in or out). What is left is coloured: every node
-takes the smallest id that reaches it. From each colour's root the nodes of that colour that reach the root are walked
-backwards; they are the root's component. They go, edges between colours go, and the rest starts anew. All snapshots are
-treated at once. Each step ends in a written table; only counts come to the driver.
+Trimming drops edges that cannot lie on a cycle (an end without a way in or out). A strong component lies within a weak
+one, so what is left is dealt to tasks by weak components, each of them whole, and solved there. Trimming and weak
+components know nodes by a 64-bit hash: should two nodes share one, more edges stay or two weak components go to one task,
+and the result is the same, as the tasks compare the ids.
+
+Weak components too large for a task are coloured: every node takes the smallest id that reaches it. From each colour's
+root the nodes of that colour that reach the root are walked backwards; they are the root's component. They go, edges
+between colours go, and the rest starts anew. All snapshots are treated at once. Each step ends in a written table; only
+counts come to the driver.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,6 +26,8 @@ from tessera.lineage import cut, release
 _TRIMS = 4
 #: Edges of a snapshot that one task holds in memory without trouble.
 ONE_TASK = 2_000_000
+#: Edges that are worth another task: larger tables are trimmed and dealt out.
+SHARE = 100_000
 
 
 def _trim(links: DataFrame) -> tuple[DataFrame, int]:
@@ -61,7 +71,7 @@ def _backwards(links: DataFrame, colour: DataFrame) -> DataFrame:
 
 
 def _one_task(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Components of one snapshot's edges u, v by depth-first search without recursion; those of several members or with a loop."""
+    """Components of edges u, v of one snapshot by depth-first search without recursion; those of several members or with a loop."""
     codes, names = pd.factorize(np.concatenate([pairs["u"].to_numpy(object), pairs["v"].to_numpy(object)]), sort=True)
     u, v = codes[: len(pairs)], codes[len(pairs) :]
     order = np.argsort(u, kind="stable")
@@ -105,20 +115,71 @@ def _one_task(pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"snapshot_id": pairs["s"].iloc[0], "cycle_root": names[root[keep]], "file_id": names[keep]})
 
 
-def strong_components(edge: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """cycle members of edges (snapshot_id, source, target) between files: snapshot_id, cycle_root (the smallest member), file_id.
+def _core(edge: DataFrame, few: int) -> DataFrame:
+    """Rows s, u, v of edge that trimming leaves; it goes on while it takes a tenth of them and more than few are left."""
+    hashed = edge.withColumn("hu", F.xxhash64("s", "u")).withColumn("hv", F.xxhash64("s", "v"))
+    links = cut(hashed.select("hu", "hv"))
+    n = every = links.count()
+    while n > few:
+        into, out = links.select(F.col("hv").alias("hu")).distinct(), links.select(F.col("hu").alias("hv")).distinct()
+        links = cut(links.join(into, "hu", "left_semi").join(out, "hv", "left_semi").select("hu", "hv"), links)
+        before, n = n, links.count()
+        if n > before * 0.9:
+            break
+    if n == every:
+        release(links)
+        return edge
+    return cut(hashed.join(links, ["hu", "hv"], "left_semi").select("s", "u", "v"), links)
 
-    A component counts if it has several members or an edge to itself. Snapshots of at most `one_task` edges, counted
-    first, are each solved in one task; larger ones by trimming and colouring. Both give the same rows.
+
+def _weak(links: DataFrame) -> DataFrame:
+    """x, r: the smallest node of x's weak component, for all x but these; by large and small stars in turn. links: hu, hv."""
+    star = cut(links.filter("hu <> hv").select(F.greatest("hu", "hv").alias("x"), F.least("hu", "hv").alias("r")).distinct())
+    seen = None
+    while True:
+        now = star.agg(F.count("*"), F.sum(F.xxhash64("x", "r").cast("decimal(38,0)"))).first()
+        if now == seen:
+            return star
+        seen = now
+        # every larger neighbour of x goes to the smallest node among x and its neighbours
+        both = star.unionByName(star.select(F.col("r").alias("x"), F.col("x").alias("r")))
+        least = both.groupBy("x").agg(F.min("r").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = cut(both.filter("r > x").join(least, "x").select(F.col("r").alias("x"), F.col("m").alias("r")).distinct(), star)
+        # x and its smaller neighbours go to the smallest of them
+        least = large.groupBy("x").agg(F.min("r").alias("m"))
+        rest = large.join(least, "x").filter("r <> m").select(F.col("r").alias("x"), F.col("m").alias("r"))
+        star = cut(least.select("x", F.col("m").alias("r")).unionByName(rest).distinct(), large)
+
+
+def strong_components(edge: DataFrame, one_task: int = ONE_TASK, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """cycle members of edges (snapshot_id, source, target), repeated or not: snapshot_id, cycle_root (the smallest member), file_id.
+
+    A component counts if it has several members or an edge to itself. What trimming leaves of a snapshot is solved in one
+    task, if it is little, and else by weak components; those of more than `one_task` edges by colouring. All ways give
+    the same rows. `keep` filters the edges; it is given only those that trimming leaves.
     """
-    sizes = edge.groupBy(F.col("snapshot_id").alias("s")).count()
-    sized = edge.join(sizes, edge["snapshot_id"] == sizes["s"]).select(edge["*"], "count")
-    small = sized.filter(F.col("count") <= one_task).select(F.col("snapshot_id").alias("s"), F.col("source").alias("u"), F.col("target").alias("v"))
-    found = small.groupBy("s").applyInPandas(_one_task, "snapshot_id string, cycle_root string, file_id string")
-    large = sized.filter(F.col("count") > one_task).select("snapshot_id", "source", "target")
-    if sizes.filter(F.col("count") > one_task).isEmpty():
+    share = min(one_task, SHARE)
+    edge = _core(edge.select(F.col("snapshot_id").alias("s"), F.col("source").alias("u"), F.col("target").alias("v")), share)
+    if keep:
+        kept = keep(edge.select(F.col("s").alias("snapshot_id"), F.col("u").alias("source"), F.col("v").alias("target")))
+        edge = kept.select(F.col("snapshot_id").alias("s"), F.col("source").alias("u"), F.col("target").alias("v"))
+    edge = cut(edge.distinct(), edge)
+    sizes = cut(edge.groupBy("s").count())
+    solved = lambda rows, *key: rows.groupBy(*key).applyInPandas(_one_task, "snapshot_id string, cycle_root string, file_id string")
+    small = solved(edge.join(sizes.filter(F.col("count") <= share), "s", "left_semi"), "s")
+    sized = sizes.filter(F.col("count") > share)
+    n = sized.agg(F.sum("count")).first()[0]
+    if not n:
+        return small
+    large = edge.join(sized, "s", "left_semi").withColumn("hu", F.xxhash64("s", "u"))
+    weak = _weak(large.select("hu", F.xxhash64("s", "v").alias("hv")))
+    dealt = cut(large.join(weak, large["hu"] == weak["x"], "left").select("s", "u", "v", F.coalesce("r", "hu").alias("r")), weak)
+    heavy = cut(dealt.groupBy("r").count().filter(F.col("count") > one_task).select("r"))
+    tasks = math.ceil(n / share)
+    found = small.unionByName(solved(dealt.join(heavy, "r", "left_anti").withColumn("task", F.pmod(F.xxhash64("r"), F.lit(tasks))), "s", "task"))
+    if heavy.isEmpty():
         return found
-    return found.unionByName(coloured(large))
+    return found.unionByName(coloured(dealt.join(heavy, "r", "left_semi").select(F.col("s").alias("snapshot_id"), F.col("u").alias("source"), F.col("v").alias("target"))))
 
 
 def coloured(edge: DataFrame) -> DataFrame:

@@ -15,24 +15,54 @@ from tessera.operators import components, diff, extract, graph, resolve, risks
 
 @dataclass
 class Report:
-    """Frames of one or more snapshots, evaluated when asked for."""
+    """Frames of one or more snapshots, each evaluated when first asked for. files: snapshot_id, file_id, language; dependencies: resolve's rows."""
 
-    nodes: DataFrame
-    edges: DataFrame
-    members: DataFrame
-    limits: DataFrame
+    files: DataFrame
+    dependencies: DataFrame
+
+    @functools.cached_property
+    def links(self) -> DataFrame:
+        """Distinct edges; an id is made when read."""
+        pairs = cut(graph.edges(self.dependencies).drop("id"))
+        return pairs.select("snapshot_id", F.concat("source", F.lit("->"), "target").alias("id"), "source", "target")
+
+    @functools.cached_property
+    def bare(self) -> DataFrame:
+        """Nodes without what follows from cycles."""
+        return cut(graph.nodes(self.files, self.dependencies, self.links))
+
+    @functools.cached_property
+    def members(self) -> DataFrame:
+        pairs = self.dependencies.select("snapshot_id", "source", F.col("id").alias("target"))
+        return cut(components.strong_components(pairs, keep=lambda edge: graph.only_files(edge, self.files, self.dependencies)))
+
+    @functools.cached_property
+    def limits(self) -> DataFrame:
+        return cut(risks.thresholds(self.bare))
+
+    @functools.cached_property
+    def nodes(self) -> DataFrame:
+        return cut(graph.annotate_nodes(self.bare, self.members))
+
+    @functools.cached_property
+    def edges(self) -> DataFrame:
+        return cut(graph.annotate_edges(self.links, self.members))
+
+    @property
+    def circular_edges(self) -> DataFrame:
+        return graph.circular_edges(self.dependencies, self.members)
 
     @property
     def metrics(self) -> DataFrame:
-        return graph.metrics(self.nodes, self.edges, self.members)
+        return graph.metrics(self.bare, self.links, self.members)
 
     @property
     def complexity(self) -> DataFrame:
-        return graph.complexity(self.nodes)
+        return graph.complexity(graph.scored(self.bare))
 
     @property
     def critical(self) -> DataFrame:
-        return graph.critical(self.nodes)
+        return graph.critical(self.bare)
 
     @property
     def cycles(self) -> DataFrame:
@@ -40,19 +70,19 @@ class Report:
 
     @property
     def gods(self) -> DataFrame:
-        return risks.god_modules(self.nodes, self.limits)
+        return risks.god_modules(self.bare, self.limits)
 
     @property
     def explosions(self) -> DataFrame:
-        return risks.explosions(self.nodes, self.limits)
+        return risks.explosions(self.bare, self.limits)
 
     @functools.cached_property
     def violations(self) -> DataFrame:
-        return cut(risks.violations(self.edges, self.nodes))
+        return cut(risks.violations(self.links, self.bare))
 
     @functools.cached_property
     def scores(self) -> DataFrame:
-        return cut(risks.scores(self.nodes, self.members, self.limits, self.violations))
+        return cut(risks.scores(self.bare, self.members, self.limits, self.violations))
 
     @property
     def top_risks(self) -> DataFrame:
@@ -60,7 +90,7 @@ class Report:
 
     def deltas(self, base: str, head: str) -> DataFrame:
         """One row of differences between two snapshots."""
-        return diff.summary(self.edges, self.metrics, self.complexity, self.scores, self.violations, self.gods, self.explosions, base, head)
+        return diff.summary(self.links, graph.cycle_counts(self.members), self.complexity, risks.scores(self.bare, self.members, self.limits, self.violations), self.violations, self.gods, self.explosions, base, head)
 
     def views(self, prefix: str = "") -> None:
         """Registers the frames as temporary views, for SQL."""
@@ -70,9 +100,7 @@ class Report:
 
 def of_graph(files: DataFrame, dependencies: DataFrame) -> Report:
     """files: snapshot_id, file_id, language; dependencies: resolve's rows."""
-    node, edge = cut(graph.nodes(files, dependencies)), cut(graph.edges(dependencies))
-    members = cut(components.strong_components(graph.between_files(edge, node)))
-    return Report(cut(graph.annotate_nodes(node, members)), cut(graph.annotate_edges(edge, members)), members, cut(risks.thresholds(node)))
+    return Report(files, dependencies)
 
 
 def of_sources(rows: DataFrame) -> Report:

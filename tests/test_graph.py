@@ -135,3 +135,61 @@ def test_empty(spark):
     found = report.of_graph(files, spark.createDataFrame([], DEPS))
     r = export.collected(found, "/p")
     assert r["nodes"] == [] and r["metrics"]["filesAnalyzed"] == 0 and r["risks"]["top_risk_files"] == []
+
+
+def refused(*_, **__):
+    raise AssertionError("not needed here")
+
+
+def rings(spark, n, size=5):
+    """n rings of some nodes and a tail in a graph larger than one task takes; edges and the members they should give."""
+    rows = [("s", f"n{i:03}_{j}", f"n{i:03}_{(j + 1) % size}") for i in range(n) for j in range(size)] + [("s", f"n{i:03}_0", f"tail{i}") for i in range(n)]
+    return spark.createDataFrame(rows + rows[:3], "snapshot_id string, source string, target string"), sorted((f"n{i:03}_0", f"n{i:03}_{j}") for i in range(n) for j in range(size))
+
+
+def test_many_small_components(spark, monkeypatch):
+    """A graph larger than a task is dealt out by weak components; only one that is itself too large is coloured."""
+    monkeypatch.setattr(components, "coloured", refused)
+    edge, expected = rings(spark, 40)
+    assert sorted((r.cycle_root, r.file_id) for r in components.strong_components(edge, one_task=20).collect()) == expected
+    chain = [("s", f"n{i:03}", f"n{i + 1:03}") for i in range(50)] + [("s", "n050", "n050"), ("s", "n000", "n000"), ("t", "a", "a")]
+    found = components.strong_components(spark.createDataFrame(chain, edge.schema), one_task=60).collect()
+    assert sorted((r.snapshot_id, r.cycle_root, r.file_id) for r in found) == [("s", "n000", "n000"), ("s", "n050", "n050"), ("t", "a", "a")]
+
+
+def test_weak(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    found = {r.x: r.r for r in components._weak(spark.createDataFrame(edges, "hu long, hv long")).collect()}
+    assert found == {x: r for x, r in root.items() if x != r}
+
+
+def test_only_files(spark):
+    files = spark.createDataFrame([("s", "a", "python"), ("s", "b", "python")], "snapshot_id string, file_id string, language string")
+    deps = spark.createDataFrame([("s", "a", "b", "b", "file", 0), ("s", "a", "c", "c", "file", 0), ("s", "a", "pkg:d", "d", "package", 0), ("s", "x", "b", "b", "file", 0)], DEPS)
+    edge = graph.edges(deps)
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(graph.only_files(edge, files, deps)) == ids(graph.between_files(edge, graph.nodes(files, deps))) == ["a->b", "a->c"]
+
+
+def test_cycles_alone(spark, monkeypatch):
+    """Cycles and circular edges are found without nodes, thresholds or marked tables of all edges."""
+    for where, name in ((graph, "nodes"), (graph, "annotate_nodes"), (graph, "annotate_edges"), (risks, "thresholds")):
+        monkeypatch.setattr(where, name, refused)
+    found = small(spark)
+    assert [r.members for r in found.cycles.collect()] == [["a.py", "b.py"]]
+    assert sorted(r.id for r in found.circular_edges.collect()) == ["a.py->b.py", "b.py->a.py"]
+
+
+def test_risks_alone(spark, monkeypatch):
+    """Scores and the comparison of snapshots need no marked tables of nodes and edges."""
+    for name in ("annotate_nodes", "annotate_edges"):
+        monkeypatch.setattr(graph, name, refused)
+    found = small(spark)
+    assert [(r.file, r.risk_score) for r in found.top_risks.orderBy("place").collect()] == [("a.py", 16), ("b.py", 13), ("c.py", 1)]
+    row = found.deltas("none", "s").first()
+    assert (row.edges_added, row.edges_removed, row.base_cycles, row.head_cycles, row.base_top_risks, row.head_top_risks, row.head_average_score) == (4, 0, 0, 1, 0, 3, 0.5)
