@@ -36,9 +36,9 @@ def explosions(node: DataFrame, limits: DataFrame) -> DataFrame:
 def violations(edge: DataFrame, node: DataFrame, layers: dict[str, int] | None = None) -> DataFrame:
     """Edges between files from a layer of lower to one of higher rank: source, target, source_layer, target_layer, rule; ordered by edge id."""
     ranks = F.create_map(*(F.lit(x) for pair in (layers or LAYERS).items() for x in pair))
-    rows = between_files(edge, node).select("snapshot_id", "id", "source", "target", paths.first_segment(F.col("source")).alias("source_layer"), paths.first_segment(F.col("target")).alias("target_layer"))
+    rows = edge.select("snapshot_id", "id", "source", "target", paths.first_segment(F.col("source")).alias("source_layer"), paths.first_segment(F.col("target")).alias("target_layer"))
     wrong = ranks[F.col("source_layer")] < ranks[F.col("target_layer")]
-    return rows.filter(wrong).withColumn("rule", F.lit(RULE))
+    return between_files(rows.filter(wrong), node).withColumn("rule", F.lit(RULE))
 
 
 def violations_by_file(found: DataFrame) -> DataFrame:
