@@ -3,7 +3,9 @@
 Trimming drops edges that cannot lie on a cycle (an end without a way in or out). A strong component lies within a weak
 one, so what is left is dealt to tasks by weak components, each of them whole, and solved there. Trimming and weak
 components know nodes by a 64-bit hash: should two nodes share one, more edges stay or two weak components go to one task,
-and the result is the same, as the tasks compare the ids.
+and the result is the same, as the tasks compare the ids. Hashes travel packed, many to a row: a half of a round keeps the
+edges whose start is also an end, part by part, and turns them round. Once few are left, one task trims them to the end
+and finds their weak components; else that is done by joins.
 
 Weak components too large for a task are coloured: every node takes the smallest id that reaches it. From each colour's
 root the nodes of that colour that reach the root are walked backwards; they are the root's component. They go, edges
@@ -13,21 +15,31 @@ counts come to the driver.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.lineage import cut, release
+from tessera.operators.sieve import sieve
 
 _TRIMS = 4
 #: Edges of a snapshot that one task holds in memory without trouble.
 ONE_TASK = 2_000_000
 #: Edges that are worth another task: larger tables are trimmed and dealt out.
 SHARE = 100_000
+#: Edges, as hashes, of which one task finds the weak components.
+HELD = 4_000_000
+#: Rows of packed edges: a part of the nodes, the starts in it and the ends; ends alone stand in a, without b.
+_PACKED = "p int, a binary, b binary"
+#: The least number of parts, edges a part, edges packed at once, rounds of trimming in one task.
+_PARTS, _PART, _PACK, _PEELS = 64, 1_000_000, 1_000_000, 50
 
 
 def _trim(links: DataFrame) -> tuple[DataFrame, int]:
@@ -115,21 +127,120 @@ def _one_task(pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"snapshot_id": pairs["s"].iloc[0], "cycle_root": names[root[keep]], "file_id": names[keep]})
 
 
-def _core(edge: DataFrame, few: int) -> DataFrame:
-    """Rows s, u, v of edge that trimming leaves; it goes on while it takes a tenth of them and more than few are left."""
-    hashed = edge.withColumn("hu", F.xxhash64("s", "u")).withColumn("hv", F.xxhash64("s", "v"))
-    links = cut(hashed.select("hu", "hv"))
-    n = every = links.count()
-    while n > few:
-        into, out = links.select(F.col("hv").alias("hu")).distinct(), links.select(F.col("hu").alias("hv")).distinct()
-        links = cut(links.join(into, "hu", "left_semi").join(out, "hv", "left_semi").select("hu", "hv"), links)
-        before, n = n, links.count()
-        if n > before * 0.9:
+def _part(x: np.ndarray, parts: int) -> np.ndarray:
+    return (x.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)
+
+
+def _blobs(a: np.ndarray, b: np.ndarray, parts: int) -> list[tuple]:
+    """Rows of _PACKED with the edges a, b, one a part of a."""
+    part = _part(a, parts).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    a, b, at = a[order], b[order], np.searchsorted(part[order], np.arange(parts + 1))
+    return [(p, a[i:j].tobytes(), b[i:j].tobytes()) for p, (i, j) in enumerate(itertools.pairwise(at.tolist())) if j > i]
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    p, a, b = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"p": pa.array(p, pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), np.int64)
+
+
+def _pack(parts: int) -> Callable:
+    """Edges hu, hv as blobs: by the part of their start, and their ends alone (b is null) by the ends' part."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append((batch["hu"].to_numpy(zero_copy_only=False), batch["hv"].to_numpy(zero_copy_only=False)))
+                n += batch.num_rows
+            if n and (batch is None or n >= _PACK):
+                u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+                ends = np.unique(v)
+                yield from _rows(_blobs(u, v, parts) + [(p, a, None) for p, a, _ in _blobs(ends, ends, parts)]).to_batches()
+                held, n = [], 0
+
+    return pack
+
+
+def _peel(parts: int) -> Callable:
+    """One half of a round of trimming in one part: edges a, b go unless a is also an end; the rest is turned round, for the other half."""
+
+    def peel(rows: pa.Table) -> pa.Table:
+        lone = pc.is_null(rows["b"])
+        ends, rows = np.unique(_numbers(rows.filter(lone)["a"])), rows.filter(pc.invert(lone))
+        a, b = _numbers(rows["a"]), _numbers(rows["b"])
+        if not len(ends) or not len(a):
+            return _rows([])
+        found = ends[np.minimum(np.searchsorted(ends, a), len(ends) - 1)] == a
+        a, b = a[found], b[found]
+        left = np.unique(a)
+        return _rows(_blobs(b, a, parts) + [(p, x, None) for p, x, _ in _blobs(left, left, parts)])
+
+    return peel
+
+
+def _labelled(rows: pa.Table) -> pa.Table:
+    """In one task: distinct edges hu, hv that trimming leaves in the end, and r, the smallest node of their weak component."""
+    rows = rows.filter(pc.is_valid(rows["b"]))
+    hu, hv = _numbers(rows["a"]), _numbers(rows["b"])
+    names, codes = np.unique(np.concatenate([hu, hv]), return_inverse=True)
+    u, v = codes[: len(hu)], codes[len(hu) :]
+    pairs = np.unique(u * np.int64(len(names)) + v)
+    u, v = (pairs // len(names), pairs % len(names)) if len(names) else (u, v)
+    for _ in range(_PEELS):
+        both = (np.bincount(u, minlength=len(names)) > 0) & (np.bincount(v, minlength=len(names)) > 0)
+        stay = both[u] & both[v]
+        if stay.all():
             break
-    if n == every:
-        release(links)
-        return edge
-    return cut(hashed.join(links, ["hu", "hv"], "left_semi").select("s", "u", "v"), links)
+        u, v = u[stay], v[stay]
+    root = np.arange(len(names))
+    while True:
+        # roots of the ends of an edge go to the smaller of them, then every node to its root's root
+        x, y = root[u], root[v]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return pa.table({"hu": names[u], "hv": names[v], "r": names[root[u]]})
+
+
+def _hashed(edge: DataFrame) -> DataFrame:
+    return edge.withColumn("hu", F.xxhash64("s", "u")).withColumn("hv", F.xxhash64("s", "v"))
+
+
+def _core(edge: DataFrame, few: int) -> DataFrame | None:
+    """Rows s, u, v of edge that trimming leaves, and r, known by their weak component; none if edge has only a few rows."""
+    n = edge.count()
+    if n <= few:
+        return None
+    parts = max(_PARTS, math.ceil(n / _PART))
+    links = _hashed(edge).select("hu", "hv").mapInArrow(_pack(parts), _PACKED)
+    while True:
+        for _ in range(4):
+            links = links.groupBy("p").applyInArrow(_peel(parts), _PACKED)
+        links = cut(links, links)
+        before, n = n, links.filter("b IS NOT NULL").agg(F.coalesce(F.sum(F.octet_length("a")), F.lit(0))).first()[0] // 8
+        if n <= HELD or n > before * 0.9:
+            break
+    labelled = "hu long, hv long, r long"
+    if n <= HELD:
+        left = cut(links.groupBy((F.col("p") < 0).alias("all")).applyInArrow(_labelled, labelled), links)
+    else:
+        left = cut(links.filter("b IS NOT NULL").mapInArrow(_unpack, "hu long, hv long").distinct(), links)
+        weak = _weak(left)
+        left = cut(left.join(weak, left["hu"] == weak["x"], "left").select("hu", "hv", F.coalesce("r", "hu").alias("r")), left, weak)
+    return cut(sieve(_hashed(edge), F.xxhash64("hu", "hv"), left.select(F.xxhash64("hu", "hv"))).join(left, ["hu", "hv"]).select("s", "u", "v", "r"), left)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        yield from pa.table({"hu": _numbers(rows["a"]), "hv": _numbers(rows["b"])}).to_batches()
 
 
 def _weak(links: DataFrame) -> DataFrame:
@@ -154,32 +265,29 @@ def _weak(links: DataFrame) -> DataFrame:
 def strong_components(edge: DataFrame, one_task: int = ONE_TASK, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """cycle members of edges (snapshot_id, source, target), repeated or not: snapshot_id, cycle_root (the smallest member), file_id.
 
-    A component counts if it has several members or an edge to itself. What trimming leaves of a snapshot is solved in one
-    task, if it is little, and else by weak components; those of more than `one_task` edges by colouring. All ways give
-    the same rows. `keep` filters the edges; it is given only those that trimming leaves.
+    A component counts if it has several members or an edge to itself. Few edges are solved by snapshot; of many, what
+    trimming leaves is solved by weak components; those of more than `one_task` edges by colouring. All ways give the same
+    rows. `keep` filters the edges, whatever other columns they have; it is given only those that trimming leaves.
     """
     share = min(one_task, SHARE)
-    edge = _core(edge.select(F.col("snapshot_id").alias("s"), F.col("source").alias("u"), F.col("target").alias("v")), share)
+    every = edge.select(F.col("snapshot_id").alias("s"), F.col("source").alias("u"), F.col("target").alias("v"))
+    core = _core(every, share)
+    edge = every if core is None else core
     if keep:
-        kept = keep(edge.select(F.col("s").alias("snapshot_id"), F.col("u").alias("source"), F.col("v").alias("target")))
-        edge = kept.select(F.col("snapshot_id").alias("s"), F.col("source").alias("u"), F.col("target").alias("v"))
-    edge = cut(edge.distinct(), edge)
-    sizes = cut(edge.groupBy("s").count())
+        kept = keep(edge.withColumnsRenamed({"s": "snapshot_id", "u": "source", "v": "target"}))
+        edge = kept.withColumnsRenamed({"snapshot_id": "s", "source": "u", "target": "v"})
     solved = lambda rows, *key: rows.groupBy(*key).applyInPandas(_one_task, "snapshot_id string, cycle_root string, file_id string")
-    small = solved(edge.join(sizes.filter(F.col("count") <= share), "s", "left_semi"), "s")
-    sized = sizes.filter(F.col("count") > share)
-    n = sized.agg(F.sum("count")).first()[0]
-    if not n:
-        return small
-    large = edge.join(sized, "s", "left_semi").withColumn("hu", F.xxhash64("s", "u"))
-    weak = _weak(large.select("hu", F.xxhash64("s", "v").alias("hv")))
-    dealt = cut(large.join(weak, large["hu"] == weak["x"], "left").select("s", "u", "v", F.coalesce("r", "hu").alias("r")), weak)
-    heavy = cut(dealt.groupBy("r").count().filter(F.col("count") > one_task).select("r"))
-    tasks = math.ceil(n / share)
-    found = small.unionByName(solved(dealt.join(heavy, "r", "left_anti").withColumn("task", F.pmod(F.xxhash64("r"), F.lit(tasks))), "s", "task"))
+    if core is None:
+        return solved(edge.distinct(), "s")
+    edge = cut(edge.distinct(), core)
+    heavy = cut(edge.groupBy("r").count().filter(F.col("count") > one_task).select("r"))
+    tasks = math.ceil(edge.count() / share)
+    if not tasks:
+        return solved(edge, "s")
+    found = solved(edge.join(heavy, "r", "left_anti").withColumn("task", F.pmod(F.xxhash64("r"), F.lit(tasks))), "s", "task")
     if heavy.isEmpty():
         return found
-    return found.unionByName(coloured(dealt.join(heavy, "r", "left_semi").select(F.col("s").alias("snapshot_id"), F.col("u").alias("source"), F.col("v").alias("target"))))
+    return found.unionByName(coloured(edge.join(heavy, "r", "left_semi").select(F.col("s").alias("snapshot_id"), F.col("u").alias("source"), F.col("v").alias("target"))))
 
 
 def coloured(edge: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from tessera.operators import components, diff, extract, graph, resolve, risks
 
 @dataclass
 class Report:
-    """Frames of one or more snapshots, each evaluated when first asked for. files: snapshot_id, file_id, language; dependencies: resolve's rows."""
+    """Frames of one or more snapshots, each evaluated when first asked for. files: snapshot_id, file_id, language, repeated or not; dependencies: resolve's rows."""
 
     files: DataFrame
     dependencies: DataFrame
@@ -29,7 +29,7 @@ class Report:
     @functools.cached_property
     def bare(self) -> DataFrame:
         """Nodes without what follows from cycles."""
-        return cut(graph.nodes(self.files, self.dependencies, self.links))
+        return cut(graph.nodes(self.files.dropDuplicates(["snapshot_id", "file_id"]), self.dependencies, self.links))
 
     @functools.cached_property
     def members(self) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numbers
 from tessera.operators import components, graph, risks, views
+from tessera.operators.sieve import sieve
 from tessera.plans import report
 from tessera.sinks import export, web
 
@@ -157,6 +158,17 @@ def test_many_small_components(spark, monkeypatch):
     assert sorted((r.snapshot_id, r.cycle_root, r.file_id) for r in found) == [("s", "n000", "n000"), ("s", "n050", "n050"), ("t", "a", "a")]
 
 
+def test_weak_in_one_task(spark, monkeypatch):
+    """What trimming leaves is dealt out without joins where one task holds its hashes, and by joins otherwise; with the same rows."""
+    edge, expected = rings(spark, 12)
+    members = lambda: sorted((r.cycle_root, r.file_id) for r in components.strong_components(edge, one_task=20).collect())
+    with monkeypatch.context() as patch:
+        patch.setattr(components, "_weak", refused)
+        assert members() == expected
+    monkeypatch.setattr(components, "HELD", 0)
+    assert members() == expected
+
+
 def test_weak(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)]
@@ -176,6 +188,15 @@ def test_only_files(spark):
     assert ids(graph.only_files(edge, files, deps)) == ids(graph.between_files(edge, graph.nodes(files, deps))) == ["a->b", "a->c"]
 
 
+def test_sieve(spark):
+    """What matches passes; of the rest little does, and rows come once however often a hash is wanted."""
+    rows = spark.range(2000).withColumn("h", F.xxhash64("id"))
+    wanted = rows.filter("id % 10 = 0").select("h")
+    found = [r.id for r in sieve(rows, F.col("h"), wanted.unionByName(wanted)).select("id").collect()]
+    assert {*range(0, 2000, 10)} <= {*found} and len(found) == len({*found}) < 250
+    assert sieve(rows, F.col("h"), wanted.limit(0)).count() == 0
+
+
 def test_cycles_alone(spark, monkeypatch):
     """Cycles and circular edges are found without nodes, thresholds or marked tables of all edges."""
     for where, name in ((graph, "nodes"), (graph, "annotate_nodes"), (graph, "annotate_edges"), (risks, "thresholds")):
