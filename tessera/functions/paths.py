@@ -83,7 +83,11 @@ def ignored(path: Column) -> Column:
 
 def first_segment(file_id: Column) -> Column:
     """The first part of a path with several, else "."."""
-    return let(normalize(file_id), lambda path: F.when(F.instr(path, "/") > 0, F.substring_index(path, "/", 1)).otherwise("."))
+    first = lambda path: F.when(F.instr(path, "/") > 0, F.substring_index(path, "/", 1)).otherwise(".")
+    odd = F.endswith(file_id, F.lit("/"))
+    for text in ("\\", "//", "/.", "./"):
+        odd = odd | F.contains(file_id, F.lit(text))
+    return F.when(~odd, first(file_id)).otherwise(let(normalize(file_id), first))
 
 
 def package_name(specifier: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,12 @@ def explosions(node: DataFrame, limits: DataFrame) -> DataFrame:
     return rows.join(limits, "snapshot_id").filter("total_connections >= dependency_explosion_min_connections").select("snapshot_id", F.col("id").alias("file"), "incoming", "outgoing", "total_connections")
 
 
-def violations(edge: DataFrame, node: DataFrame, layers: dict[str, int] | None = None) -> DataFrame:
-    """Edges between files from a layer of lower to one of higher rank: source, target, source_layer, target_layer, rule; ordered by edge id."""
+def violations(edge: DataFrame, node: DataFrame, layers: dict[str, int] | None = None, pick: Callable[[DataFrame, DataFrame], DataFrame] = between_files) -> DataFrame:
+    """Edges between files from a layer of lower to one of higher rank: source, target, source_layer, target_layer, rule; ordered by edge id. pick: takes those between files, given edges and node."""
     ranks = F.create_map(*(F.lit(x) for pair in (layers or LAYERS).items() for x in pair))
     rows = edge.select("snapshot_id", "id", "source", "target", paths.first_segment(F.col("source")).alias("source_layer"), paths.first_segment(F.col("target")).alias("target_layer"))
     wrong = ranks[F.col("source_layer")] < ranks[F.col("target_layer")]
-    return between_files(rows.filter(wrong), node).withColumn("rule", F.lit(RULE))
+    return pick(rows.filter(wrong), node).withColumn("rule", F.lit(RULE))
 
 
 def violations_by_file(found: DataFrame) -> DataFrame:
@@ -59,7 +61,16 @@ def scores(node: DataFrame, cycle_members: DataFrame, limits: DataFrame, broken:
     return rows.select("snapshot_id", "file", score.cast("long").alias("risk_score"), F.col("incoming").alias("dependents"), "outgoing", signals.alias("signals")).filter("risk_score > 0")
 
 
+def risky(node: DataFrame) -> DataFrame:
+    """Files with a positive score: those with edges, as weights are positive and no signal goes without an edge."""
+    return node.filter("type = 'file' AND incoming + outgoing > 0").select("snapshot_id", F.col("id").alias("file"))
+
+
 def top_risks(scored: DataFrame, n: int = TOP_RISKS) -> DataFrame:
-    """The n files of the highest scores in each snapshot."""
+    """The n files of the highest scores in each snapshot. Scores that n files exceed are left out before files are ordered."""
+    above = Window.partitionBy("snapshot_id").orderBy(F.desc("risk_score")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = scored.groupBy("snapshot_id", "risk_score").agg(F.count("*").alias("files")).withColumn("above", F.coalesce(F.sum("files").over(above), F.lit(0)))
+    least = levels.filter(F.col("above") < n).groupBy("snapshot_id").agg(F.min("risk_score").alias("least"))
+    scored = scored.join(F.broadcast(least), "snapshot_id").filter("risk_score >= least").select(*scored.columns)
     place = F.row_number().over(Window.partitionBy("snapshot_id").orderBy(F.desc("risk_score"), "file"))
     return scored.withColumn("place", place).filter(F.col("place") <= n)

@@ -15,30 +15,42 @@ from tessera.operators import components, diff, extract, graph, resolve, risks
 
 @dataclass
 class Report:
-    """Frames of one or more snapshots, each evaluated when first asked for. files: snapshot_id, file_id, language, repeated or not; dependencies: resolve's rows."""
+    """Frames of one or more snapshots, each evaluated when first asked for. files: snapshot_id, file_id, language, repeated or not; dependencies: resolve's rows; distinct: none of these is repeated."""
 
     files: DataFrame
     dependencies: DataFrame
+    distinct: bool = False
 
     @functools.cached_property
+    def pairs(self) -> DataFrame:
+        """Distinct edges without an id, flagged with the types of the dependencies."""
+        return cut(graph.flagged(self.dependencies, self.distinct))
+
+    @property
     def links(self) -> DataFrame:
         """Distinct edges; an id is made when read."""
-        pairs = cut(graph.edges(self.dependencies).drop("id"))
-        return pairs.select("snapshot_id", F.concat("source", F.lit("->"), "target").alias("id"), "source", "target")
+        return self.pairs.select("snapshot_id", F.concat("source", F.lit("->"), "target").alias("id"), "source", "target")
 
     @functools.cached_property
     def bare(self) -> DataFrame:
         """Nodes without what follows from cycles."""
         return cut(graph.nodes(self.files.dropDuplicates(["snapshot_id", "file_id"]), self.dependencies, self.links))
 
+    @functools.cached_property
+    def counted(self) -> DataFrame:
+        """Type and degrees of the nodes, which is all that rankings, thresholds and scores need of them."""
+        return graph.tally(self.files, self.dependencies, self.pairs)
+
     @functools.cached_property
     def members(self) -> DataFrame:
         pairs = self.dependencies.select("snapshot_id", "source", F.col("id").alias("target"))
-        return cut(components.strong_components(pairs, keep=lambda edge: graph.only_files(edge, self.files, self.dependencies)))
+        counted = self.__dict__.get("counted")  # at hand where scores were asked for
+        keep = lambda edge: graph.only_files(edge, self.files, self.dependencies) if counted is None else graph.without_others(edge, counted)
+        return cut(components.strong_components(pairs, keep=keep))
 
     @functools.cached_property
     def limits(self) -> DataFrame:
-        return cut(risks.thresholds(self.bare))
+        return cut(risks.thresholds(self.counted))
 
     @functools.cached_property
     def nodes(self) -> DataFrame:
@@ -58,11 +70,11 @@ class Report:
 
     @property
     def complexity(self) -> DataFrame:
-        return graph.complexity(graph.scored(self.bare))
+        return graph.complexity(graph.scored(self.counted))
 
     @property
     def critical(self) -> DataFrame:
-        return graph.critical(self.bare)
+        return graph.critical(self.counted)
 
     @property
     def cycles(self) -> DataFrame:
@@ -70,19 +82,24 @@ class Report:
 
     @property
     def gods(self) -> DataFrame:
-        return risks.god_modules(self.bare, self.limits)
+        return risks.god_modules(self.counted, self.limits)
 
     @property
     def explosions(self) -> DataFrame:
-        return risks.explosions(self.bare, self.limits)
+        return risks.explosions(self.counted, self.limits)
+
+    @property
+    def broken(self) -> DataFrame:
+        """violations, not written."""
+        return risks.violations(self.links, self.counted, pick=graph.without_others)
 
     @functools.cached_property
     def violations(self) -> DataFrame:
-        return cut(risks.violations(self.links, self.bare))
+        return cut(self.broken)
 
     @functools.cached_property
     def scores(self) -> DataFrame:
-        return cut(risks.scores(self.bare, self.members, self.limits, self.violations))
+        return cut(risks.scores(self.counted, self.members, self.limits, self.broken))
 
     @property
     def top_risks(self) -> DataFrame:
@@ -90,7 +107,8 @@ class Report:
 
     def deltas(self, base: str, head: str) -> DataFrame:
         """One row of differences between two snapshots."""
-        return diff.summary(self.links, graph.cycle_counts(self.members), self.complexity, risks.scores(self.bare, self.members, self.limits, self.violations), self.violations, self.gods, self.explosions, base, head)
+        risky = risks.risky(self.counted)
+        return diff.summary(self.links, graph.cycle_counts(self.members), self.complexity, risky, self.broken, self.gods, self.explosions, base, head)
 
     def views(self, prefix: str = "") -> None:
         """Registers the frames as temporary views, for SQL."""
@@ -98,9 +116,9 @@ class Report:
             getattr(self, name).createOrReplaceTempView(f"{prefix}{name}")
 
 
-def of_graph(files: DataFrame, dependencies: DataFrame) -> Report:
-    """files: snapshot_id, file_id, language; dependencies: resolve's rows."""
-    return Report(files, dependencies)
+def of_graph(files: DataFrame, dependencies: DataFrame, distinct: bool = False) -> Report:
+    """files: snapshot_id, file_id, language; dependencies: resolve's rows; distinct: none of these is repeated."""
+    return Report(files, dependencies, distinct)
 
 
 def of_sources(rows: DataFrame) -> Report:

@@ -206,6 +206,38 @@ def test_cycles_alone(spark, monkeypatch):
     assert sorted(r.id for r in found.circular_edges.collect()) == ["a.py->b.py", "b.py->a.py"]
 
 
+def test_tally(spark):
+    """One aggregation gives the types and degrees that nodes() gives; ends that are no nodes have no type."""
+    files = spark.createDataFrame([("s", f, "python") for f in ("a", "b", "a", "alone", "d")], "snapshot_id string, file_id string, language string")
+    deps = [("s", "a", "b", "b", "file", 0), ("s", "a", "b", "b", "file", 3), ("s", "a", "c", "c", "file", 1), ("s", "x", "b", "b", "file", 0), ("s", "b", "p", "p", "package", 0), ("s", "b", "d", "d", "package", 1)]
+    # the first dependency by source decides what an unread end is
+    deps += [("s", "a", "m", "m", "package", 5), ("s", "b", "m", "m", "file", 0), ("s", "a", "k", "k", "file", 6), ("s", "b", "k", "k", "package", 2)]
+    deps = spark.createDataFrame(deps, DEPS)
+    node = graph.nodes(files.distinct(), deps)
+    expected = {(r.id, r.type, r.outgoing, r.incoming) for r in node.collect()} | {("x", None, 1, 0)}
+    found = graph.tally(files, deps, graph.flagged(deps))
+    rows = [(r.id, r.type, r.outgoing, r.incoming) for r in found.collect()]
+    assert len(rows) == len(expected) and {*rows} == expected
+    edge = graph.edges(deps)
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(graph.without_others(edge, found)) == ids(graph.between_files(edge, node))
+
+
+def test_scores_without_named_nodes(spark, monkeypatch):
+    """Scores, their ranking and the comparison need types and degrees, not nodes with labels, languages and folders."""
+    monkeypatch.setattr(graph, "nodes", refused)
+    found = small(spark)
+    assert [(r.file, r.risk_score) for r in found.top_risks.orderBy("place").collect()] == [("a.py", 16), ("b.py", 13), ("c.py", 1)]
+    assert found.deltas("none", "s").first().head_top_risks == 3
+
+
+def test_top_risks(spark):
+    """The threshold keeps all ties of the last place, which go by name."""
+    scored = spark.createDataFrame([("s", f"f{i:02}", score) for i, score in enumerate([5, 1, 9, 5, 5, 1, 5])] + [("t", "f", 2)], "snapshot_id string, file string, risk_score long")
+    rows = sorted((r.snapshot_id, r.place, r.file) for r in risks.top_risks(scored, 3).collect())
+    assert rows == [("s", 1, "f02"), ("s", 2, "f00"), ("s", 3, "f03"), ("t", 1, "f")]
+
+
 def test_risks_alone(spark, monkeypatch):
     """Scores and the comparison of snapshots need no marked tables of nodes and edges."""
     for name in ("annotate_nodes", "annotate_edges"):
