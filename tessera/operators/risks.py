@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, paths
@@ -12,11 +12,11 @@ from tessera.operators.graph import between_files
 from tessera.schemas import EXPLOSION_FLOOR, GOD_FLOOR, LAYERS, QUANTILE, RULE, TOP_RISKS, WEIGHTS
 
 
-def thresholds(node: DataFrame) -> DataFrame:
-    """One row a snapshot: god_module_min_outgoing, dependency_explosion_min_connections."""
-    files = node.filter("type = 'file'").select("snapshot_id", "outgoing", (F.col("outgoing") + F.col("incoming")).alias("total"))
-    god = numbers.nearest_rank(files, "snapshot_id", "outgoing", QUANTILE, "god")
-    explosion = numbers.nearest_rank(files, "snapshot_id", "total", QUANTILE, "explosion")
+def thresholds(node: DataFrame, times: Column | None = None) -> DataFrame:
+    """One row a snapshot: god_module_min_outgoing, dependency_explosion_min_connections. times: how many nodes a row stands for."""
+    files = node.filter("type = 'file'").withColumn("total", F.col("outgoing") + F.col("incoming"))
+    god = numbers.nearest_rank(files, "snapshot_id", "outgoing", QUANTILE, "god", times)
+    explosion = numbers.nearest_rank(files, "snapshot_id", "total", QUANTILE, "explosion", times)
     every = node.select("snapshot_id").distinct().join(god, "snapshot_id", "left").join(explosion, "snapshot_id", "left")
     return every.select(
         "snapshot_id", F.greatest(F.lit(GOD_FLOOR), F.coalesce("god", F.lit(0))).cast("long").alias("god_module_min_outgoing"),
@@ -61,11 +61,6 @@ def scores(node: DataFrame, cycle_members: DataFrame, limits: DataFrame, broken:
     return rows.select("snapshot_id", "file", score.cast("long").alias("risk_score"), F.col("incoming").alias("dependents"), "outgoing", signals.alias("signals")).filter("risk_score > 0")
 
 
-def risky(node: DataFrame) -> DataFrame:
-    """Files with a positive score: those with edges, as weights are positive and no signal goes without an edge."""
-    return node.filter("type = 'file' AND incoming + outgoing > 0").select("snapshot_id", F.col("id").alias("file"))
-
-
 def top_risks(scored: DataFrame, n: int = TOP_RISKS) -> DataFrame:
     """The n files of the highest scores in each snapshot. Scores that n files exceed are left out before files are ordered."""
     above = Window.partitionBy("snapshot_id").orderBy(F.desc("risk_score")).rowsBetween(Window.unboundedPreceding, -1)

@@ -107,8 +107,7 @@ class Report:
 
     def deltas(self, base: str, head: str) -> DataFrame:
         """One row of differences between two snapshots."""
-        risky = risks.risky(self.counted)
-        return diff.summary(self.links, graph.cycle_counts(self.members), self.complexity, risky, self.broken, self.gods, self.explosions, base, head)
+        return diff.deltas(diff.paired(self.files, self.dependencies, base, head), base, head)
 
     def views(self, prefix: str = "") -> None:
         """Registers the frames as temporary views, for SQL."""

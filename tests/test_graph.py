@@ -4,13 +4,14 @@ import urllib.error
 import urllib.request
 from threading import Thread
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers
 from tessera.operators import components, graph, risks, views
 from tessera.operators.sieve import sieve
-from tessera.plans import report
+from tessera.plans import fixture, report
 from tessera.sinks import export, web
 
 DEPS = "snapshot_id string, source string, id string, label string, type string, ord long"
@@ -246,3 +247,51 @@ def test_risks_alone(spark, monkeypatch):
     assert [(r.file, r.risk_score) for r in found.top_risks.orderBy("place").collect()] == [("a.py", 16), ("b.py", 13), ("c.py", 1)]
     row = found.deltas("none", "s").first()
     assert (row.edges_added, row.edges_removed, row.base_cycles, row.head_cycles, row.base_top_risks, row.head_top_risks, row.head_average_score) == (4, 0, 0, 1, 0, 3, 0.5)
+
+
+def test_deltas(spark, monkeypatch):
+    """Both snapshots are compared from one aggregation over both, with the counts that each one's own frames give."""
+    rng = random.Random(5)
+    layers = ("core/", "utils/", "cli/", "")
+    name = lambda i: f"{layers[i % 4]}f{i}.py"
+    files = [(s, name(i), "python") for s in "ab" for i in range(60) for _ in range(1 + i % 2) if i % 7 or s == "a"]
+    deps = [(s, name(rng.randrange(70)), name(min(rng.randrange(75), rng.randrange(75))), "x", rng.choice(["file"] * 9 + ["package"]), i) for s in "aabc" for i in range(140)]
+    deps += [("b", name(1), name(i), "x", "file", i) for i in range(40)] + [("b", "pkg:only", "pkg:p", "p", "package", 1)]
+    files, deps = spark.createDataFrame(files, "snapshot_id string, file_id string, language string"), spark.createDataFrame(deps + deps[:9], DEPS)
+    found = report.of_graph(files, deps)
+    of = lambda df, s: [r for r in df.collect() if r.snapshot_id == s]
+    assert {"both", None} & {r.type for r in graph.tally(files, deps, graph.flagged(deps)).collect()} == {None}
+    assert {(r.source, r.id) for r in deps.collect() if r.type == "file"} & {(r.source, r.id) for r in deps.collect() if r.type == "package"}
+    expected = {}
+    for s in "ab":
+        scores = [r.score for r in of(found.complexity, s)]
+        expected[s] = (
+            {(r.source, r.target) for r in of(found.links, s)}, len({r.cycle_root for r in of(found.members, s)}), round(sum(scores) / len(scores), 6), min(15, len(of(found.scores, s))),
+            len(of(found.broken, s)), len(of(found.gods, s)), len(of(found.explosions, s)),
+        )
+    monkeypatch.setattr(graph, "tally", refused)
+    for base, head in ("ab", "ba", "aa"):
+        b, h = expected[base], expected[head]
+        row = report.of_graph(files, deps).deltas(base, head).first()
+        assert (row.base_ref, row.head_ref, row.edges_added, row.edges_removed) == (base, head, len(h[0] - b[0]), len(b[0] - h[0]))
+        assert (row.base_cycles, row.head_cycles, row.base_average_score, row.head_average_score, row.base_top_risks, row.head_top_risks) == (b[1], h[1], b[2], h[2], b[3], h[3])
+        assert (row.layer_violations_delta, row.god_modules_delta, row.dependency_explosions_delta) == tuple(y - x for x, y in zip(b[4:], h[4:], strict=True))
+    assert expected["a"][1] and expected["b"][4] and expected["b"][5]
+
+
+def test_both_orders(spark):
+    """The two graphs that are made side by side are those made one by one."""
+    pair = fixture.both(spark, "/root/testdata/sf0.001")
+    rows = pair.edge.select(pair.named(F.col("source")).alias("s"), pair.named(F.col("target")).alias("t"), "base", "head").collect()
+    for side in ("base", "head"):
+        one = sorted((r.source, r.id) for r in fixture.project(spark, "/root/testdata/sf0.001", snapshot=side)[1].distinct().collect())
+        assert sorted((r.s, r.t) for r in rows if r[side]) == [*dict.fromkeys(one)]
+
+
+def test_trimming_bits(spark, monkeypatch):
+    """Ends that share the bits by which trimming looks them up change no component."""
+    monkeypatch.setattr(components, "_SEEN", 1)
+    a = np.array([5, -1, 1 << 62, 7], np.int64)
+    assert components._seen(a, a[:1]).tolist() == [True, False, True, True] and not components._seen(a, a[:0]).any() and len(components._distinct(a[:0])) == 0
+    edge, expected = rings(spark, 12)
+    assert sorted((r.cycle_root, r.file_id) for r in components.strong_components(edge, one_task=20).collect()) == expected
